@@ -12,20 +12,12 @@ def vector_score(vector: Column, profile: Column) -> Column:
     return F.try_divide(dot * 100.0, _length(vector) * _length(profile))
 
 
-def term_score(tokens: Column, profile_tokens: Column, profile_counts: Column) -> Column:
-    """Cosine of term frequencies; 0 where the texts share no term.
-
-    `profile_counts` maps a profile term to its frequency. The hash-based intersection comes
-    first, so the map is searched for shared terms only.
-    """
-    shared = F.array_intersect(profile_tokens, tokens)
-    hits = F.filter(tokens, lambda word: F.array_contains(shared, word))
-    dot = F.aggregate(
+def term_dot(hits: Column, profile_counts: Column) -> Column:
+    """Dot product of term frequencies. `hits` are the posting's words that the profile shares,
+    repeats included; `profile_counts` maps a profile term to its frequency."""
+    return F.aggregate(
         hits, F.lit(0.0), lambda total, word: total + F.element_at(profile_counts, word).cast("double")
     )
-    norms = F.sqrt(squared_counts(tokens)) * F.sqrt(_total(F.transform(
-        F.map_values(profile_counts), lambda n: (n * n).cast("double"))))
-    return F.coalesce(F.try_divide(dot * 100.0, norms), F.lit(0.0))
 
 
 def term_counts(tokens: Column) -> Column:

@@ -58,46 +58,41 @@ def split_quarantine(df: DataFrame, raw: str = "response") -> tuple[DataFrame, D
 
 
 def extract_fields(df: DataFrame, jd: str = "jd") -> DataFrame:
-    """Add the nine answer fields by rule from link and text, all within the row.
+    """Add the nine answer fields by rule from link and text, all within the row."""
+    jd_col = F.col(jd)
+    return classify(df, jd).withColumns(
+        {
+            "company": text.strip_commas(extract.company(F.col("link"))),
+            "min_exp": extract.min_experience(jd_col),
+            "max_exp": extract.max_experience(jd_col),
+            "citizenship_required": extract.citizenship_required(jd_col),
+            "security_clearance_required": extract.security_clearance_required(jd_col),
+            "visa_sponsorship": extract.visa_sponsorship(jd_col),
+        }
+    )
+
+
+def classify(df: DataFrame, jd: str = "jd") -> DataFrame:
+    """Add `overall`, `primary` and `secondary` by keyword counts.
 
-    The steps are separate projections on purpose: each expensive array is built once and read
-    several times.
+    The steps are separate projections on purpose: each array is built once and read several
+    times, where an inlined one would be built again inside the lambdas.
     """
-    jd_col = F.col(jd)
     return (
-        df.withColumn("_hits", category.keyword_hits(text.tokens(jd_col)))
+        df.withColumn("_words", text.tokens(F.col(jd)))
+        .withColumn("_hits", category.keyword_hits(F.col("_words")))
         .withColumn("_ranked", category.ranked_categories(F.col("_hits")))
         .withColumns(
             {
-                "company": text.strip_commas(extract.company(F.col("link"))),
-                "min_exp": extract.min_experience(jd_col),
-                "max_exp": extract.max_experience(jd_col),
                 "overall": category.category_at(F.col("_ranked"), 0),
                 "primary": category.category_at(F.col("_ranked"), 0),
                 "secondary": category.category_at(F.col("_ranked"), 1),
-                "citizenship_required": extract.citizenship_required(jd_col),
-                "security_clearance_required": extract.security_clearance_required(jd_col),
-                "visa_sponsorship": extract.visa_sponsorship(jd_col),
             }
         )
-        .drop("_hits", "_ranked")
+        .drop("_words", "_hits", "_ranked")
     )
 
 
-def classify(df: DataFrame, jd: str = "jd") -> DataFrame:
-    """Add `overall`, `primary` and `secondary` by keyword counts."""
-    ranked = df.withColumn("_hits", category.keyword_hits(text.tokens(F.col(jd)))).withColumn(
-        "_ranked", category.ranked_categories(F.col("_hits"))
-    )
-    return ranked.withColumns(
-        {
-            "overall": category.category_at(F.col("_ranked"), 0),
-            "primary": category.category_at(F.col("_ranked"), 0),
-            "secondary": category.category_at(F.col("_ranked"), 1),
-        }
-    ).drop("_hits", "_ranked")
-
-
 def with_age_match(df: DataFrame, low: float = 1.5, high: float = 2.0) -> DataFrame:
     """Add `age_match` from typed experience bounds."""
     return df.withColumn(

@@ -39,18 +39,32 @@ def with_text_score(
     size = profile.select(F.max(F.octet_length(profile.columns[0]))).first()[0]
     if size is not None and size > inline_bytes:
         return _text_score_by_join(df, profile, jd, key)
-    words = text.tokens(F.col(profile.columns[0]))
-    scalar = profile.select(words.alias("words")).select(
-        F.struct(F.array_distinct("words").alias("terms"), similarity.term_counts(F.col("words")).alias("counts"))
-    ).scalar()
+    scalar = (
+        profile.select(text.tokens(F.col(profile.columns[0])).alias("words"))
+        .select(
+            F.struct(
+                F.array_distinct("words").alias("terms"),
+                similarity.term_counts(F.col("words")).alias("counts"),
+                F.sqrt(similarity.squared_counts(F.col("words"))).alias("norm"),
+            )
+        )
+        .scalar()
+    )
+    # `_words` and `_shared` are columns of their own, each read more than once, so that the
+    # optimizer keeps them outside the lambdas instead of building them again for every word
+    shared = F.array_intersect("_profile.terms", "_words")
+    hits = F.when(
+        F.size("_shared") > 0, F.filter("_words", lambda word: F.array_contains("_shared", word))
+    ).otherwise(F.array().cast("array<string>"))
+    norms = F.sqrt(similarity.squared_counts(F.col("_words"))) * F.col("_profile.norm")
+    dot = similarity.term_dot(F.col("_hits"), F.col("_profile.counts"))
     return (
         df.withColumn("_profile", scalar)
         .withColumn("_words", text.tokens(F.col(jd)))
-        .withColumn(
-            "match_score",
-            similarity.term_score(F.col("_words"), F.col("_profile.terms"), F.col("_profile.counts")),
-        )
-        .drop("_profile", "_words")
+        .withColumn("_shared", shared)
+        .withColumn("_hits", hits)
+        .withColumn("match_score", F.coalesce(F.try_divide(dot * 100.0, norms), F.lit(0.0)))
+        .drop("_profile", "_words", "_shared", "_hits")
     )
 
 
