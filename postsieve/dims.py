@@ -93,9 +93,11 @@ def scan_plan(spark: SparkSession, scans=DAILY_SCANS) -> DataFrame:
 
 def _values(spark: SparkSession, columns: str, rows) -> DataFrame:
     """A constant table that stays on the JVM side (a VALUES list, known to the optimizer)."""
-    text = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows)
+    text = ", ".join("(" + ", ".join(map(sql_literal, row)) + ")" for row in rows)
     return spark.sql(f"SELECT * FROM VALUES {text} AS t({columns})")
 
 
-def _literal(value) -> str:
-    return str(value) if isinstance(value, int) else "'" + value.replace("'", "\\'") + "'"
+def sql_literal(value: str | int) -> str:
+    if isinstance(value, int):
+        return str(value)
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"

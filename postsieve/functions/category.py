@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 
 from .. import dims
 
-_KEYWORDS = {word for words in dims.CATEGORY_KEYWORDS.values() for word in words}
-_SINGLE = sorted(word for word in _KEYWORDS if " " not in word)
-_PAIRS = sorted(word for word in _KEYWORDS if " " in word)
+_CATEGORIES_OF: dict[str, list[str]] = {}
+for _category, _words in dims.CATEGORY_KEYWORDS.items():
+    for _word in _words:
+        _CATEGORIES_OF.setdefault(_word, []).append(_category)
+
+_SINGLE = sorted(word for word in _CATEGORIES_OF if " " not in word)
+_PAIRS = sorted(word for word in _CATEGORIES_OF if " " in word)
 _PAIR_HEADS = sorted({pair.split()[0] for pair in _PAIRS})
 
 
@@ -30,20 +34,26 @@ def keyword_hits(tokens: Column) -> Column:
     return F.concat(single, pairs)
 
 
-def ranked_categories(hits: Column) -> Column:
-    """Categories with a hit, most hits first, ties by name."""
-    counted = F.array(
-        *(
-            F.struct((-_count(hits, words)).alias("order"), F.lit(category).alias("category"))
-            for category, words in sorted(dims.CATEGORY_KEYWORDS.items())
-        )
+def hit_categories(hits: Column) -> Column:
+    """The categories of all hits, repeats included."""
+    lists = ", ".join(
+        f"{dims.sql_literal(word)}, array({', '.join(map(dims.sql_literal, categories))})"
+        for word, categories in _CATEGORIES_OF.items()
     )
-    ranked = F.sort_array(F.filter(counted, lambda entry: entry["order"] < 0))
-    return F.when(F.size(hits) > 0, F.transform(ranked, lambda entry: entry["category"]))
+    categories_of = F.expr(f"map({lists})")
+    return F.flatten(F.transform(hits, lambda word: F.element_at(categories_of, word)))
 
 
-def _count(hits: Column, words: tuple[str, ...]) -> Column:
-    return F.size(F.filter(hits, lambda word: word.isin(*words)))
+def ranked_categories(categories: Column) -> Column:
+    """Distinct categories, most hits first, ties by name."""
+    counted = F.transform(
+        F.array_distinct(categories),
+        lambda category: F.struct(
+            (-F.size(F.filter(categories, lambda other: other == category))).alias("order"),
+            category.alias("category"),
+        ),
+    )
+    return F.transform(F.sort_array(counted), lambda entry: entry["category"])
 
 
 def category_at(ranked: Column, place: int) -> Column:

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Possessive quantifiers and the lookbehind keep the match linear on long digit runs; the
 # groups are those of ([0-9]+)\s*(\+|-|to)?\s*([0-9]*)\+?\s*years
 _EXPERIENCE = r"(?i)(?<![0-9])([0-9]++)\s*+(\+|-|to)?+\s*+([0-9]*+)\+?+\s*+years"
-_CITIZENSHIP = r"(?i)(us citizenship required|must be a us citizen)"
-_CLEARANCE = r"(?i)security clearance required"
-_NO_VISA = r"(?i)(no visa sponsorship|unable to sponsor)"
+# --- fixed values: phrases that decide the flags, matched in lower case ------------------------
+_CITIZENSHIP = ("us citizenship required", "must be a us citizen")
+_CLEARANCE = ("security clearance required",)
+_NO_VISA = ("no visa sponsorship", "unable to sponsor")
+# ----------------------------------------------------------------------------------------------
 
 
 def company(link: Column) -> Column:
@@ -34,12 +38,18 @@ def _experience(text: Column, group: int) -> Column:
 
 
 def citizenship_required(text: Column) -> Column:
-    return F.coalesce(text.rlike(_CITIZENSHIP), F.lit(False))
+    return _says(text, _CITIZENSHIP)
 
 
 def security_clearance_required(text: Column) -> Column:
-    return F.coalesce(text.rlike(_CLEARANCE), F.lit(False))
+    return _says(text, _CLEARANCE)
 
 
 def visa_sponsorship(text: Column) -> Column:
-    return F.coalesce(~text.rlike(_NO_VISA), F.lit(True))
+    return ~_says(text, _NO_VISA)
+
+
+def _says(text: Column, phrases: tuple[str, ...]) -> Column:
+    """One of the phrases occurs; plain substring search, which is far cheaper than a pattern."""
+    lowered = F.lower(F.coalesce(text, F.lit("")))
+    return reduce(Column.__or__, (F.contains(lowered, F.lit(phrase)) for phrase in phrases))

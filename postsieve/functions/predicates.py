@@ -2,36 +2,31 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import dims
 from .response import experience_unstated
 
-AsOf = datetime | DataFrame
 
-
-def window_start(timeline: str, as_of: AsOf) -> Column | None:
+def window_start(timeline: str, as_of: datetime | None) -> Column | None:
     """Oldest timestamp of a timeline window; None if the code sets no window.
 
-    `as_of` is a timestamp, or a one-row one-column DataFrame such as the newest timestamp of
-    a table. The subtraction happens inside the scalar subquery, so the comparison built on it
-    still reaches the parquet scan as a pushed filter.
+    The bound is a constant, so a comparison with it reaches the file scan as a pushed filter
+    and prunes row groups. `sources.tables.newest` reads a table's newest timestamp.
     """
     seconds = dims.TIMELINE_SECONDS.get(timeline)
     if seconds is None:
         return None
-    back = F.make_dt_interval(secs=F.lit(seconds))
-    if isinstance(as_of, DataFrame):
-        return as_of.select(F.col(as_of.columns[0]) - back).scalar()
     # by way of text, so that no Python or session time zone gets between
-    return F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz") - back
+    start = None if as_of is None else (as_of - timedelta(seconds=seconds)).isoformat(sep=" ")
+    return F.lit(start).cast("timestamp_ntz")
 
 
-def within_window(ts: Column, timeline: str, as_of: AsOf) -> Column:
+def within_window(ts: Column, timeline: str, as_of: datetime | None) -> Column:
     start = window_start(timeline, as_of)
     return F.lit(True) if start is None else ts >= start
 

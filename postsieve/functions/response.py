@@ -20,18 +20,20 @@ def parse_answer(body: Column, legacy: bool = False) -> Column:
     return F.from_json(body, schemas.LEGACY_RESPONSE if legacy else schemas.RESPONSE)
 
 
-def answer_problem(body: Column, company: Column, legacy: bool = False) -> Column:
-    """Why an answer cannot become a record, or null.
+def absent_keys(body: Column, legacy: bool = False) -> Column:
+    """How many keys an answer lacks; null if it is no JSON object.
 
-    A null value and an absent key look alike after parsing, so absent keys are found on the
-    JSON text itself.
+    A null value and an absent key look alike after parsing, so this looks at the JSON text.
     """
     keys = schemas.RESPONSE_KEYS + (("age_match",) if legacy else ())
-    present = F.json_object_keys(body)
-    absent = F.array_except(F.array(*map(F.lit, keys)), present)
+    return F.array_size(F.array_except(F.array(*map(F.lit, keys)), F.json_object_keys(body)))
+
+
+def answer_problem(absent: Column, company: Column) -> Column:
+    """Why an answer cannot become a record, or null."""
     return (
-        F.when(present.isNull(), "bad_json")
-        .when(F.size(absent) > 0, "missing_key")
+        F.when(absent.isNull(), "bad_json")
+        .when(absent > 0, "missing_key")
         .when(company.isNull(), "null_company")
     )
 

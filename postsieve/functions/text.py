@@ -5,20 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..dims import sql_literal
+
 _ARTICLE = r"(?is)<article\b[^>]*>(.*)</article>"
 _HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 
-_UNSEEN = r"(?is)<!--.*?-->|<(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>"
-_BLANKS = r"[ \t\r\n\f]+"
 _BLOCK_TAG = (
     r"(?i)</?(?:p|div|ul|ol|li|h[1-6]|br|hr|tr|table|section|article|header|footer|blockquote|pre)\b[^>]*>"
 )
-_ANY_TAG = r"</?[a-zA-Z][^>]*>|<[!?][^>]*>"
-_LINE_BREAK = r" *\n[ \n]*"
+# comments, scripts and styles with their content, then any other tag; every alternative starts
+# with the same character, so text between tags is skipped at once
+_UNSEEN = (
+    r"(?is)<(?:!--.*?-->|(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|/?[a-z][^>]*>|[!?][^>]*>)"
+)
 
-# Named character entities; `amp` is undone last, so `&amp;lt;` becomes `&lt;`.
+# Named character entities.
 _ENTITIES = {
-    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®",
     "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
     "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "euro": "€",
 }
@@ -46,37 +49,42 @@ def heading_html(html: Column) -> Column:
 def html_to_text(html: Column) -> Column:
     """Plain text of an HTML fragment: tags, images, scripts, styles and comments dropped,
     link text kept, one line per block element, blanks squeezed."""
-    text = F.regexp_replace(html, _UNSEEN, "")
-    text = F.regexp_replace(text, _BLANKS, " ")
+    text = html
+    for blank in "\t\r\n\f":
+        text = F.replace(text, F.lit(blank), F.lit(" "))
     text = F.regexp_replace(text, _BLOCK_TAG, "\n")
-    text = F.regexp_replace(text, _ANY_TAG, "")
-    text = _decode_entities(text)
-    text = F.regexp_replace(text, _LINE_BREAK, "\n")
+    text = F.regexp_replace(text, _UNSEEN, "")
+    text = decode_entities(text)
     text = F.regexp_replace(text, " {2,}", " ")
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    text = F.regexp_replace(text, "\n{2,}", "\n")
     return F.trim(text, F.lit(" \n"))
 
 
-def _decode_entities(text: Column) -> Column:
-    for name, char in _ENTITIES.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    # `&#65;` and `&#x41;`: every piece after a `&#` starts with the number
-    pieces = F.split(text, "&#")
-    text = F.array_join(
-        F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_decode_number(piece))), ""
-    )
-    return F.replace(text, F.lit("&amp;"), F.lit("&"))
+def decode_entities(text: Column) -> Column:
+    """Character references undone in one pass: `&lt;`, `&#60;` and `&#x3c;` become `<`,
+    `&amp;lt;` becomes `&lt;`, and what is no known reference stays."""
+    pairs = ", ".join(f"{sql_literal(name + ';')}, {sql_literal(char)}" for name, char in _ENTITIES.items())
+    names = F.expr(f"map({pairs})")
+
+    def decoded(piece: Column) -> Column:
+        # a piece follows an `&`; its reference, if any, ends with the first `;`
+        end = F.instr(piece, ";")
+        name = piece.substr(F.lit(1), end)
+        char = F.coalesce(F.try_element_at(names, name), F.when(F.startswith(piece, F.lit("#")), _numbered(name)))
+        return F.coalesce(F.concat(char, piece.substr(end + 1, F.length(piece))), F.concat(F.lit("&"), piece))
+
+    pieces = F.split(text, "&")
+    return F.array_join(F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(decoded(piece))), "")
 
 
-def _decode_number(piece: Column) -> Column:
-    digits = F.regexp_extract(piece, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-    code = F.when(
-        F.lower(F.substring(digits, 1, 1)) == "x", F.conv(F.substring(digits, 2, 6), 16, 10)
-    ).otherwise(digits).try_cast("int")
+def _numbered(reference: Column) -> Column:
+    """The character of `#65;` or `#x41;`, null if there is none."""
+    decimal = F.regexp_extract(reference, "^#([0-9]{1,7});$", 1).try_cast("int")
+    hexadecimal = F.conv(F.nullif(F.regexp_extract(reference, "^#[xX]([0-9a-fA-F]{1,6});$", 1), F.lit("")), 16, 10)
+    code = F.coalesce(decimal, hexadecimal.try_cast("int"))
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    is_char = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-    # substr needs columns on both sides; 2 = the `;` plus one-based indexing
-    rest = piece.substr(F.length(digits) + 2, F.length(piece))
-    return F.when(is_char, F.concat(char, rest)).otherwise(F.concat(F.lit("&#"), piece))
+    return F.when(code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF), char)
 
 
 def date_stamp(day: Column) -> Column:

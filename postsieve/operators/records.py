@@ -7,21 +7,27 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import category, extract, predicates, response, text
+from .once import computed_once
 
 PARSE, SUITABILITY = "parse", "suitability"
 
 
 def parse_responses(df: DataFrame, column: str = "response", legacy: bool = False) -> DataFrame:
     """Add the answer's fields as text, plus `stage` and `reason` of a problem (null if none)."""
-    body = df.withColumn("_body", response.strip_fence(F.col(column)))
-    parsed = body.withColumn("_answer", response.parse_answer(F.col("_body"), legacy))
-    reason = response.answer_problem(F.col("_body"), F.col("_answer.company"), legacy)
     keys = schemas.RESPONSE_KEYS + (("age_match",) if legacy else ())
     kept = [name for name in df.columns if name not in keys]
+    bodies = computed_once(df, {"_body": response.strip_fence(F.col(column))})
+    body = F.col("_body")
+    parsed = computed_once(
+        bodies,
+        {"_answer": response.parse_answer(body, legacy), "_absent": response.absent_keys(body, legacy)},
+    )
+    answer = F.col("_answer")
+    reason = response.answer_problem(F.col("_absent"), answer["company"])
     return (
         parsed.withColumn("reason", reason)
         .withColumn("stage", F.when(F.col("reason").isNotNull(), PARSE))
-        .select(*kept, *(F.col(f"_answer.{key}").alias(key) for key in keys), "stage", "reason")
+        .select(*kept, *(answer[key].alias(key) for key in keys), "stage", "reason")
     )
 
 
@@ -81,7 +87,8 @@ def classify(df: DataFrame, jd: str = "jd") -> DataFrame:
     return (
         df.withColumn("_words", text.tokens(F.col(jd)))
         .withColumn("_hits", category.keyword_hits(F.col("_words")))
-        .withColumn("_ranked", category.ranked_categories(F.col("_hits")))
+        .withColumn("_categories", category.hit_categories(F.col("_hits")))
+        .withColumn("_ranked", category.ranked_categories(F.col("_categories")))
         .withColumns(
             {
                 "overall": category.category_at(F.col("_ranked"), 0),
@@ -89,7 +96,7 @@ def classify(df: DataFrame, jd: str = "jd") -> DataFrame:
                 "secondary": category.category_at(F.col("_ranked"), 1),
             }
         )
-        .drop("_words", "_hits", "_ranked")
+        .drop("_words", "_hits", "_categories", "_ranked")
     )
 
 

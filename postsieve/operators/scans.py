@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.predicates import AsOf, window_start
+from ..functions.predicates import window_start
 from .ordering import newest_first, number_listed, page_limit
 
 Scans = Sequence[tuple[str, int]]
 
 
-def union_scans(sightings: DataFrame, scans: Scans, as_of: AsOf) -> DataFrame:
+def union_scans(sightings: DataFrame, scans: Scans, as_of: datetime | None) -> DataFrame:
     """Every sighting once per scan whose window it falls into, with `scan_rank` and `scan`.
 
     The same rows as a union of one filtered read per scan, from a single read: the windows
@@ -26,7 +27,7 @@ def union_scans(sightings: DataFrame, scans: Scans, as_of: AsOf) -> DataFrame:
 
 
 def top_scans(
-    sightings: DataFrame, scans: Scans, as_of: AsOf, page_size: int = dims.PAGE_SIZE, first_rank: int = 0
+    sightings: DataFrame, scans: Scans, as_of: datetime | None, page_size: int = dims.PAGE_SIZE, first_rank: int = 0
 ) -> DataFrame:
     """Like `union_scans`, but every scan shows only its first pages, and rows carry
     `page` and `position`.
@@ -42,14 +43,14 @@ def top_scans(
     return listed.withColumn("scan_rank", F.col("scan_rank") + first_rank)
 
 
-def _widest_start(scans: Scans, as_of: AsOf):
+def _widest_start(scans: Scans, as_of: datetime | None):
     seconds = {timeline: dims.TIMELINE_SECONDS.get(timeline) for timeline, _ in scans}
     if None in seconds.values():
         return None
     return window_start(max(seconds, key=seconds.get), as_of)
 
 
-def _listed_by(df: DataFrame, scans: Scans, as_of: AsOf, row_limits: bool) -> DataFrame:
+def _listed_by(df: DataFrame, scans: Scans, as_of: datetime | None, row_limits: bool) -> DataFrame:
     entries = []
     for rank, (timeline, pages) in enumerate(scans):
         start = window_start(timeline, as_of)

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.predicates import AsOf, matches_keywords, suitable
+from ..functions.predicates import matches_keywords, suitable
 from ..operators import records, scoring
 from ..session import use_checkpoint_dir
 from ..sinks import names
@@ -22,7 +22,7 @@ from .run import RunResult
 def daily(
     pages: DataFrame,
     sightings: DataFrame,
-    as_of: AsOf,
+    as_of: datetime | None,
     query: str = dims.DEFAULT_QUERY,
     location: str = dims.DEFAULT_LOCATION,
     easy_apply: bool = False,

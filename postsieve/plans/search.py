@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import date
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame
 
 from .. import dims
-from ..functions.predicates import AsOf
 from ..operators import scoring
 from ..sinks import names
 from ..sources.pages import posting_texts
@@ -19,7 +18,7 @@ from .run import RunResult
 def search(
     pages: DataFrame,
     sightings: DataFrame,
-    as_of: AsOf,
+    as_of: datetime | None,
     query: str = dims.DEFAULT_QUERY,
     location: str = dims.DEFAULT_LOCATION,
     timeline: str = dims.DEFAULT_TIMELINE,

@@ -10,13 +10,13 @@ the wide page text of just those rows.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import predicates
-from ..functions.predicates import AsOf
 from ..operators import hooks, lookups, ordering, records, scans, scoring
 from ..sources.pages import posting_texts
 from ..functions.text import normalize_link
@@ -43,7 +43,7 @@ def listed_sightings(
     scan_list: scans.Scans,
     location: str,
     easy_apply: bool,
-    as_of: AsOf,
+    as_of: datetime | None,
     first_rank: int = 0,
 ) -> DataFrame:
     """Sightings of found pages that the searches list on their first pages."""

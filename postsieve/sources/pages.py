@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.once import computed_once
 
 
 def scan_postings(pages: DataFrame) -> DataFrame:
@@ -22,16 +23,25 @@ def scan_postings(pages: DataFrame) -> DataFrame:
     )
 
 
+def posting_headings(pages: DataFrame) -> DataFrame:
+    """Postings with cleaned link and title; the body is not looked at."""
+    return pages.select("page_id", *_heading())
+
+
 def posting_texts(pages: DataFrame) -> DataFrame:
     """Postings with cleaned link and title and the text of the body as `jd`.
 
-    Columns of `pages` beyond the three raw ones are kept.
+    Columns of `pages` beyond the three raw ones are kept. Title and text are computed once per
+    page whatever filters follow.
     """
     extra = [column for column in pages.columns if column not in ("page_id", "url", "html")]
-    return pages.select(
-        "page_id",
+    link, title = _heading()
+    jd = text.html_to_text(text.article_html(F.col("html")))
+    return computed_once(pages, {"title": title, "jd": jd}).select("page_id", link, "title", "jd", *extra)
+
+
+def _heading() -> list[Column]:
+    return [
         text.normalize_link(F.col("url")).alias("link"),
         text.strip_commas(text.html_to_text(text.heading_html(F.col("html")))).alias("title"),
-        text.html_to_text(text.article_html(F.col("html"))).alias("jd"),
-        *extra,
-    )
+    ]

@@ -16,7 +16,7 @@ from postsieve.plans.merge import merge
 from postsieve.plans.search import recommended, search
 from postsieve.session import scratch_path
 from postsieve.sinks import files
-from postsieve.sources.pages import posting_texts, scan_postings
+from postsieve.sources.pages import posting_headings, posting_texts, scan_postings
 from postsieve.sources.raw_csv import read_digest, read_raw_postings
 from postsieve.streaming import digest as stream
 
@@ -36,7 +36,7 @@ def _texts(spark, sf):
 
 def _typed(spark, sf):
     """Answers of all sightings, parsed, typed and checked; no page columns yet."""
-    answers = fx.answered(fx.sightings(spark, sf)).select("event_id", "ts", "page_id", "response")
+    answers = fx.answered(fx.sightings(spark, sf, spread=True)).select("event_id", "ts", "page_id", "response")
     return records.check_experience(records.type_fields(records.parse_responses(answers)))
 
 
@@ -46,7 +46,7 @@ def _usable(spark, sf):
 
 def _headings(spark, sf):
     """(page_id, link as found, title): what records need of a page."""
-    return scan_postings(fx.pages(spark, sf)).select("page_id", "link", "title")
+    return scan_postings(fx.pages(spark, sf, spread=True)).select("page_id", "link", "title")
 
 
 def _scores(spark, sf):
@@ -57,7 +57,7 @@ def _scores(spark, sf):
 # --- scans and text ----------------------------------------------------------------------------
 
 def q_scan_postings(spark, sf):
-    return scan_postings(fx.pages(spark, sf))
+    return scan_postings(fx.pages(spark, sf, spread=True))
 
 
 def q_normalize_link(spark, sf):
@@ -65,11 +65,11 @@ def q_normalize_link(spark, sf):
 
 
 def q_strip_commas(spark, sf):
-    return scan_postings(fx.pages(spark, sf)).select("page_id", text.strip_commas(F.col("title")).alias("title"))
+    return scan_postings(fx.pages(spark, sf, spread=True)).select("page_id", text.strip_commas(F.col("title")).alias("title"))
 
 
 def q_html_to_text(spark, sf):
-    return fx.pages(spark, sf).select(
+    return fx.pages(spark, sf, spread=True).select(
         "page_id", text.html_to_text(text.article_html(F.col("html"))).alias("jd")
     )
 
@@ -81,11 +81,11 @@ def q_date_stamp(spark, sf):
 # --- answers -----------------------------------------------------------------------------------
 
 def q_strip_fence(spark, sf):
-    return fx.answered(fx.table(spark, sf, "events")).select("event_id", strip_fence(F.col("response")).alias("body"))
+    return fx.answered(fx.table(spark, sf, "events", spread=True)).select("event_id", strip_fence(F.col("response")).alias("body"))
 
 
 def q_parse_response(spark, sf):
-    answers = fx.answered(fx.table(spark, sf, "events")).select("event_id", "response")
+    answers = fx.answered(fx.table(spark, sf, "events", spread=True)).select("event_id", "response")
     return records.parse_responses(answers).drop("response")
 
 
@@ -166,9 +166,7 @@ def q_new_since_last(spark, sf):
     """Suitable links of the last week that were not among those of the first day."""
     as_of = fx.as_of(spark, sf)
     suitable = _usable(spark, sf).filter(predicates.suitable(dims.DEFAULT_YEARS)).select("event_id", "ts", "page_id")
-    first_day = fx.table(spark, sf, "events").select(
-        (F.min("ts") + F.make_dt_interval(days=F.lit(1))).alias("t")
-    ).scalar()
+    first_day = fx.table(spark, sf, "events").select(F.min("ts") + F.make_dt_interval(days=F.lit(1))).scalar()
     links = fx.pages(spark, sf).select("page_id", text.normalize_link(F.col("url")).alias("link"))
 
     def seen(rows):
@@ -195,17 +193,13 @@ def q_top_scans(spark, sf):
 
 def q_first_seen_dedupe(spark, sf):
     """Three overlapping scans, suitable answers only, the first copy of every link."""
-    listed = scans.union_scans(
-        fx.answered(fx.sightings(spark, sf)).select("event_id", "ts", "page_id", "response"),
-        SEARCHES,
-        fx.as_of(spark, sf),
-    )
-    typed = records.check_experience(records.type_fields(records.parse_responses(listed)))
-    kept = typed.filter(F.col("reason").isNull() & predicates.suitable(dims.DEFAULT_YEARS)).select(
-        "event_id", "ts", "page_id", "scan_rank", "min_exp"
+    # an answer is read once, however many scans list its sighting
+    kept = _usable(spark, sf).filter(predicates.suitable(dims.DEFAULT_YEARS)).select(
+        "event_id", "ts", "page_id", "min_exp"
     )
+    listed = scans.union_scans(kept, SEARCHES, fx.as_of(spark, sf))
     # copies collapse per page before the page table is joined, then per link
-    by_page = ordering.first_seen(kept, "page_id")
+    by_page = ordering.first_seen(listed, "page_id")
     links = fx.pages(spark, sf).select("page_id", text.normalize_link(F.col("url")).alias("link"))
     return ordering.first_seen(by_page.join(links, "page_id"), "link").select(
         "link", "event_id", "ts", "scan_rank", "min_exp"
@@ -320,7 +314,7 @@ def q_search(spark, sf):
 def q_search_answers(spark, sf):
     """Fields from answers, stored scores."""
     run = search(
-        fx.pages(spark, sf), fx.answered(fx.sightings(spark, sf)), fx.as_of(spark, sf),
+        fx.pages(spark, sf, spread=True), fx.answered(fx.sightings(spark, sf)), fx.as_of(spark, sf),
         query="", location="Germany", timeline="7D", page_count=3, scores=_scores(spark, sf),
     )
     return run.records()
@@ -396,9 +390,9 @@ def q_stream_digest(spark, sf):
         spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
         .select("event_id", "ts")
     )
-    count = fx.pages(spark, sf).select(F.count("*")).scalar()
+    count = fx.row_count(spark, sf, "pages")
     sighted = fx.answered(arriving.withColumn("page_id", F.col("event_id") % count))
-    pages = posting_texts(fx.pages(spark, sf)).select("page_id", "link", "title")
+    pages = posting_headings(fx.pages(spark, sf, spread=True))
     out, checkpoint = scratch_path(spark, "digest"), scratch_path(spark, "state")
     query = stream.append_digest(stream.first_links(stream.suitable_stream(sighted, pages)), out, checkpoint)
     query.awaitTermination()

@@ -7,9 +7,13 @@ constants below are plain SQL that both engines read alike.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from postsieve.sources.tables import newest, read_table
+
 PROFILE_TEXT = "python and java, spark spark"
 
 LOCATION_SQL = """CASE event_id % 7 WHEN 0 THEN 'USA' WHEN 1 THEN 'india' WHEN 2 THEN 'Deutschland'
@@ -41,28 +45,39 @@ RESPONSE_SQL = f"""CASE event_id % 12
     ELSE '```json' || chr(10) || {_OBJECT_SQL} || chr(10) || '```' END"""
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_tables: dict[tuple, DataFrame] = {}
+
 
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One DataFrame per table and application, so that files are listed once, not per use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, spread)
+    if key not in _tables:
+        _tables[key] = read_table(spark, f"{sf_dir}/{name}.parquet", spread)
+    return _tables[key]
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages")
 
+def pages(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    return table(spark, sf_dir, "pages", spread)
 
-def postings_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def postings_html(spark: SparkSession, sf_dir: str, spread: bool = True) -> DataFrame:
     """Pages with the template sentence put at the end of the article."""
     sentence = F.concat(F.lit(" "), F.expr(SENTENCE_SQL), F.lit("</article>"))
-    return pages(spark, sf_dir).withColumn("html", F.replace("html", F.lit("</article>"), sentence))
+    return pages(spark, sf_dir, spread).withColumn("html", F.replace("html", F.lit("</article>"), sentence))
 
 
-def as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     """The run's date: the newest sighting."""
-    return table(spark, sf_dir, "events").select(F.max("ts").alias("as_of"))
+    return newest(table(spark, sf_dir, "events"))
+
+
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    return table(spark, sf_dir, name).count()
 
 
-def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    count = pages(spark, sf_dir).select(F.count("*")).scalar()
-    return table(spark, sf_dir, "events").select(
+def sightings(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    count = row_count(spark, sf_dir, "pages")
+    return table(spark, sf_dir, "events", spread).select(
         "event_id",
         "ts",
         (F.col("event_id") % count).alias("page_id"),
@@ -89,6 +104,6 @@ def profile_text(spark: SparkSession) -> DataFrame:
 
 def page_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(page_id, embedding): vectors are handed out to pages in turn."""
-    count = vectors(spark, sf_dir).select(F.count("*")).scalar()
+    count = row_count(spark, sf_dir, "embeddings")
     owners = pages(spark, sf_dir).select("page_id", (F.col("page_id") % count).alias("vec_id"))
     return owners.join(vectors(spark, sf_dir), "vec_id").select("page_id", "embedding")
