@@ -13,10 +13,12 @@ _HEADING = r"(?is)<h1\b[^>]*>(.*?)</h1>"
 _BLOCK_TAG = (
     r"(?i)</?(?:p|div|ul|ol|li|h[1-6]|br|hr|tr|table|section|article|header|footer|blockquote|pre)\b[^>]*>"
 )
-# comments, scripts and styles with their content, then any other tag; every alternative starts
-# with the same character, so text between tags is skipped at once
+# comments, scripts and styles with their content (to the end of the text where they are left
+# open), then any other tag; every alternative starts with the same character, so text between
+# tags is skipped at once
 _UNSEEN = (
-    r"(?is)<(?:!--.*?-->|(?:script|style)\b[^>]*>.*?</(?:script|style)\s*>|/?[a-z][^>]*>|[!?][^>]*>)"
+    r"(?is)<(?:!--.*?(?:-->|\z)|(?:script|style)\b[^>]*>.*?(?:</(?:script|style)\s*>|\z)"
+    r"|/?[a-z][^>]*>|[!?][^>]*>)"
 )
 
 # Named character entities.

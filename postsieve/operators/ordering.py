@@ -21,16 +21,18 @@ def newest_first() -> list[Column]:
     return [F.col("ts").desc(), F.col("event_id").asc()]
 
 
-def first_seen(df: DataFrame, key: str = "link", order: Sequence[Column | str] = ()) -> DataFrame:
-    """The first row of every key in arrival order.
+def first_seen(
+    df: DataFrame, key: str = "link", order: Sequence[Column | str] = (), copies: int = 1
+) -> DataFrame:
+    """The first row of every key in arrival order (or the first few, with `copies`).
 
-    Spark turns `row_number() = 1` into a group limit on both sides of the shuffle: each map
-    task sends at most one row per key, so a key that holds a third of all rows costs no more
-    than any other. Filter before calling: a dropped first copy must not hide a later one.
+    Spark turns `row_number() <= n` into a group limit on both sides of the shuffle: each map
+    task sends at most `copies` rows per key, so a key that holds a third of all rows costs no
+    more than any other. Filter before calling: a dropped first copy must not hide a later one.
     """
     order = list(order) or [F.col("scan_rank"), *newest_first()]
     rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
-    return df.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= copies).drop("_rank")
 
 
 def page_limit(

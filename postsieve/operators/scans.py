@@ -21,9 +21,7 @@ def union_scans(sightings: DataFrame, scans: Scans, as_of: datetime | None) -> D
     The same rows as a union of one filtered read per scan, from a single read: the windows
     overlap, so reading per scan would read the recent part several times over.
     """
-    widest = _widest_start(scans, as_of)
-    inside = sightings if widest is None else sightings.filter(F.col("ts") >= widest)
-    return _listed_by(inside, scans, as_of, row_limits=False)
+    return _listed_by(within_widest(sightings, scans, as_of), scans, as_of, row_limits=False)
 
 
 def top_scans(
@@ -35,19 +33,19 @@ def top_scans(
     Windows nest and the order is newest first, so each scan's list is a prefix of the widest
     scan's list: one top-k over the widest window serves all of them.
     """
-    widest = _widest_start(scans, as_of)
-    inside = sightings if widest is None else sightings.filter(F.col("ts") >= widest)
+    inside = within_widest(sightings, scans, as_of)
     order = newest_first()
     top = page_limit(inside, order, max(pages for _, pages in scans), page_size)
     listed = _listed_by(number_listed(top, order, page_size), scans, as_of, row_limits=True)
     return listed.withColumn("scan_rank", F.col("scan_rank") + first_rank)
 
 
-def _widest_start(scans: Scans, as_of: datetime | None):
+def within_widest(sightings: DataFrame, scans: Scans, as_of: datetime | None) -> DataFrame:
+    """Sightings that at least one of the scans can list: those inside the widest window."""
     seconds = {timeline: dims.TIMELINE_SECONDS.get(timeline) for timeline, _ in scans}
     if None in seconds.values():
-        return None
-    return window_start(max(seconds, key=seconds.get), as_of)
+        return sightings
+    return sightings.filter(F.col("ts") >= window_start(max(seconds, key=seconds.get), as_of))
 
 
 def _listed_by(df: DataFrame, scans: Scans, as_of: datetime | None, row_limits: bool) -> DataFrame:

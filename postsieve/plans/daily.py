@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.predicates import matches_keywords, suitable
 from ..operators import records, scoring
-from ..session import use_checkpoint_dir
+from ..session import settled_table
 from ..sinks import names
 from ..sources.pages import posting_texts
 from . import steps
@@ -37,7 +37,7 @@ def daily(
     """Four scans, suitability, first-seen links, arrival order.
 
     The searches share one read of the sightings. Where scores come from the text, the keyword
-    test and the score share one read of the pages, whose narrow outcome is checkpointed
+    test and the score share one read of the pages, whose narrow outcome is written as a table
     because the best-match list and the searches both start from it.
     """
     best_count = sum(count for scan, count in scan_list if scan == dims.RECOMMENDED)
@@ -73,9 +73,8 @@ def daily(
 
 
 def _one_text_pass(pages: DataFrame, query: str, profile: DataFrame | None) -> DataFrame:
-    use_checkpoint_dir(pages.sparkSession)
     texts = posting_texts(pages).withColumn(
         "_found", matches_keywords(F.concat_ws(" ", "title", "jd"), query)
     )
     scored = scoring.with_text_score(texts, steps.one_profile(pages, profile))
-    return scored.select("page_id", "link", "match_score", "_found").checkpoint()
+    return settled_table(scored.select("page_id", "link", "match_score", "_found"), "scored_pages")

@@ -46,11 +46,20 @@ def listed_sightings(
     as_of: datetime | None,
     first_rank: int = 0,
 ) -> DataFrame:
-    """Sightings of found pages that the searches list on their first pages."""
+    """Sightings of found pages that the searches list on their first pages.
+
+    A search lists its newest rows, so of any one page no more than a full list can appear.
+    Sightings are thinned to that before they are joined, on the map side: a page seen all the
+    time does not flood the task that joins it.
+    """
     narrow = [name for name in ("event_id", "ts", "page_id", "response") if name in sightings.columns]
     eligible = sightings.filter("easy_apply") if easy_apply else sightings
     eligible = lookups.with_geo_id(eligible).filter(F.col("geo_id") == dims.geo_id_of(location)).select(*narrow)
-    return scans.top_scans(eligible.join(found, "page_id"), scan_list, as_of, first_rank=first_rank)
+    longest = max(pages for _, pages in scan_list) * dims.PAGE_SIZE
+    recent = ordering.first_seen(
+        scans.within_widest(eligible, scan_list, as_of), "page_id", ordering.newest_first(), longest
+    )
+    return scans.top_scans(recent.join(found, "page_id"), scan_list, as_of, first_rank=first_rank)
 
 
 def best_pages(scored: DataFrame, page_count: int = 1, scan_rank: int = 0) -> DataFrame:

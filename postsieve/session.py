@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -55,6 +55,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{use_checkpoint_dir(spark).rstrip('/')}/postsieve/{uuid.uuid4()}/{name}"
 
 
+def settled_table(df: DataFrame, name: str) -> DataFrame:
+    """Write an intermediate as parquet below the shared folder and read it back.
+
+    For results that several parts of a plan start from: computed once, read by column, with a
+    known size, and still there when executors are lost.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _with_scheme(sc, path: str) -> str:
     hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
     return hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(hadoop_path).toString()

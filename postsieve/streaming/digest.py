@@ -14,35 +14,32 @@ from ..operators import records
 REMEMBER_SECONDS = max(dims.TIMELINE_SECONDS.values())
 
 
-def suitable_stream(sightings: DataFrame, pages: DataFrame, yoe: int = dims.DEFAULT_YEARS) -> DataFrame:
-    """Suitable records of a stream of sightings with answers.
-
-    `pages` is a static table of page_id, link and title.
-    """
+def suitable_stream(sightings: DataFrame, yoe: int = dims.DEFAULT_YEARS) -> DataFrame:
+    """Suitable answers of a stream of sightings (event_id, ts, page_id, response)."""
     parsed = records.type_fields(records.parse_responses(sightings.select("event_id", "ts", "page_id", "response")))
-    usable = records.check_experience(parsed).filter(F.col("reason").isNull() & suitable(yoe))
-    return usable.join(pages.select("page_id", "link", "title"), "page_id")
+    return records.check_experience(parsed).filter(F.col("reason").isNull() & suitable(yoe))
 
 
-def first_links(records_stream: DataFrame, salts: int = 32, event_key: str = "event_id") -> DataFrame:
+def first_links(suitable_rows: DataFrame, pages: DataFrame, salts: int = 32) -> DataFrame:
     """Each link once within the window it is remembered for; which copy wins is open within a batch.
 
-    A stream cannot thin out repeats before the shuffle, so a link with very many copies would
-    land on one task. The first step splits every link `salts` ways and keeps at most that many
-    copies; the second sees only those. State of both expires with the watermark.
+    `pages` is a static table of page_id, link and title. A stream cannot thin out repeats before
+    a shuffle, so a page with very many sightings would land on one task, twice: in the join and
+    in the dedupe by link. The first step therefore splits every page `salts` ways by event and
+    keeps one row of each; the join and the dedupe see only those. State of both steps expires
+    with the watermark.
     """
-    timed = records_stream.withColumns(
+    timed = suitable_rows.withColumns(
         {
             "seen_at": F.col("ts").cast("timestamp"),
-            "_salt": F.pmod(F.xxhash64(event_key), F.lit(salts)),
+            "_salt": F.pmod(F.xxhash64("event_id"), F.lit(salts)),
         }
     )
-    return (
-        timed.withWatermark("seen_at", f"{REMEMBER_SECONDS} seconds")
-        .dropDuplicatesWithinWatermark(["link", "_salt"])
-        .dropDuplicatesWithinWatermark(["link"])
-        .drop("_salt")
+    thinned = timed.withWatermark("seen_at", f"{REMEMBER_SECONDS} seconds").dropDuplicatesWithinWatermark(
+        ["page_id", "_salt"]
     )
+    linked = thinned.drop("_salt").join(pages.select("page_id", "link", "title"), "page_id")
+    return linked.dropDuplicatesWithinWatermark(["link"])
 
 
 def append_digest(stream: DataFrame, path: str, checkpoint: str, with_score: bool = False) -> StreamingQuery:

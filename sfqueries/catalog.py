@@ -14,7 +14,7 @@ from postsieve.operators import hooks, lookups, ordering, records, scans, scorin
 from postsieve.plans.daily import daily
 from postsieve.plans.merge import merge
 from postsieve.plans.search import recommended, search
-from postsieve.session import scratch_path
+from postsieve.session import scratch_path, settled_table
 from postsieve.sinks import files
 from postsieve.sources.pages import posting_headings, posting_texts, scan_postings
 from postsieve.sources.raw_csv import read_digest, read_raw_postings
@@ -94,8 +94,14 @@ def q_typed_fields(spark, sf):
 
 
 def _raw_rows(spark, sf):
-    rows = _usable(spark, sf).join(_headings(spark, sf), "page_id")
-    return rows.join(_scores(spark, sf), "page_id")
+    """Usable answers with link, title and score of their page.
+
+    What pages contribute is settled as a narrow table first: the join then has a plain table on
+    one side, which Spark may broadcast if it turns out small, or else split where a page holds
+    too many sightings.
+    """
+    page_rows = settled_table(_headings(spark, sf).join(_scores(spark, sf), "page_id"), "page_rows")
+    return _usable(spark, sf).join(page_rows, "page_id")
 
 
 def q_raw_record(spark, sf):
@@ -271,12 +277,11 @@ def q_read_raw_postings(spark, sf):
 
 
 def q_append_roundtrip(spark, sf):
-    """Two appends to one folder, read back."""
+    """The same run appended twice to one folder, read back: every row is there twice."""
     path = scratch_path(spark, "raw_v2")
-    rows = _raw_rows(spark, sf)
-    easy = F.col("event_id") % 3 == 0
-    files.append_raw(records.raw_record(rows.filter(easy)), path)
-    files.append_raw(records.raw_record(rows.filter(~easy)), path)
+    rows = records.raw_record(_raw_rows(spark, sf))
+    files.append_raw(rows, path)
+    files.append_raw(rows, path)
     return read_raw_postings(spark, path).drop(schemas.CORRUPT)
 
 
@@ -394,7 +399,8 @@ def q_stream_digest(spark, sf):
     sighted = fx.answered(arriving.withColumn("page_id", F.col("event_id") % count))
     pages = posting_headings(fx.pages(spark, sf, spread=True))
     out, checkpoint = scratch_path(spark, "digest"), scratch_path(spark, "state")
-    query = stream.append_digest(stream.first_links(stream.suitable_stream(sighted, pages)), out, checkpoint)
+    links = stream.first_links(stream.suitable_stream(sighted), pages)
+    query = stream.append_digest(links, out, checkpoint)
     query.awaitTermination()
     return spark.read.schema(schemas.layout("digest")).parquet(out).select("link")
 

@@ -23,7 +23,7 @@ _ENTITIES = (
 
 def _text(html: str) -> str:
     blocks = "p|div|ul|ol|li|h[1-6]|br|hr|tr|table|section|article|header|footer|blockquote|pre"
-    sql = f"regexp_replace({html}, '(?is)<!--.*?-->|<(?:script|style)\\b[^>]*>.*?</(?:script|style)\\s*>', '', 'g')"
+    sql = f"regexp_replace({html}, '(?is)<!--.*?(?:-->|\\z)|<(?:script|style)\\b[^>]*>.*?(?:</(?:script|style)\\s*>|\\z)', '', 'g')"
     sql = f"regexp_replace({sql}, '[ \\t\\r\\n\\f]+', ' ', 'g')"
     sql = f"regexp_replace({sql}, '(?i)</?(?:{blocks})\\b[^>]*>', chr(10), 'g')"
     sql = f"regexp_replace({sql}, '</?[a-zA-Z][^>]*>|<[!?][^>]*>', '', 'g')"
@@ -245,7 +245,7 @@ def oracle_sql() -> dict[str, str]:
         "match_score_text": f"WITH {_POSTINGS}, {_WORDS}, {_TEXT_SCORES} SELECT page_id, match_score FROM text_scores",
         "read_raw_postings": f"""WITH {_PARSED}, {_HEADINGS}, {_SCORES}
             SELECT *, CAST(NULL AS VARCHAR) AS _corrupt_record FROM ({_RAW_ROWS_READ})""",
-        "append_roundtrip": f"WITH {_PARSED}, {_HEADINGS}, {_SCORES} {_RAW_ROWS_READ}",
+        "append_roundtrip": f"WITH {_PARSED}, {_HEADINGS}, {_SCORES} {_RAW_ROWS_READ} UNION ALL {_RAW_ROWS_READ}",
         "digest_roundtrip": f"""WITH {_PARSED}, {_HEADINGS}
             {_DIGEST_ROWS.format(min_exp="nullif(min_exp, '') AS min_exp")}""",
         "merge_raw": f"WITH {_PARSED}, {_HEADINGS}, {_SCANS.format(source='usable')} "
