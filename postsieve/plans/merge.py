@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import schemas
 from ..operators.records import digest
 from ..sinks.files import write_digest
-from ..sources.raw_csv import read_raw_postings
+from ..sources.raw_csv import misfits, read_raw_postings
 
 READ = "read"
 
@@ -24,8 +24,8 @@ def merge(
     Lines that do not fit the layout go to quarantine. The inputs are left in place.
     """
     rows = read_raw_postings(spark, list(paths), layout)
-    merged = digest(rows.filter(F.col(schemas.CORRUPT).isNull()))
-    bad = rows.filter(F.col(schemas.CORRUPT).isNotNull()).select(
+    merged = digest(rows.filter(~misfits()))
+    bad = rows.filter(misfits()).select(
         "link", F.lit(READ).alias("stage"), F.lit("bad_row").alias("reason"), F.col(schemas.CORRUPT).alias("raw")
     )
     if targets:
