@@ -33,8 +33,12 @@ def within_window(ts: Column, timeline: str, as_of: datetime | None) -> Column:
 
 def matches_keywords(text: Column, query: str) -> Column:
     """Every blank-separated term of the query occurs in the text, whatever the case."""
-    lowered = F.lower(text)
-    return reduce(Column.__and__, (F.contains(lowered, F.lit(term)) for term in query.lower().split()), F.lit(True))
+    return contains_terms(F.lower(text), query)
+
+
+def contains_terms(lowered: Column, query: str) -> Column:
+    terms = (F.contains(lowered, F.lit(term)) for term in query.lower().split())
+    return reduce(Column.__and__, terms, F.lit(True))
 
 
 def experience_bound(raw: Column, years: Column, limit: int) -> Column:

@@ -16,10 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions import predicates
+from ..functions.text import normalize_link
 from ..operators import hooks, lookups, ordering, records, scans, scoring
+from ..operators.filters import keyword_filter
 from ..sources.pages import posting_texts
-from ..functions.text import normalize_link
 
 # Picked rows are broadcast to fetch their pages up to this many; beyond it Spark decides.
 BROADCAST_PICKS = 10_000
@@ -29,10 +29,7 @@ SCORE_DIGITS = 4
 
 def keyword_pages(pages: DataFrame, query: str, scores: DataFrame | None = None) -> DataFrame:
     """Ids of the pages a query finds (with their scores, if given). No query, no text read."""
-    found = pages
-    if query.split():
-        text = F.concat_ws(" ", "title", "jd")
-        found = posting_texts(pages).filter(predicates.matches_keywords(text, query))
+    found = keyword_filter(posting_texts(pages), query) if query.split() else pages
     found = found.select("page_id")
     return found if scores is None else found.join(scores.select("page_id", "match_score"), "page_id", "left")
 

@@ -31,13 +31,13 @@ def posting_headings(pages: DataFrame) -> DataFrame:
 def posting_texts(pages: DataFrame) -> DataFrame:
     """Postings with cleaned link and title and the text of the body as `jd`.
 
-    Columns of `pages` beyond the three raw ones are kept. Title and text are computed once per
-    page whatever filters follow.
+    Columns of `pages` beyond the three raw ones are kept. The text is computed once per page
+    whatever filters follow; the title, a few words, is left for the optimizer to prune or move.
     """
     extra = [column for column in pages.columns if column not in ("page_id", "url", "html")]
     link, title = _heading()
     jd = text.html_to_text(text.article_html(F.col("html")))
-    return computed_once(pages, {"title": title, "jd": jd}).select("page_id", link, "title", "jd", *extra)
+    return computed_once(pages, {"jd": jd}).select("page_id", link, title, "jd", *extra)
 
 
 def _heading() -> list[Column]:

@@ -11,6 +11,7 @@ from postsieve import dims, schemas
 from postsieve.functions import extract, predicates, text
 from postsieve.functions.response import strip_fence
 from postsieve.operators import hooks, lookups, ordering, records, scans, scoring
+from postsieve.operators.filters import keyword_filter
 from postsieve.plans.daily import daily
 from postsieve.plans.merge import merge
 from postsieve.plans.search import recommended, search
@@ -49,6 +50,10 @@ def _headings(spark, sf):
     return scan_postings(fx.pages(spark, sf, spread=True)).select("page_id", "link", "title")
 
 
+def _stored_scores(spark, sf):
+    return settled_table(_scores(spark, sf), "scores")
+
+
 def _scores(spark, sf):
     vectors = fx.page_vectors(spark, sf)
     return scoring.with_vector_score(vectors, fx.profile_vector(spark, sf)).select("page_id", _score())
@@ -137,8 +142,7 @@ def q_geo_filter(spark, sf):
 
 
 def q_keyword_filter(spark, sf):
-    found = predicates.matches_keywords(F.concat_ws(" ", "title", "jd"), "Python django")
-    return _texts(spark, sf).filter(found).select("page_id", "title")
+    return keyword_filter(_texts(spark, sf), "Python django").select("page_id", "title")
 
 
 def q_easy_apply_filter(spark, sf):
@@ -320,13 +324,13 @@ def q_search_answers(spark, sf):
     """Fields from answers, stored scores."""
     run = search(
         fx.pages(spark, sf, spread=True), fx.answered(fx.sightings(spark, sf)), fx.as_of(spark, sf),
-        query="", location="Germany", timeline="7D", page_count=3, scores=_scores(spark, sf),
+        query="", location="Germany", timeline="7D", page_count=3, scores=_stored_scores(spark, sf),
     )
     return run.records()
 
 
 def q_recommended(spark, sf):
-    run = recommended(fx.postings_html(spark, sf), scores=_scores(spark, sf))
+    run = recommended(fx.postings_html(spark, sf), scores=_stored_scores(spark, sf))
     return run.records()
 
 
@@ -339,7 +343,7 @@ def q_daily_digest(spark, sf):
     """Fields from answers, stored scores."""
     run = daily(
         fx.postings_html(spark, sf), fx.answered(fx.sightings(spark, sf)), fx.as_of(spark, sf),
-        query="experience", location="USA", yoe=2, scores=_scores(spark, sf),
+        query="experience", location="USA", yoe=2, scores=_stored_scores(spark, sf),
     )
     return run.digest(with_score=True)
 
