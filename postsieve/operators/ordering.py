@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..session import use_checkpoint_dir
+from ..session import settled_table
 
 _ROW_BITS = 33  # monotonically_increasing_id = (partition << 33) + row within partition
 
@@ -70,18 +70,20 @@ def number_pages(
 ) -> DataFrame:
     """Add `page` and `position` to every row of a whole scan (or of each scan in `scan`).
 
-    No task ever holds a scan: the rows are range-partitioned in arrival order, checkpointed so
-    that partition contents are settled even if executors are lost, counted per partition, and
-    numbered by offset plus place within the partition.
+    No task ever holds a scan: the rows are range-partitioned in arrival order and written with
+    their partition and their place in it, counted per partition, and numbered by offset plus
+    place. The written table settles which row is where, whatever executors are lost later.
     """
-    use_checkpoint_dir(df.sparkSession)
     by = [scan] if scan else []
-    settled = df.orderBy(*by, *order).checkpoint()
-    placed = settled.withColumn("_id", F.monotonically_increasing_id()).select(
-        "*",
-        F.shiftright("_id", _ROW_BITS).alias("_part"),
-        F.col("_id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_row"),
-    ).drop("_id")
+    place = F.monotonically_increasing_id()
+    placed = settled_table(
+        df.orderBy(*by, *order).select(
+            "*",
+            F.shiftright(place, _ROW_BITS).alias("_part"),
+            place.bitwiseAND(F.lit((1 << _ROW_BITS) - 1)).alias("_row"),
+        ),
+        "placed_rows",
+    )
     counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     # one row per partition and scan: bounded by the partition count, not by the data
