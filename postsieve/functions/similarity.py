@@ -12,35 +12,41 @@ def vector_score(vector: Column, profile: Column) -> Column:
     return F.try_divide(dot * 100.0, _length(vector) * _length(profile))
 
 
-def term_dot(hits: Column, profile_counts: Column) -> Column:
-    """Dot product of term frequencies. `hits` are the posting's words that the profile shares,
-    repeats included; `profile_counts` maps a profile term to its frequency."""
-    return F.aggregate(
-        hits, F.lit(0.0), lambda total, word: total + F.element_at(profile_counts, word).cast("double")
+def weighted_hits(tokens: Column, weights: dict[str, int]) -> Column:
+    """Dot product of a token array with the term frequencies of a profile.
+
+    The profile's terms are constants, so membership is a hash lookup per word. Terms are
+    grouped by frequency; only the shared words are looked at again.
+    """
+    if not weights:
+        return F.lit(0.0)
+    by_weight: dict[int, list[str]] = {}
+    for term, weight in sorted(weights.items()):
+        by_weight.setdefault(weight, []).append(term)
+    hits = F.filter(tokens, lambda word: word.isin(*weights))
+    return _total(F.transform(hits, lambda word: _weight(word, by_weight)))
+
+
+def _weight(word: Column, by_weight: dict[int, list[str]]) -> Column:
+    first, *others = sorted(by_weight)
+    weight = F.lit(float(first))
+    for other in others:
+        weight = F.when(word.isin(*by_weight[other]), float(other)).otherwise(weight)
+    return weight
+
+
+def squared_counts(ordered: Column) -> Column:
+    """Sum of squared term frequencies of a sorted token array.
+
+    Equal words stand together, so the places where the word changes give the run lengths.
+    `ordered` is read several times and must be a column of its own.
+    """
+    starts = F.transform(ordered, lambda word, i: F.when(~word.eqNullSafe(F.get(ordered, i - 1)), i))
+    ends = F.transform(ordered, lambda word, i: F.when(~word.eqNullSafe(F.get(ordered, i + 1)), i + 1))
+    squares = F.zip_with(
+        F.array_compact(starts), F.array_compact(ends), lambda start, end: ((end - start) * (end - start)).cast("double")
     )
-
-
-def term_counts(tokens: Column) -> Column:
-    """Term frequencies as a map; meant for the one profile, not for every posting."""
-    terms = F.array_distinct(tokens)
-    return F.map_from_arrays(
-        terms, F.transform(terms, lambda term: F.size(F.filter(tokens, lambda word: word == term)))
-    )
-
-
-def squared_counts(tokens: Column) -> Column:
-    """Sum of squared term frequencies: sort, then add 2n+1 whenever a run grows from n to n+1."""
-    start = F.struct(
-        F.lit("").alias("term"), F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("total")
-    )
-
-    def step(state: Column, word: Column) -> Column:
-        run = F.when(state["term"] == word, state["run"]).otherwise(F.lit(0).cast("bigint"))
-        return F.struct(
-            word.alias("term"), (run + 1).alias("run"), (state["total"] + 2 * run + 1).alias("total")
-        )
-
-    return F.aggregate(F.sort_array(tokens), start, step, lambda state: state["total"].cast("double"))
+    return _total(squares)
 
 
 def _length(vector: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
@@ -18,11 +20,13 @@ def parse_responses(df: DataFrame, column: str = "response", legacy: bool = Fals
     kept = [name for name in df.columns if name not in keys]
     bodies = computed_once(df, {"_body": response.strip_fence(F.col(column))})
     body = F.col("_body")
+    parsed = computed_once(bodies, {"_answer": response.parse_answer(body, legacy)})
+    answer = F.col("_answer")
+    # only an answer with a null needs a second look at its JSON for absent keys
+    some_null = reduce(Column.__or__, (answer[key].isNull() for key in keys))
     parsed = computed_once(
-        bodies,
-        {"_answer": response.parse_answer(body, legacy), "_absent": response.absent_keys(body, legacy)},
+        parsed, {"_absent": F.when(some_null, response.absent_keys(body, legacy)).otherwise(0)}
     )
-    answer = F.col("_answer")
     reason = response.answer_problem(F.col("_absent"), answer["company"])
     return (
         parsed.withColumn("reason", reason)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 
-# A profile is sent to every task as part of the plan up to this many bytes of text.
-INLINE_PROFILE_BYTES = 1 << 20
+# A profile of up to this many distinct terms becomes part of the plan.
+INLINE_TERMS = 2_000
 
 
 def with_vector_score(df: DataFrame, profile: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -29,51 +31,38 @@ def with_text_score(
     profile: DataFrame,
     jd: str = "jd",
     key: str = "page_id",
-    inline_bytes: int = INLINE_PROFILE_BYTES,
+    inline_terms: int = INLINE_TERMS,
 ) -> DataFrame:
     """Add `match_score` from term frequencies. `profile` holds one row, one column: its text.
 
-    A profile of ordinary size is scored row by row without a shuffle. A larger one becomes a
-    table of terms joined by term; both ways give the same scores. `key` must be unique.
+    The profile is counted first. With up to `inline_terms` distinct terms it is a handful of
+    constants, and postings are scored row by row without a shuffle. A larger one stays a table
+    of terms and is joined by term. Both ways give the same scores. `key` must be unique.
     """
-    size = profile.select(F.max(F.octet_length(profile.columns[0]))).first()[0]
-    if size is not None and size > inline_bytes:
-        return _text_score_by_join(df, profile, jd, key)
-    scalar = (
-        profile.select(text.tokens(F.col(profile.columns[0])).alias("words"))
-        .select(
-            F.struct(
-                F.array_distinct("words").alias("terms"),
-                similarity.term_counts(F.col("words")).alias("counts"),
-                F.sqrt(similarity.squared_counts(F.col("words"))).alias("norm"),
-            )
-        )
-        .scalar()
-    )
-    # `_words` and `_shared` are columns of their own, each read more than once, so that the
-    # optimizer keeps them outside the lambdas instead of building them again for every word
-    shared = F.array_intersect("_profile.terms", "_words")
-    hits = F.when(
-        F.size("_shared") > 0, F.filter("_words", lambda word: F.array_contains("_shared", word))
-    ).otherwise(F.array().cast("array<string>"))
-    norms = F.sqrt(similarity.squared_counts(F.col("_words"))) * F.col("_profile.norm")
-    dot = similarity.term_dot(F.col("_hits"), F.col("_profile.counts"))
+    terms = _profile_terms(profile)
+    few = terms.limit(inline_terms + 1).collect()
+    if len(few) > inline_terms:
+        return _text_score_by_join(df, terms, jd, key)
+    weights = {row["term"]: row["weight"] for row in few}
+    norm = math.sqrt(sum(weight * weight for weight in weights.values()))
+    # `_words` is a column of its own so that it is not built again inside the lambdas; order
+    # does not matter for the hits, so it is sorted at once
+    dot = similarity.weighted_hits(F.col("_words"), weights)
+    norms = F.sqrt(similarity.squared_counts(F.col("_words"))) * F.lit(norm)
     return (
-        df.withColumn("_profile", scalar)
-        .withColumn("_words", text.tokens(F.col(jd)))
-        .withColumn("_shared", shared)
-        .withColumn("_hits", hits)
+        df.withColumn("_words", F.sort_array(text.tokens(F.col(jd))))
         .withColumn("match_score", F.coalesce(F.try_divide(dot * 100.0, norms), F.lit(0.0)))
-        .drop("_profile", "_words", "_shared", "_hits")
+        .drop("_words")
     )
 
 
-def _text_score_by_join(df: DataFrame, profile: DataFrame, jd: str, key: str) -> DataFrame:
+def _profile_terms(profile: DataFrame) -> DataFrame:
+    words = text.tokens(F.col(profile.columns[0]))
+    return profile.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("weight"))
+
+
+def _text_score_by_join(df: DataFrame, profile_terms: DataFrame, jd: str, key: str) -> DataFrame:
     words = text.tokens(F.col(jd))
-    profile_terms = (
-        profile.select(F.explode(text.tokens(F.col(profile.columns[0]))).alias("term"))
-        .groupBy("term").agg(F.count("*").alias("weight"))
-    )
     profile_norm = profile_terms.select(F.sqrt(F.sum((F.col("weight") * F.col("weight")).cast("double")))).scalar()
     # counted per posting and term before the join, and the profile has one row per term:
     # a frequent word adds one row per posting, and skew-join splitting may divide those

@@ -24,12 +24,12 @@ def cosine(text, profile):
     return 100 * sum(n * b[t] for t, n in a.items()) / norms if norms else 0.0
 
 
-@pytest.mark.parametrize("inline_bytes", [1 << 20, 0])
-@pytest.mark.parametrize("profile", ["python and java, spark spark", "one", "", None])
-def test_text_score(spark, profile, inline_bytes):
+@pytest.mark.parametrize("inline_terms", [2000, 0])
+@pytest.mark.parametrize("profile", ["python and java, spark spark", "one", "a a a b b and and and java " * 9, "", None])
+def test_text_score(spark, profile, inline_terms):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "page_id int, jd string")
     one = spark.createDataFrame([(profile,)], "profile string")
-    rows = scoring.with_text_score(df, one, inline_bytes=inline_bytes).collect()
+    rows = scoring.with_text_score(df, one, inline_terms=inline_terms).collect()
     assert len(rows) == len(TEXTS)
     for row in rows:
         assert row["match_score"] == pytest.approx(cosine(row["jd"], profile), abs=1e-9)
@@ -42,6 +42,7 @@ def test_text_score_moves_no_text(spark, capsys):
     scoring.with_text_score(pages, profile).explain()
     plan = capsys.readouterr().out
     assert "Exchange" not in plan and "Join" not in plan and "EvalPython" not in plan
+    assert plan.count(text.TOKEN) == 1
 
 
 def test_vector_score(spark):
