@@ -103,9 +103,9 @@ def test_partitioned_append(spark):
     assert read_raw_postings(spark, f"{path}/geo_id=1/timeline=24H/easy_apply=false").count() == 3
 
 
-@pytest.mark.parametrize("content", ["my resume\nwith lines\n", ""])
+@pytest.mark.parametrize("content", ["my profile\nwith lines\n", ""])
 def test_profile(spark, tmp_path, content):
-    path = tmp_path / "resume.txt"
+    path = tmp_path / "profile.txt"
     path.write_text(content)
     rows = read_profile(spark, str(path)).collect()
     assert [r["profile"] for r in rows] == [content]
