@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..session import settled_table
 
+_FEW_SCANS = 1_000
 _ROW_BITS = 33  # monotonically_increasing_id = (partition << 33) + row within partition
 
 
@@ -86,11 +87,13 @@ def number_pages(
     )
     counts = placed.groupBy(*by, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
     before = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    # one row per partition and scan: bounded by the partition count, not by the data
     offsets = counts.select(
         *by, "_part", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first")).alias("_offset")
     )
-    numbered = placed.join(F.broadcast(offsets), [*by, "_part"]).withColumn("_seq", F.col("_offset") + F.col("_row"))
+    # one row per partition plus one per scan, so few as long as the scans are few
+    if scan is None or placed.select(scan).distinct().limit(_FEW_SCANS + 1).count() <= _FEW_SCANS:
+        offsets = F.broadcast(offsets)
+    numbered = placed.join(offsets, [*by, "_part"]).withColumn("_seq", F.col("_offset") + F.col("_row"))
     return _as_pages(numbered.drop("_part", "_row", "_offset"), page_size)
 
 

@@ -20,6 +20,9 @@ def build_session(app_name: str = "postsieve", master: str | None = None, **conf
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # links seen by the stream are kept on disk, not on the heap
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         # postings are wide rows: keep Arrow batches for the two Python hooks small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     }

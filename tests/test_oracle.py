@@ -21,8 +21,13 @@ def test_every_query_has_sql():
 
 @pytest.mark.parametrize("sf", SF)
 @pytest.mark.parametrize("name", sorted(QUERIES))
-def test_same_rows(spark, cons, name, sf):
-    names, rows = spark_rows(QUERIES[name](spark, sf))
+def test_same_rows(spark, cons, name, sf, capsys):
+    df = QUERIES[name](spark, sf)
+    df.explain()
+    plan = capsys.readouterr().out
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "EvalPython" not in plan or name == "encode_hook"
+    names, rows = spark_rows(df)
     duck_names, expected = duck_rows(cons[sf], ORACLES[name])
     assert names == duck_names
     assert sum(rows.values()) == sum(expected.values())
