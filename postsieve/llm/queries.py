@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import mixing, secrets
+from postsieve.llm import mixing, pii, secrets
 from postsieve.llm.spans import joined
 
 
@@ -35,8 +35,19 @@ def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spotted = pii.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = [(k, F.col(k)) for k in pii.KINDS]
+    return spotted.select(
+        "doc_id",
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in pii.KINDS],
+        _digest(kinds[:4]).alias("base_sha256"), joined(kinds).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": q_mixing,
         "op3_secrets": q_secrets,
+        "op4_pii": q_pii,
     }
