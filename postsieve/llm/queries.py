@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import mixing, pii, secrets
+from postsieve.llm import mixing, ngram_join, pii, secret_scan
 from postsieve.llm.spans import joined
 
 
@@ -26,11 +26,11 @@ def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    spotted = secrets.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"])
-    kinds = [(k, F.col(k)) for k in secrets.KINDS]
+    spotted = secret_scan.scan(_read(spark, sf_dir, "documents"), keep=["doc_id"])
+    kinds = [(k, F.col(k)) for k in secret_scan.KINDS]
     return spotted.select(
         "doc_id",
-        *[F.size(k).cast("long").alias(f"n_{k}") for k in secrets.KINDS],
+        *[F.size(k).cast("long").alias(f"n_{k}") for k in secret_scan.KINDS],
         _digest(kinds[:3]).alias("base_sha256"), joined(kinds).alias("spans"),
     )
 
@@ -45,9 +45,14 @@ def q_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_mixing": q_mixing,
         "op3_secrets": q_secrets,
         "op4_pii": q_pii,
+        "op10_ngram_join": q_ngram_join,
     }
