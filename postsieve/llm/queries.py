@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import mixing, ngram_join, pii, secret_scan
+from postsieve.llm import mixing, ngram_join, pii, secret_scan, suffix_dedup
 from postsieve.llm.spans import joined
 
 
@@ -19,6 +19,10 @@ def _digest(kinds: list[tuple[str, Column]]) -> Column:
     return F.sha2(joined(kinds).cast("binary"), 256)
 
 
+def q_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+
+
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_read(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "source"
@@ -51,6 +55,7 @@ def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": q_suffix_dedup,
         "op2_mixing": q_mixing,
         "op3_secrets": q_secrets,
         "op4_pii": q_pii,
