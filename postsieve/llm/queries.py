@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import mixing, ngram_join, pii, secret_scan, suffix_dedup
+from postsieve.llm import mixing, ngram_join, pii, quality_net, secret_scan, suffix_dedup
 from postsieve.llm.spans import joined
 
 
@@ -49,6 +49,15 @@ def q_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    net = quality_net.train(docs, _read(spark, sf_dir, "labels"))
+    return quality_net.score(docs, net, keep=["doc_id"]).select(
+        "doc_id", quality_net.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_net.THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_read(spark, sf_dir, "documents"))
 
@@ -59,5 +68,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mixing": q_mixing,
         "op3_secrets": q_secrets,
         "op4_pii": q_pii,
+        "op5_quality": q_quality,
         "op10_ngram_join": q_ngram_join,
     }
