@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postsieve.llm import mixing, ngram_join, pii, quality_net, secret_scan, suffix_dedup
+from postsieve.llm import (
+    adaptive_search,
+    mixing,
+    ngram_join,
+    pii,
+    quality_net,
+    secret_scan,
+    subspace_join,
+    suffix_dedup,
+)
 from postsieve.llm.spans import joined
 
 
@@ -58,6 +67,15 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_adaptive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return adaptive_search.search(vectors, F.col("vec_id") % 20 == 0)
+
+
+def q_subspace_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subspace_join.near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_read(spark, sf_dir, "documents"))
 
@@ -69,5 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_secrets": q_secrets,
         "op4_pii": q_pii,
         "op5_quality": q_quality,
+        "op6_adaptive_search": q_adaptive_search,
+        "op7_subspace_join": q_subspace_join,
         "op10_ngram_join": q_ngram_join,
     }
