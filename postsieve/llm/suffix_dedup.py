@@ -190,7 +190,8 @@ def remove_repeats(
         F.col(text).cast("binary").alias("text"),
     )
     rows = body.select("doc", "text").mapInArrow(_cell_rows(length, key), "digit long, whole long, doc long, start long")
-    shared = rows.select("digit").groupBy("digit").count().where("count > 1").select("digit")
+    # written, so that the join has a plain shuffle on both sides and a digit with many cells can be split
+    shared = settle(rows.select("digit").groupBy("digit").count().where("count > 1").select("digit"), "suffix_digits")
     found = settle(rows.join(shared, "digit"), "suffix_cells")
     equal = found.groupBy("digit", "whole").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("one"))
     equal = settle(equal, "suffix_equal")
