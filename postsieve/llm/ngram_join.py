@@ -8,7 +8,8 @@ prefix. Groups that share a shingle are candidates; their members are verified e
 The result is a class per document, not all pairs. So candidates are taken in two steps. First every group of
 a list is verified against the list's first group, which settles lists of many near copies with
 one pair per member. Then pairs of groups that share a shingle and are not yet in one class are
-expanded to their members and verified: no link between different classes is left out.
+expanded to their members and verified: no link between different classes is left out. Pairs are
+verified only if their prefixes share as many shingles as their sizes then demand.
 
 Shingles come in the order of their hashes, with frequent ones last: those that repeat within a
 task's block of shingles are counted over all blocks, and the most frequent, at most
@@ -36,6 +37,8 @@ WORDS = 5
 #: A shingle is frequent from this many counted documents on; how many are broadcast at most (16 bytes each).
 FREQUENT = 64
 MAX_FREQUENT = 200_000
+#: Documents whose ids are broadcast at most to fetch their texts (some 16 bytes each); more are joined.
+MAX_SENT = 500_000
 #: Shingles in a block, and groups under one key of a frequent shingle, about.
 BLOCK = 1 << 20
 LIST = 1_000
@@ -117,9 +120,10 @@ def _prefixes(words: int, percent: int, frequent):
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [hashing.shingles(t.as_buffer() if t.is_valid else None, words).view(np.int64) for t in batch.column(1)]
+            sets = [hashing.shingles(t.as_buffer() if t.is_valid else None, words).view(np.int64) for t in batch.column(0)]
+            nodes = [_digest(own.view(np.uint64), len(own)) for own in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"]
+                [pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["node", "own"]
             )
     return run
 
@@ -135,14 +139,42 @@ def _frequent(spark: SparkSession, counted: DataFrame):
     return spark.sparkContext.broadcast((known[order], top.column("seen").to_numpy()[order]))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets have the Jaccard index asked for."""
-    close = pairs.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("a") != F.col("b")))
-    a = sets.select(F.col("node").alias("a"), F.col("own").alias("own_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("own").alias("own_b"))
+def _sized(percent: int):
+    """Whether two sizes allow the index asked for."""
+    return 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+
+
+def _shared_at_least(percent: int):
+    """Shingles that the prefixes of a pair share at least if its index is high enough.
+
+    With n - alpha + l shingles of either, where alpha is the least intersection, at least l are shared.
+    """
+    alpha = F.ceil(percent * (F.col("na") + F.col("nb")) / (100 + percent) - F.lit(1e-9))
+    spare = [alpha - F.ceil(percent * F.col(n) / 100 - F.lit(1e-9)) + 1 for n in ("na", "nb")]
+    return F.greatest(F.least(*spare), F.lit(1))
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sized: DataFrame, percent: int, words: int, name: str) -> DataFrame:
+    """The pairs (a, b, na, nb) whose sets have the Jaccard index asked for, compared in full."""
+    pairs = settle(pairs, f"{name}_pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    # one document of each set; few enough are sent to the texts, else the texts are shuffled
+    one = settle(sized.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")), f"{name}_nodes")
+    small = one.count() <= MAX_SENT
+    one = one.select(F.col("id").alias("of")).distinct()
+    texts = docs.join(F.broadcast(one) if small else one, F.col("id").eqNullSafe(F.col("of"))).select("text")
+    sets = settle(
+        texts.mapInArrow(_sets(words), "node long, own array<long>").groupBy("node", F.size("own").alias("n"))
+        .agg(F.first("own").alias("own")),
+        f"{name}_sets",
+    )
+    a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("own_a"))
+    b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("own_b"))
+    both = pairs.join(a, ["a", "na"]).join(b, ["b", "nb"])
     common = F.size(F.array_intersect("own_a", "own_b"))
-    both = close.select("a", "b", "na", "nb").distinct().join(a, "a").join(b, "b")
-    return both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b")
+    return settle(
+        both.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), f"{name}_links"
+    )
 
 
 def classes(
@@ -186,27 +218,23 @@ def classes(
     leads = members.groupBy("grp").agg(F.min("node").alias("lead"), F.max("node").alias("other"), F.first("n").alias("n"))
     leads = settle(leads, "ngram_leads")
 
-    # the first document of each set that may have a partner, and its shingles
-    wanted = (
-        members.join(lists.select("grp").distinct().unionAll(leads.where("lead < other").select("grp")).distinct(), "grp")
-        .select("node").distinct()
-    )
-    one = sized.where("n > 0").join(wanted, "node").groupBy("node").agg(F.min("id").alias("id"))
-    texts = one.join(body, "id").select("node", "text")
-    sets = settle(
-        texts.mapInArrow(_sets(words), "node long, own array<long>").dropDuplicates(["node"]), "ngram_sets"
-    )
-
-    lead = leads.select(F.col("grp"), F.col("lead").alias("a"), F.col("n").alias("na"))
+    lead = leads.select("grp", F.col("lead").alias("a"), F.col("n").alias("na"))
     head = leads.select(F.col("grp").alias("head"), F.col("lead").alias("b"), F.col("n").alias("nb"))
     tops = lists.groupBy("shingle").agg(F.min("head").alias("top"))
     heads_of_parts = lists.select("shingle", "head").distinct().join(tops, "shingle").where("head <> top")
     star = lists.select("grp", "head").unionAll(heads_of_parts.select(F.col("head").alias("grp"), F.col("top").alias("head")))
-    star = star.where("grp <> head").distinct().join(lead, "grp").join(head, "head").select("a", "b", "na", "nb")
-    inside = members.join(leads.where("lead < other").select("grp", "lead"), "grp").select(
+    star = star.where("grp <> head").distinct().join(lead, "grp").join(head, "head").where(_sized(percent))
+    prefixes = grouped.where(F.size("prefix") > 0).select("grp", "prefix")
+    prefixes = prefixes.join(
+        star.select("grp").unionAll(star.select("head")).distinct(), "grp", "left_semi"
+    ).groupBy("grp").agg(F.first("prefix").alias("prefix"))
+    star = star.join(prefixes.select("grp", F.col("prefix").alias("pa")), "grp").join(
+        prefixes.select(F.col("grp").alias("head"), F.col("prefix").alias("pb")), "head"
+    ).where(F.size(F.array_intersect("pa", "pb")) >= _shared_at_least(percent)).select("a", "b", "na", "nb")
+    inside = members.join(leads.where("lead < other").select("grp", "lead"), "grp").where("node <> lead").select(
         F.col("node").alias("a"), F.col("lead").alias("b"), F.col("n").alias("na"), F.col("n").alias("nb")
     )
-    links = settle(_linked(star.unionAll(inside), sets, percent), "ngram_links")
+    links = _linked(star.unionAll(inside), body, sized, percent, words, "ngram_star")
     comps = components(links)
 
     # what is not in one class yet: pairs of classes under one shingle, expanded to their members
@@ -225,8 +253,11 @@ def classes(
     ).select("shingle", "ca", "cb")
     pa_ = placed.select("shingle", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
     pb_ = placed.select("shingle", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    rest = met.join(pa_, ["shingle", "ca"]).join(pb_, ["shingle", "cb"])
-    more = settle(_linked(rest, sets, percent), "ngram_more")
+    rest = met.join(pa_, ["shingle", "ca"]).join(pb_, ["shingle", "cb"]).where(_sized(percent))
+    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(
+        F.col("shared") >= _shared_at_least(percent)
+    ).select("a", "b", "na", "nb")
+    more = _linked(rest, body, sized, percent, words, "ngram_rest")
     if not more.isEmpty():
         comps = components(links.unionAll(more))
 
