@@ -104,7 +104,8 @@ def _prefixes(words: int, percent: int, frequent):
                 prefix, count = own[order], count[order]
                 group = _digest(prefix, n)
                 parts = np.maximum(count // LIST, 1)
-                parts = (np.uint64(group & (2**64 - 1)) % parts.astype(np.uint64)).astype(np.int64)
+                place = (np.uint64(group & (2**64 - 1)) % parts.astype(np.uint64)).astype(np.int64)
+                parts = np.where(parts > 1, place, -1)
                 first = group not in dealt
                 if first and len(dealt) < 1_000_000:
                     dealt.add(group)
@@ -208,9 +209,9 @@ def classes(
         .repartition("shingle", "part")
     )
     heads = listed.groupBy("shingle", "part").agg(F.min("grp").alias("head"), F.max("grp").alias("last"))
-    # every list but those of one group; a shingle split into parts stays if any two groups have it
+    # every list but those of one group; of a shingle that is split into parts all stay
     lists = settle(
-        listed.join(heads, ["shingle", "part"]).where((F.col("head") < F.col("last")) | (F.col("part") > 0))
+        listed.join(heads, ["shingle", "part"]).where((F.col("head") < F.col("last")) | (F.col("part") >= 0))
         .select("shingle", "grp", "head").distinct(),
         "ngram_lists",
     )
