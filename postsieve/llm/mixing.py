@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from postsieve.llm.base import n_words, running_total, settle
 
 MAX_REPEATS = 3
+MAX_SENT = 500_000
 WEIGHTS = (1, 2, 3)
 
 
@@ -99,3 +100,28 @@ def mix(
         F.col("_id").alias(ident), F.col("_source").alias(source), "size", "source_size", "target",
         (F.col("size") * n).cast("long").alias("taken"), n.cast("int").alias("copies"),
     )
+
+
+def mixed(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself: the rows and columns of `docs`, each as often as the mix takes it.
+
+    Rows that are equal in id and text come out equally often: as often as the mix takes them on
+    average, rounded. Documents without words are never taken.
+    """
+    whole = docs.select(
+        F.struct("*").alias("_row"), F.struct(F.col(ident).alias("i"), F.xxhash64(F.col(text)).alias("h")).alias("_key"),
+        F.col(text).alias("_text"), F.col(source).alias("_source_of"),
+    )
+    taken = mix(whole, ident="_key", text="_text", source="_source_of", **options)
+    often = settle(
+        taken.groupBy("_key").agg(F.round(F.avg("copies")).cast("int").alias("_n")).where("_n > 0")
+        .select(F.col("_key").alias("_of"), "_n"),
+        "mix_copies",
+    )
+    rows = whole.select("_row", "_key")
+    # keys and counts of up to MAX_SENT documents are broadcast, some 40 bytes each
+    often = F.broadcast(often) if often.count() <= MAX_SENT else often
+    same = F.col("_key.i").eqNullSafe(F.col("_of.i")) & (F.col("_key.h") == F.col("_of.h"))
+    return rows.join(often, same).select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(
+        *[F.col("_row").getField(c).alias(c) for c in docs.columns]
+    )

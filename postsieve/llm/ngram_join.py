@@ -269,3 +269,21 @@ def classes(
         .select(F.col("id").alias(ident), F.col("n").alias("n_shingles"),
                 F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least")).alias("component_id"))
     )
+
+
+def keep_one(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows and columns of `docs` with one document of each class: the one with the smallest id.
+
+    Rows without an id can't be told from each other, so they all stay. Of rows that are equal in
+    id and text one stays.
+    """
+    own = settle(classes(docs, ident=ident, text=text, **options), "ngram_classes")
+    gone = own.where(F.col(ident) != F.col("component_id")).select(F.col(ident).alias("_gone")).distinct()
+    few = gone.count() <= MAX_SENT
+    kept = docs.join(F.broadcast(gone) if few else gone, docs[ident] == F.col("_gone"), "left_anti")
+    repeated = own.where(F.col(ident).isNotNull()).groupBy(ident).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    packed = kept.select(F.struct("*").alias("_row"), F.col(ident).alias("_id"), F.xxhash64(F.col(text)).alias("_h"))
+    one = packed.where(F.col("_id").isNotNull()).dropDuplicates(["_id", "_h"]).unionAll(packed.where(F.col("_id").isNull()))
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

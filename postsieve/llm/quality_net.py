@@ -209,3 +209,9 @@ def score(docs: DataFrame, net: Net, *, text: str = "text", keep: list[str]) ->
     kind = packed.schema["row"].dataType.simpleString()
     scored = packed.mapInArrow(_score(params), f"row {kind}, score double")
     return scored.select(*[F.col("row").getField(k).alias(k) for k in keep], "score")
+
+
+def keep_good(docs: DataFrame, net: Net, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows and columns of `docs` whose score is at least `threshold`."""
+    scored = score(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), net, text="_text", keep=["_row"])
+    return scored.where(F.col("score") >= threshold).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

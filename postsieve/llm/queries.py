@@ -11,11 +11,13 @@ from postsieve.llm import (
     adaptive_search,
     mixing,
     ngram_join,
+    pieces,
     pii,
     quality_net,
     secret_scan,
     subspace_join,
     suffix_dedup,
+    url_lists,
 )
 from postsieve.llm.spans import joined
 
@@ -80,6 +82,47 @@ def q_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.classes(_read(spark, sf_dir, "documents"))
 
 
+# The tables have no fetch times and no lists, so both are made from the pages by rule: a capture's day
+# from its id; for the first page of a host, entries for its domain, its host and its first path
+CAPTURES_SQL = "DATE '2024-01-01' + CAST(page_id * 37 % 365 AS INT)"
+FIRST_SQL = r"""
+SELECT min(page_id) AS m, host FROM (
+    SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages) AS hosts
+WHERE host <> '' GROUP BY host"""
+ENTRIES_SQL = f"""
+SELECT regexp_replace(host, '^[^.]*[.]', '') AS rule, DATE '2024-01-01' + CAST(m * 13 % 300 AS INT) AS since,
+    CASE WHEN m % 2 = 0 THEN 'block' ELSE 'allow' END AS action FROM ({FIRST_SQL}) AS a
+UNION ALL SELECT host, DATE '2024-01-01' + CAST(m * 31 % 300 AS INT), 'block' FROM ({FIRST_SQL}) AS b WHERE m % 3 = 0
+UNION ALL SELECT host, DATE '2024-01-01' + CAST(m * 31 % 300 AS INT) + 45, 'allow' FROM ({FIRST_SQL}) AS c WHERE m % 3 = 0
+UNION ALL SELECT host || '/en', DATE '2024-01-01' + CAST(m * 7 % 300 AS INT), 'block' FROM ({FIRST_SQL}) AS d WHERE m % 2 = 1"""
+
+
+def q_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.expr(CAPTURES_SQL))
+    entries = spark.sql(ENTRIES_SQL.replace("FROM pages", "FROM {pages}"), pages=pages)
+    return url_lists.judge(captures, entries, keep=["page_id", "fetched"])
+
+
+def q_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    encoded = pieces.encode(docs, keep=["doc_id", "text"])
+    whole = encoded.select(F.struct("doc_id", "text", "ids").alias("row"), "ids")
+    decoded = pieces.decode(whole, keep=["row"])
+    return decoded.select(
+        F.col("row.doc_id").alias("doc_id"), F.size("row.ids").cast("long").alias("n_ids"),
+        F.sha2(F.array_join(F.transform("row.ids", lambda i: i.cast("string")), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+        F.col("text").eqNullSafe(F.col("row.text")).alias("same_text"),
+    )
+
+
+def q_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": q_suffix_dedup,
@@ -89,5 +132,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality": q_quality,
         "op6_adaptive_search": q_adaptive_search,
         "op7_subspace_join": q_subspace_join,
+        "op8_url_lists": q_url_lists,
+        "op9_pieces": q_pieces,
         "op10_ngram_join": q_ngram_join,
+        "pipeline": q_pipeline,
     }

@@ -109,43 +109,56 @@ def scan(
     table gives an empty result; columns of the input other than `keep` are not read.
     `model`: one fitted before, else it is fitted on this table's own tokens (see `train`).
     """
-    assign, access, hexes = base_spans(F.col(text))
-    searched = settle(
-        docs.select(*keep, assign.alias("assign"), access.alias("access"), hexes.alias("hex"),
-                    found(F.col(text), TOKEN).alias("token")),
-        "secret_spans",
-    )
-    base = F.concat("assign", "access", "hex")
-    others = F.filter("token", lambda t: ~overlaps(base, t["start"], t["end"]))
+    searched = _search(docs, text, keep)
     if model is None:
-        values = F.concat(
-            F.transform("assign", lambda s: F.regexp_extract(s["match"], ASSIGN_VALUE, 1)),
-            F.transform(F.concat("access", "hex"), lambda s: s["match"]),
-        )
-        model = train(
-            searched.where(F.size("token") + F.size(base) > 0).select(
-                F.explode(F.concat(
-                    F.transform(values, lambda v: F.struct(v.alias("token"), F.lit(1).alias("label"))),
-                    F.transform(others, lambda t: F.struct(t["match"].alias("token"), F.lit(0).alias("label"))),
-                )).alias("s")
-            ).select("s.token", "s.label"),
-            max_samples,
-        )
+        # written once, read to fit the models and again to apply them
+        searched = settle(searched, "secret_spans")
+        model = _fit(searched, max_samples)
     added = F.filter(
-        others,
-        lambda t: (F.length(t["match"]) >= least_token) & (ratio(t["match"], model) >= least_ratio),
+        _others(), lambda t: (F.length(t["match"]) >= least_token) & (ratio(t["match"], model) >= least_ratio)
     )
     return searched.select(*keep, "assign", "access", "hex", added.alias("markov"))
 
 
+def fit(docs: DataFrame, *, text: str = "text", max_samples: int = MAX_SAMPLES) -> list[float]:
+    """The models of a table's own tokens, see `train`."""
+    return _fit(settle(_search(docs, text, []), "secret_spans"), max_samples)
+
+
+def _search(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
+    assign, access, hexes = base_spans(F.col(text))
+    return docs.select(
+        *keep, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), found(F.col(text), TOKEN).alias("token")
+    )
+
+
+def _others() -> Column:
+    """Tokens beside the base spans."""
+    return F.filter("token", lambda t: ~overlaps(F.concat("assign", "access", "hex"), t["start"], t["end"]))
+
+
+def _fit(searched: DataFrame, max_samples: int) -> list[float]:
+    values = F.concat(
+        F.transform("assign", lambda s: F.regexp_extract(s["match"], ASSIGN_VALUE, 1)),
+        F.transform(F.concat("access", "hex"), lambda s: s["match"]),
+    )
+    samples = F.concat(
+        F.transform(values, lambda v: F.struct(v.alias("token"), F.lit(1).alias("label"))),
+        F.transform(_others(), lambda t: F.struct(t["match"].alias("token"), F.lit(0).alias("label"))),
+    )
+    return train(searched.select(F.explode(samples).alias("s")).select("s.token", "s.label"), max_samples)
+
+
 def redact(docs: DataFrame, *, text: str = "text", length: str | None = None, mark: str = MARK, **options) -> DataFrame:
     """The same rows and columns, every secret in `text` replaced by `mark`.
 
     Null and empty texts stay as they are. `length`: a column that gets the new length in code
     points where the text changed.
     """
+    # fitted first, so that the texts are searched a second time but never written on the way
+    model = fit(docs, text=text)
     whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    spotted = scan(whole, text="_text", keep=["_row"], **options)
+    spotted = scan(whole, text="_text", keep=["_row"], model=model, **options)
     body = F.col("_row").getField(text)
     new = masked(body, F.concat("assign", "access", "hex", "markov"), mark)
     done = spotted.select(F.col("_row"), new.alias("_new"))
