@@ -46,19 +46,21 @@ def targets(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
 def mix(
     docs: DataFrame, *, ident: str = "doc_id", text: str = "text", source: str = "source",
     weights: tuple[float, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = 0,
+    keep: list[str] = (),
 ) -> DataFrame:
-    """One row per document: `ident`, `source`, size, source_size, target, taken, copies.
+    """One row per document: `keep` columns, `ident`, `source`, size, source_size, target, taken, copies.
 
     Sources by code point, null last (null is a source of its own), get `weights` in turn. `taken`
     is the words the mix takes of a document: its size times its `copies`, at most `max_repeats`.
     Copies that end at the same virtual time as the first that doesn't fit are left out with it.
     A null or empty text has size 0 and 0 words taken; copies of equal rows are dealt in any order
     between them; an empty table gives an empty result. The shuffle is a hash of `seed`, id and
-    text, so reruns agree. Other columns are not read.
+    text, so reruns agree. Columns
+    not named are not read.
     """
     sized = settle(
         docs.select(
-            F.col(ident).alias("_id"), F.col(source).alias("_source"), n_words(F.col(text)).alias("size"),
+            *keep, F.col(ident).alias("_id"), F.col(source).alias("_source"), n_words(F.col(text)).alias("size"),
             F.xxhash64(F.lit(seed), F.col(ident), F.col(text)).alias("_u"),
         ),
         "sizes",
@@ -80,10 +82,10 @@ def mix(
     )
 
     def finish(repeat: Column) -> Column:
-        return (repeat * F.col("source_size") + F.col("_served")) / F.col("target")
+        return F.try_divide(repeat * F.col("source_size") + F.col("_served"), F.col("target"))
 
     # repeats that can end before the cut: those begun within the target, and one more
-    last = F.least(F.lit(max_repeats - 1), F.floor(F.col("target") / F.col("source_size")) + 1)
+    last = F.least(F.lit(max_repeats - 1), F.floor(F.try_divide(F.col("target"), F.col("source_size"))) + 1)
     copies = served.where((F.col("size") > 0) & (F.col("target") > 0)).select(
         "_id", "_u", "size", F.explode(F.transform(F.sequence(F.lit(0), last.cast("int")), finish)).alias("_finish")
     )
@@ -97,7 +99,7 @@ def mix(
     ]
     n = sum(fits[1:], fits[0])
     return served.select(
-        F.col("_id").alias(ident), F.col("_source").alias(source), "size", "source_size", "target",
+        *keep, F.col("_id").alias(ident), F.col("_source").alias(source), "size", "source_size", "target",
         (F.col("size") * n).cast("long").alias("taken"), n.cast("int").alias("copies"),
     )
 
@@ -110,9 +112,9 @@ def mixed(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", source:
     """
     whole = docs.select(
         F.struct("*").alias("_row"), F.struct(F.col(ident).alias("i"), F.xxhash64(F.col(text)).alias("h")).alias("_key"),
-        F.col(text).alias("_text"), F.col(source).alias("_source_of"),
+        F.col(ident).alias("_id_of"), F.col(text).alias("_text"), F.col(source).alias("_source_of"),
     )
-    taken = mix(whole, ident="_key", text="_text", source="_source_of", **options)
+    taken = mix(whole, ident="_id_of", text="_text", source="_source_of", keep=["_key"], **options)
     often = settle(
         taken.groupBy("_key").agg(F.round(F.avg("copies")).cast("int").alias("_n")).where("_n > 0")
         .select(F.col("_key").alias("_of"), "_n"),

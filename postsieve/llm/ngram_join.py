@@ -6,8 +6,8 @@ with the same such prefix and size form one group, which is listed once under ea
 prefix. Groups that share a shingle are candidates; their members are verified exactly.
 
 The result is a class per document, not all pairs. So candidates are taken in two steps. First every group of
-a list is verified against the list's first group, which settles lists of many near copies with
-one pair per member. Then pairs of groups that share a shingle and are not yet in one class are
+a list is verified against the list's head, the group with most frequent shingles, which settles
+lists of many near copies with one pair per member. Then pairs of groups that share a shingle and are not yet in one class are
 expanded to their members and verified: no link between different classes is left out. Pairs are
 verified only if their prefixes share as many shingles as their sizes then demand.
 
@@ -86,7 +86,10 @@ def _sizes(words: int):
 
 
 def _prefixes(words: int, percent: int, frequent):
-    """Rows (grp, n, node, prefix, keys) of documents; prefix is empty if this task has dealt the group already."""
+    """Rows (grp, n, node, prefix, part, weight) of documents; prefix is empty if this task has dealt the group already.
+
+    weight is the share of a document's shingles that are frequent, in a thousand.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, counts = frequent.value
         dealt: set[int] = set()
@@ -100,6 +103,7 @@ def _prefixes(words: int, percent: int, frequent):
                 at = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
                 count = np.where(known[at] == own, counts[at], 0) if len(known) else np.zeros(n, np.int64)
                 k = n - -(-percent * n // 100) + 1
+                weight = int(1000 * np.count_nonzero(count) // n)
                 order = np.lexsort((own, count))[:k]
                 prefix, count = own[order], count[order]
                 group = _digest(prefix, n)
@@ -109,11 +113,11 @@ def _prefixes(words: int, percent: int, frequent):
                 first = group not in dealt
                 if first and len(dealt) < 1_000_000:
                     dealt.add(group)
-                rows.append((group, n, _digest(own, n), prefix.view(np.int64) if first else [], parts if first else []))
-            columns = list(zip(*rows)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                rows.append((group, n, _digest(own, n), prefix.view(np.int64) if first else [], parts if first else [], weight))
+            columns = list(zip(*rows)) or [()] * 6
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["grp", "n", "node", "prefix", "part"]
+                [pa.array(list(c), kind) for c, kind in zip(columns, kinds)], names=["grp", "n", "node", "prefix", "part", "weight"]
             )
     return run
 
@@ -198,21 +202,24 @@ def classes(
     frequent = _frequent(spark, first.where(F.col("shingle").isNotNull()))
     grouped = settle(
         body.select("text").mapInArrow(
-            _prefixes(words, percent, frequent), "grp long, n long, node long, prefix array<long>, part array<long>"
+            _prefixes(words, percent, frequent), "grp long, n long, node long, prefix array<long>, part array<long>, weight long"
         ),
         "ngram_prefixes",
     )
     listed = (
         grouped.where(F.size("prefix") > 0)
-        .select("grp", F.explode(F.arrays_zip("prefix", "part")).alias("k"))
-        .select(F.col("k.prefix").alias("shingle"), F.col("k.part").alias("part"), "grp")
+        .select("grp", "weight", F.explode(F.arrays_zip("prefix", "part")).alias("k"))
+        .select(F.col("k.prefix").alias("shingle"), F.col("k.part").alias("part"), "grp", "weight")
         .repartition("shingle", "part")
     )
-    heads = listed.groupBy("shingle", "part").agg(F.min("grp").alias("head"), F.max("grp").alias("last"))
+    # the head is the group with the most frequent shingles: of many near copies, one with few changes
+    heads = listed.groupBy("shingle", "part").agg(
+        F.max(F.struct("weight", "grp")).alias("top"), F.min("grp").alias("least"), F.max("grp").alias("last")
+    ).select("shingle", "part", F.col("top.grp").alias("head"), F.col("top.weight").alias("weight"), "least", "last")
     # every list but those of one group; of a shingle that is split into parts all stay
     lists = settle(
-        listed.join(heads, ["shingle", "part"]).where((F.col("head") < F.col("last")) | (F.col("part") >= 0))
-        .select("shingle", "grp", "head").distinct(),
+        listed.drop("weight").join(heads, ["shingle", "part"]).where((F.col("least") < F.col("last")) | (F.col("part") >= 0))
+        .select("shingle", "grp", "head", "weight").distinct(),
         "ngram_lists",
     )
     members = settle(grouped.select("grp", "node", "n").distinct(), "ngram_members")
@@ -221,7 +228,7 @@ def classes(
 
     lead = leads.select("grp", F.col("lead").alias("a"), F.col("n").alias("na"))
     head = leads.select(F.col("grp").alias("head"), F.col("lead").alias("b"), F.col("n").alias("nb"))
-    tops = lists.groupBy("shingle").agg(F.min("head").alias("top"))
+    tops = lists.groupBy("shingle").agg(F.max(F.struct("weight", "head")).alias("top")).select("shingle", F.col("top.head").alias("top"))
     heads_of_parts = lists.select("shingle", "head").distinct().join(tops, "shingle").where("head <> top")
     star = lists.select("grp", "head").unionAll(heads_of_parts.select(F.col("head").alias("grp"), F.col("top").alias("head")))
     star = star.where("grp <> head").distinct().join(lead, "grp").join(head, "head").where(_sized(percent))

@@ -303,10 +303,11 @@ def encode(
     """One row per document: the `keep` columns and ids, the model's piece ids of the whole text.
 
     A null text has null ids, an empty one an empty list; equal texts have equal ids; an empty table
-    gives an empty result. Texts of more than `giant` code points are solved in chunks of `chunk`
+    gives an empty result; a kept column named ids gives way. Texts of more than `giant` code points are solved in chunks of `chunk`
     (at least 64), with the same ids.
     """
     shared = _broadcast(docs, model)
+    keep = [k for k in keep if k != "ids"]
     rows = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     large = F.coalesce(F.length("text") > giant, F.lit(False))

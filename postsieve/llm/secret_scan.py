@@ -34,7 +34,8 @@ TOKEN = r"[A-Za-z0-9+/_=.-]{12,}+"
 
 #: Least length of an added token, and its least mean log-likelihood ratio per pair of characters.
 LEAST_TOKEN = 16
-LEAST_RATIO = 0.8
+LEAST_RATIO = 0.6
+PRIOR = 20
 #: Tokens of either label that the models are fitted on, at most, picked by hash.
 MAX_SAMPLES = 20_000
 MARK = "[secret]"
@@ -66,8 +67,9 @@ def train(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> list[float]:
     """Log-likelihood ratio of each pair of characters, from rows of (token, label).
 
     label 1: random strings, 0: ordinary identifiers. At most `max_samples` tokens of each label
-    are used, those of least hash, so that the choice is the same in each run. Both models start
-    from one count of each pair; without samples of a label its model is uniform.
+    are used, those of least hash, so that the choice is the same in each run. What follows a character
+    is counted with a prior of `PRIOR` characters as they are overall, and these with one of
+    each; without samples of a label its model is uniform.
     """
     size = len(ALPHABET)
     one = samples.where(F.col("token").isNotNull()).select("token", "label").distinct()
@@ -77,14 +79,16 @@ def train(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> list[float]:
         picked = part if picked is None else picked.unionAll(part)
     # at most 2 * 68 * 68 rows, whatever the input
     counts = picked.select("label", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").count()
-    tables = [[1.0] * (size * size) for _ in range(2)]
+    tables = [[0.0] * (size * size) for _ in range(2)]
     for row in counts.collect():
         tables[row["label"]][row["pair"]] += row["count"]
     logs = []
     for table in tables:
+        second = [sum(table[b::size]) for b in range(size)]
+        overall = [(n + 1) / (sum(second) + size) for n in second]
         for a in range(size):
-            total = math.log(sum(table[a * size:(a + 1) * size]))
-            logs += [math.log(x) - total for x in table[a * size:(a + 1) * size]]
+            after = table[a * size:(a + 1) * size]
+            logs += [math.log((n + PRIOR * p) / (sum(after) + PRIOR)) for n, p in zip(after, overall)]
     half = size * size
     return [logs[half + i] - logs[i] for i in range(half)]
 
