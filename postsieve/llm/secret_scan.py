@@ -2,7 +2,8 @@
 
 Two first-order models over characters are trained from labelled samples: what the fixed patterns
 find are random strings, the other long tokens of the same texts are ordinary identifiers. A token
-is added where its log-likelihood ratio per character, random against ordinary, is high enough.
+of letters and digits is added where its log-likelihood ratio per character, random against
+ordinary, is high enough.
 
 Only column expressions: each text is searched in place, and nothing but the tokens moves. The
 models are two tables of at most 68 x 68 counts.
@@ -34,7 +35,7 @@ TOKEN = r"[A-Za-z0-9+/_=.-]{12,}+"
 
 #: Least length of an added token, and its least mean log-likelihood ratio per pair of characters.
 LEAST_TOKEN = 16
-LEAST_RATIO = 0.6
+LEAST_RATIO = 0.5
 PRIOR = 20
 #: Tokens of either label that the models are fitted on, at most, picked by hash.
 MAX_SAMPLES = 20_000
@@ -71,14 +72,24 @@ def train(samples: DataFrame, max_samples: int = MAX_SAMPLES) -> list[float]:
     is counted with a prior of `PRIOR` characters as they are overall, and these with one of
     each; without samples of a label its model is uniform.
     """
-    size = len(ALPHABET)
     one = samples.where(F.col("token").isNotNull()).select("token", "label").distinct()
     picked = None
     for label in (0, 1):
         part = one.where(F.col("label") == label).orderBy(F.xxhash64("token"), "token").limit(max_samples)
         picked = part if picked is None else picked.unionAll(part)
+    picked = settle(picked, "secret_samples")
+    model = _counted(picked)
+    # unnamed secrets are among the ordinary tokens: those nearer to the random strings are left out of a second fit
+    means = {r["label"]: r["mean"] for r in picked.groupBy("label").agg(F.avg(ratio(F.col("token"), model)).alias("mean")).collect()}
+    if len(means) < 2:
+        return model
+    return _counted(picked.where((F.col("label") == 1) | (ratio(F.col("token"), model) < (means[0] + means[1]) / 2)))
+
+
+def _counted(samples: DataFrame) -> list[float]:
     # at most 2 * 68 * 68 rows, whatever the input
-    counts = picked.select("label", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").count()
+    size = len(ALPHABET)
+    counts = samples.select("label", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("label", "pair").count()
     tables = [[0.0] * (size * size) for _ in range(2)]
     for row in counts.collect():
         tables[row["label"]][row["pair"]] += row["count"]
@@ -119,7 +130,9 @@ def scan(
         searched = settle(searched, "secret_spans")
         model = _fit(searched, max_samples)
     added = F.filter(
-        _others(), lambda t: (F.length(t["match"]) >= least_token) & (ratio(t["match"], model) >= least_ratio)
+        _others(),
+        lambda t: (F.length(t["match"]) >= least_token) & t["match"].rlike("[A-Za-z]") & t["match"].rlike("[0-9]")
+        & (ratio(t["match"], model) >= least_ratio),
     )
     return searched.select(*keep, "assign", "access", "hex", added.alias("markov"))
 
