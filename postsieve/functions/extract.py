@@ -7,13 +7,27 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Possessive quantifiers and the lookbehind keep the match linear on long digit runs; the
-# groups are those of ([0-9]+)\s*(\+|-|to)?\s*([0-9]*)\+?\s*years
-_EXPERIENCE = r"(?i)(?<![0-9])([0-9]++)\s*+(\+|-|to)?+\s*+([0-9]*+)\+?+\s*+years"
+# A number, perhaps a second one after a dash or "to", and years. Possessive quantifiers and the
+# lookbehind keep the match linear on long digit runs, and a number's fraction is never one itself
+_EXPERIENCE = (
+    r"(?i)(?<![0-9.])([0-9]++(?:\.[0-9]++)?+)\s*+(\+|-|–|—|to\b)?+\s*+((?:[0-9]++(?:\.[0-9]++)?+)?+)\+?+\s*+"
+    r"(?:or\s++more\s++)?+(?:years?|yrs?)\b"
+)
 # --- fixed values: phrases that decide the flags, matched in lower case ------------------------
-_CITIZENSHIP = ("us citizenship required", "must be a us citizen")
-_CLEARANCE = ("security clearance required",)
-_NO_VISA = ("no visa sponsorship", "unable to sponsor")
+_CITIZENSHIP = (
+    "us citizenship required", "us citizenship is required", "must be a us citizen", "must be us citizens",
+    "us citizens only", "requires us citizenship",
+)
+_CLEARANCE = (
+    "security clearance required", "security clearance is required", "requires a security clearance",
+    "must have a security clearance",
+)
+_NO_VISA = (
+    "no visa sponsorship", "unable to sponsor", "not able to sponsor", "cannot sponsor", "can not sponsor",
+    "do not sponsor", "does not sponsor", "will not sponsor", "without sponsorship",
+)
+# what denies a demand; taken out before the phrases above are looked for
+_DENIED = r"\b(?:no|not an?) (?:active )?(?:security clearance|us citizenship)(?: is)? required"
 # ----------------------------------------------------------------------------------------------
 
 
@@ -51,5 +65,6 @@ def visa_sponsorship(text: Column) -> Column:
 
 def _says(text: Column, phrases: tuple[str, ...]) -> Column:
     """One of the phrases occurs; plain substring search, which is far cheaper than a pattern."""
-    lowered = F.lower(F.coalesce(text, F.lit("")))
+    lowered = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("u.s."), F.lit("us"))
+    lowered = F.regexp_replace(lowered, _DENIED, "")
     return reduce(Column.__or__, (F.contains(lowered, F.lit(phrase)) for phrase in phrases))

@@ -26,9 +26,15 @@ def window_start(timeline: str, as_of: datetime | None) -> Column | None:
     return F.lit(start).cast("timestamp_ntz")
 
 
+def window_end(as_of: datetime | None) -> Column | None:
+    """Newest timestamp of every window: the time looked back from, as a constant."""
+    return None if as_of is None else F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def within_window(ts: Column, timeline: str, as_of: datetime | None) -> Column:
-    start = window_start(timeline, as_of)
-    return F.lit(True) if start is None else ts >= start
+    start, end = window_start(timeline, as_of), window_end(as_of)
+    inside = F.lit(True) if start is None else ts >= start
+    return inside if end is None else inside & (ts <= end)
 
 
 def matches_keywords(text: Column, query: str) -> Column:

@@ -12,27 +12,18 @@ def vector_score(vector: Column, profile: Column) -> Column:
     return F.try_divide(dot * 100.0, _length(vector) * _length(profile))
 
 
-def weighted_hits(tokens: Column, weights: dict[str, int]) -> Column:
-    """Dot product of a token array with the term frequencies of a profile.
+def weighted_hits(tokens: Column, weights: Column) -> Column:
+    """Dot product of a token array with a map of term frequencies.
 
-    The profile's terms are constants, so membership is a hash lookup per word. Terms are
-    grouped by frequency; only the shared words are looked at again.
+    The shared words are found by hashing; only these are counted and looked up.
     """
-    if not weights:
-        return F.lit(0.0)
-    by_weight: dict[int, list[str]] = {}
-    for term, weight in sorted(weights.items()):
-        by_weight.setdefault(weight, []).append(term)
-    hits = F.filter(tokens, lambda word: word.isin(*weights))
-    return _total(F.transform(hits, lambda word: _weight(word, by_weight)))
-
-
-def _weight(word: Column, by_weight: dict[int, list[str]]) -> Column:
-    first, *others = sorted(by_weight)
-    weight = F.lit(float(first))
-    for other in others:
-        weight = F.when(word.isin(*by_weight[other]), float(other)).otherwise(weight)
-    return weight
+    shared = F.array_intersect(tokens, F.map_keys(weights))
+    counts = F.transform(
+        shared,
+        lambda word: F.size(F.filter(tokens, lambda other: other == word)).cast("double")
+        * F.try_element_at(weights, word),
+    )
+    return _total(counts)
 
 
 def squared_counts(ordered: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from ..functions.predicates import window_start
+from ..functions.predicates import window_end, window_start
 from .ordering import newest_first, number_listed, page_limit
 
 Scans = Sequence[tuple[str, int]]
@@ -41,7 +41,12 @@ def top_scans(
 
 
 def within_widest(sightings: DataFrame, scans: Scans, as_of: datetime | None) -> DataFrame:
-    """Sightings that at least one of the scans can list: those inside the widest window."""
+    """Sightings that at least one of the scans can list: those inside the widest window.
+
+    No window reaches beyond `as_of`, so a run for an earlier time lists what it would have then.
+    """
+    if as_of is not None:
+        sightings = sightings.filter(F.col("ts") <= window_end(as_of))
     seconds = {timeline: dims.TIMELINE_SECONDS.get(timeline) for timeline, _ in scans}
     if None in seconds.values():
         return sightings

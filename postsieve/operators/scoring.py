@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import similarity, text
 
-# A profile of up to this many distinct terms becomes part of the plan.
-INLINE_TERMS = 2_000
-
 
 def with_vector_score(df: DataFrame, profile: DataFrame, vector: str = "embedding") -> DataFrame:
     """Add `match_score` from a vector column. `profile` holds one row, one column: its vector.
@@ -26,60 +21,32 @@ def with_vector_score(df: DataFrame, profile: DataFrame, vector: str = "embeddin
     )
 
 
-def with_text_score(
-    df: DataFrame,
-    profile: DataFrame,
-    jd: str = "jd",
-    key: str = "page_id",
-    inline_terms: int = INLINE_TERMS,
-) -> DataFrame:
+def with_text_score(df: DataFrame, profile: DataFrame, jd: str = "jd") -> DataFrame:
     """Add `match_score` from term frequencies. `profile` holds one row, one column: its text.
 
-    The profile is counted first. With up to `inline_terms` distinct terms it is a handful of
-    constants, and postings are scored row by row without a shuffle. A larger one stays a table
-    of terms and is joined by term. Both ways give the same scores. `key` must be unique.
+    The profile enters as scalar subqueries (its terms with their counts, and its length), computed
+    once when the query runs, whatever its size; postings are scored row by row without a join
+    or shuffle. A posting is first reduced to the words it shares, so a large profile costs a hash
+    lookup per word. A posting or profile without words scores 0.
     """
-    terms = _profile_terms(profile)
-    few = terms.limit(inline_terms + 1).collect()
-    if len(few) > inline_terms:
-        return _text_score_by_join(df, terms, jd, key)
-    weights = {row["term"]: row["weight"] for row in few}
-    norm = math.sqrt(sum(weight * weight for weight in weights.values()))
-    # `_words` is a column of its own so that it is not built again inside the lambdas; order
-    # does not matter for the hits, so it is sorted at once
-    dot = similarity.weighted_hits(F.col("_words"), weights)
-    norms = F.sqrt(similarity.squared_counts(F.col("_words"))) * F.lit(norm)
-    return (
-        df.withColumn("_words", F.sort_array(text.tokens(F.col(jd))))
-        .withColumn("match_score", F.coalesce(F.try_divide(dot * 100.0, norms), F.lit(0.0)))
-        .drop("_words")
-    )
-
-
-def _profile_terms(profile: DataFrame) -> DataFrame:
-    words = text.tokens(F.col(profile.columns[0]))
-    return profile.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("weight"))
-
-
-def _text_score_by_join(df: DataFrame, profile_terms: DataFrame, jd: str, key: str) -> DataFrame:
-    words = text.tokens(F.col(jd))
-    profile_norm = profile_terms.select(F.sqrt(F.sum((F.col("weight") * F.col("weight")).cast("double")))).scalar()
-    # counted per posting and term before the join, and the profile has one row per term:
-    # a frequent word adds one row per posting, and skew-join splitting may divide those
-    counts = (
-        df.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count("*").alias("n"))
+    given = text.tokens(F.col(profile.columns[0]))
+    counted = F.transform(
+        F.array_distinct("_given"),
+        lambda term: F.struct(term, F.size(F.filter("_given", lambda word: word == term)).cast("double")),
     )
-    sums = (
-        counts.join(profile_terms, "term", "left")
-        .groupBy(key)
-        .agg(
-            F.sum((F.col("n") * F.col("weight")).cast("double")).alias("_dot"),
-            F.sqrt(F.sum((F.col("n") * F.col("n")).cast("double"))).alias("_norm"),
-        )
+    terms = profile.select(F.coalesce(given, F.array().cast("array<string>")).alias("_given")).select(
+        F.map_from_entries(counted).alias("terms")
     )
-    score = F.try_divide(F.col("_dot") * 100.0, F.col("_norm") * profile_norm)
+    entries = terms.scalar()
+    squares = F.aggregate(F.map_values("terms"), F.lit(0.0), lambda total, n: total + n * n)
+    length = terms.select(F.sqrt(squares)).scalar()
+    # columns of their own, so that they are not built again inside the lambdas; order does not
+    # matter for the hits, so the words are sorted at once
+    dot = similarity.weighted_hits(F.col("_words"), F.col("_profile"))
+    norms = F.sqrt(similarity.squared_counts(F.col("_words"))) * length
     return (
-        df.join(sums, key, "left")
-        .withColumn("match_score", F.coalesce(score, F.lit(0.0)))
-        .drop("_dot", "_norm")
+        df.withColumn("_words", F.sort_array(text.tokens(F.col(jd))))
+        .withColumn("_profile", entries)
+        .withColumn("match_score", F.coalesce(F.try_divide(dot * 100.0, norms), F.lit(0.0)))
+        .drop("_words", "_profile")
     )

@@ -53,7 +53,7 @@ def daily(
     best = steps.best_pages(scored, best_count)
     with_answers = "response" in sightings.columns
     if with_answers:
-        best = steps.newest_sightings(sightings, best, best_count * dims.PAGE_SIZE)
+        best = steps.newest_sightings(sightings, best, best_count * dims.PAGE_SIZE, as_of)
     listed = steps.listed_sightings(
         sightings, found, searches, location, easy_apply, as_of, first_rank=1
     )
@@ -68,7 +68,7 @@ def daily(
     arrival = W.partitionBy("link", usable).orderBy("scan_rank", "page", "position")
     rows = rows.withColumn("_rank", F.row_number().over(arrival)).filter(~usable | (F.col("_rank") == 1))
     rows = rows.drop("_rank")
-    name = names.daily_name(query, location, easy_apply, day or date.today())
+    name = names.daily_name(query, location, easy_apply, day or (as_of.date() if as_of else date.today()))
     return RunResult(rows, names.below(save, name), steps.raw_column(rows))
 
 

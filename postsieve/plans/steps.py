@@ -15,8 +15,9 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .. import dims
-from ..functions.text import normalize_link
+from .. import dims, schemas
+from ..functions.predicates import window_end
+from ..functions.text import normalize_link, strip_commas
 from ..operators import hooks, lookups, ordering, records, scans, scoring
 from ..operators.filters import keyword_filter
 from ..sources.pages import posting_texts
@@ -68,10 +69,20 @@ def best_pages(scored: DataFrame, page_count: int = 1, scan_rank: int = 0) -> Da
     )
 
 
-def newest_sightings(sightings: DataFrame, picked: DataFrame, row_bound: int) -> DataFrame:
-    """Picked pages with the newest sighting of each, for the answer that comes with it."""
-    latest = sightings.select("event_id", "ts", "page_id", "response").join(few(picked, row_bound), "page_id")
-    return ordering.first_seen(latest, "page_id", ordering.newest_first())
+def newest_sightings(sightings: DataFrame, picked: DataFrame, row_bound: int, as_of: datetime | None = None) -> DataFrame:
+    """Picked pages with the newest sighting of each, for the answer that comes with it.
+
+    A page that was never seen stays, without an answer. Ids are ranked first; answers are
+    fetched for the few sightings that are left.
+    """
+    if as_of is not None:
+        sightings = sightings.filter(F.col("ts") <= window_end(as_of))
+    ids = few(picked.select("page_id"), row_bound)
+    latest = ordering.first_seen(
+        sightings.select("event_id", "ts", "page_id").join(ids, "page_id"), "page_id", ordering.newest_first()
+    )
+    answers = sightings.select("event_id", "response").join(few(latest.select("event_id"), row_bound), "event_id")
+    return picked.join(latest.join(answers, "event_id"), "page_id", "left")
 
 
 def scored_by_table(pages: DataFrame, scores: DataFrame) -> DataFrame:
@@ -98,19 +109,54 @@ def described(
 ) -> DataFrame:
     """Picked rows with text, fields, score, and `stage`/`reason` where a row is unusable.
 
-    Fields come from the answer that came with the sighting, from calling a model, or from
-    rules, in this order of preference.
+    The fields of a row come from the answer that came with its sighting, else from calling a
+    model, else from rules. A model that gave no usable answer is the reason then, with what it
+    said last. Company loses its commas here, before a row is a record of any kind.
     """
     fetched = pages.select("page_id", "url", "html").join(few(picked, row_bound), "page_id")
     rows = posting_texts(fetched)
     if "match_score" not in rows.columns:
         rows = scoring.with_text_score(rows, one_profile(pages, profile))
-    if "response" not in rows.columns and answer is not None:
-        rows = hooks.with_responses(rows, answer)
-    if "response" in rows.columns:
-        return records.type_fields(records.parse_responses(rows))
-    ruled = records.type_fields(records.extract_fields(rows))
-    return ruled.withColumns({"stage": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")})
+    if answer is None:
+        return without_commas(_by_rules(rows) if "response" not in rows.columns else _by_answer_or_rules(rows))
+    if "response" not in rows.columns:
+        return without_commas(_modelled(hooks.with_responses(rows, answer)))
+    given = records.type_fields(records.parse_responses(rows.filter(F.col("response").isNotNull())))
+    asked = hooks.with_responses(rows.filter(F.col("response").isNull()).drop("response"), answer)
+    return without_commas(given.unionByName(_modelled(asked), allowMissingColumns=True))
+
+
+def _by_rules(rows: DataFrame) -> DataFrame:
+    return records.type_fields(records.extract_fields(rows)).withColumns(
+        {"stage": F.lit(None).cast("string"), "reason": F.lit(None).cast("string")}
+    )
+
+
+def _by_answer_or_rules(rows: DataFrame) -> DataFrame:
+    """Fields from each row's answer, from rules where it has none, in one pass."""
+    ruled = {key: f"_ruled_{key}" for key in schemas.RESPONSE_KEYS}
+    parsed = records.parse_responses(records.extract_fields(rows).withColumnsRenamed(ruled))
+    silent = F.col("response").isNull()
+    chosen = {key: F.when(silent, F.col(name).cast("string")).otherwise(F.col(key)) for key, name in ruled.items()}
+    problem = {name: F.when(~silent, F.col(name)) for name in ("stage", "reason")}
+    return records.type_fields(parsed.withColumns(chosen | problem).drop(*ruled.values()))
+
+
+def without_commas(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("company", strip_commas(F.col("company")))
+
+
+def _modelled(asked: DataFrame) -> DataFrame:
+    """Fields of a model's answers; where it failed, that is the reason."""
+    failed = F.col("response_error").isNotNull()
+    parsed = records.type_fields(records.parse_responses(asked))
+    return parsed.withColumns(
+        {
+            "stage": F.when(failed, hooks.MODEL).otherwise(F.col("stage")),
+            "reason": F.when(failed, "model_failed").otherwise(F.col("reason")),
+            "response": F.coalesce("response", "response_error"),
+        }
+    ).drop("response_error")
 
 
 def raw_column(rows: DataFrame) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from .. import dims
 from ..functions.predicates import suitable
+from ..functions.text import strip_commas
 from ..operators import records
 
 # The longest search window; a link is remembered at least this long.
@@ -17,6 +18,7 @@ REMEMBER_SECONDS = max(dims.TIMELINE_SECONDS.values())
 def suitable_stream(sightings: DataFrame, yoe: int = dims.DEFAULT_YEARS) -> DataFrame:
     """Suitable answers of a stream of sightings (event_id, ts, page_id, response)."""
     parsed = records.type_fields(records.parse_responses(sightings.select("event_id", "ts", "page_id", "response")))
+    parsed = parsed.withColumn("company", strip_commas(F.col("company")))
     return records.check_experience(parsed).filter(F.col("reason").isNull() & suitable(yoe))
 
 

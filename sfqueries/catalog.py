@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -136,6 +137,12 @@ def q_time_window(spark, sf):
     return events.filter(inside).select("event_id", "ts")
 
 
+def q_time_window_past(spark, sf):
+    """A window that ends in the past: nothing after it is listed."""
+    inside = predicates.within_window(F.col("ts"), "7D", datetime(2024, 1, 15, 12))
+    return fx.table(spark, sf, "events").filter(inside).select("event_id", "ts")
+
+
 def q_geo_filter(spark, sf):
     located = lookups.with_geo_id(fx.sightings(spark, sf).select("event_id", "location"))
     return located.filter(F.col("geo_id") == dims.geo_id_of("India"))

@@ -195,6 +195,8 @@ def oracle_sql() -> dict[str, str]:
             FROM checked JOIN pages USING (page_id) WHERE reason IS NOT NULL""",
         "digest_projection": f"WITH {_PARSED}, {_HEADINGS} {_DIGEST_ROWS.format(min_exp='min_exp')}",
         "time_window": "SELECT event_id, ts FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
+        "time_window_past": """SELECT event_id, ts FROM events
+            WHERE ts >= TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-15 12:00:00'""",
         "geo_filter": f"WITH {_SIGHTINGS}, {_GEO} SELECT * FROM located WHERE geo_id = '102713980'",
         "keyword_filter": f"""WITH {_POSTINGS} SELECT page_id, title FROM postings
             WHERE contains(lower(title || ' ' || jd), 'python') AND contains(lower(title || ' ' || jd), 'django')""",
@@ -282,7 +284,7 @@ def oracle_sql() -> dict[str, str]:
             linked AS (
               SELECT k.*, link, title, match_score
               FROM kept k JOIN postings p ON p.page_id = k.page_id JOIN scores c ON c.page_id = k.page_id)
-            SELECT title, company, min_exp, max_exp, CAST(NULL AS BOOLEAN) AS age_match, overall, "primary", secondary,
+            SELECT title, replace(company, ',', '') AS company, min_exp, max_exp, CAST(NULL AS BOOLEAN) AS age_match, overall, "primary", secondary,
               {_FLAGS}, link, match_score
             FROM ({_first('linked', 'link', 'scan_rank, place')})""",
         "daily_digest_text": f"""WITH {_SIGHTINGS}, {_POSTINGS}, {_RULES}, {_TEXT_SCORES}, {_GEO},

@@ -178,7 +178,7 @@ def test_model_answers_in_a_search(spark):
     picked = listed(data[0], data[1], "", "USA", "7D", False, 1)
     python = [s for s in picked if data[0][s[2]][3] == "Python"]
     assert run.records().count() == len(python)
-    assert {r["reason"] for r in run.quarantine().collect()} == {"bad_json"}
+    assert {r["reason"] for r in run.quarantine().collect()} == {"model_failed"}
     assert run.quarantine().count() == len(picked) - len(python)
 
 

@@ -2,12 +2,12 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from sfqueries import catalog, oracles
 from tests.compare import duck, duck_rows, spark_rows
 
 SF = ("/root/testdata/sf0.001", "/root/testdata/sf0.01")
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = catalog.queries()
+ORACLES = oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -24,18 +24,26 @@ def cosine(text, profile):
     return 100 * sum(n * b[t] for t, n in a.items()) / norms if norms else 0.0
 
 
-@pytest.mark.parametrize("inline_terms", [2000, 0])
 @pytest.mark.parametrize("profile", ["python and java, spark spark", "one", "a a a b b and and and java " * 9, "", None])
-def test_text_score(spark, profile, inline_terms):
+def test_text_score(spark, profile):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "page_id int, jd string")
     one = spark.createDataFrame([(profile,)], "profile string")
-    rows = scoring.with_text_score(df, one, inline_terms=inline_terms).collect()
+    rows = scoring.with_text_score(df, one).collect()
     assert len(rows) == len(TEXTS)
     for row in rows:
         assert row["match_score"] == pytest.approx(cosine(row["jd"], profile), abs=1e-9)
         assert 0 <= row["match_score"] <= 100 + 1e-9
 
 
+def test_a_large_profile_is_scored_by_the_same_plan(spark):
+    profile = " ".join(f"t{i % 5000}" for i in range(7000)) + " python spark"
+    texts = [("a", "python t1 t1 t4999 other"), (None, "t3 t3"), (None, "none of them"), ("a", "spark")]
+    df = spark.createDataFrame(texts, "page_id string, jd string")
+    one = spark.createDataFrame([(profile,)], "profile string")
+    got = {r["jd"]: r["match_score"] for r in scoring.with_text_score(df, one).collect()}
+    assert got == {jd: pytest.approx(cosine(jd, profile), abs=1e-9) for _, jd in texts}
+
+
 def test_text_score_moves_no_text(spark, capsys):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumnRenamed("html", "jd")
     profile = spark.sql("SELECT 'some words' AS profile")
@@ -97,7 +105,8 @@ def test_rules_stay_on_the_jvm_and_in_the_row(spark, capsys):
 
 @pytest.mark.parametrize(
     "jd, low, high",
-    [("Minimum 3 years", "3", "N/A"), ("2-4 years", "2", "4"), ("1 to 2 Years", "1", "2"), ("5+ years", "5", "N/A"),
+    [("Minimum 3 years", "3", "N/A"), ("2-4 years", "2", "4"), ("1 to 2 Years", "1", "2"), ("5+ years", "5", "N/A"), ("1.5 years", "1.5", "N/A"),
+     ("1 year", "1", "N/A"), ("3–5 years", "3", "5"), ("2 or more yrs", "2", "N/A"), ("1.5 - 2.5 years", "1.5", "2.5"), ("3 yearsold", "N/A", "N/A"),
      ("no number of years", "N/A", "N/A"), ("in 2019 we; 3 years", "3", "N/A"), ("9" * 20_000, "N/A", "N/A"), (None, "N/A", "N/A")],
 )
 def test_experience(spark, jd, low, high):
@@ -109,10 +118,13 @@ def test_experience(spark, jd, low, high):
 def test_flags_and_company(spark):
     df = spark.createDataFrame(
         [(0, "https://jobs.acme.org:8080/x?y", "US Citizenship Required. Unable to sponsor."),
-         (1, "no url", "Active Security Clearance required"), (2, None, None)],
+         (1, "no url", "Active Security Clearance required"), (2, None, None),
+         (3, "https://a.b/", "No security clearance required. U.S. citizenship is required; we cannot sponsor."),
+         (4, "https://a.b/", "No US citizenship required, but a security clearance is required.")],
         "id int, link string, jd string",
     )
     rows = records.extract_fields(df).orderBy("id").collect()
     assert [(r["company"], r["citizenship_required"], r["security_clearance_required"], r["visa_sponsorship"]) for r in rows] == [
         ("jobs.acme.org", True, False, False), (None, False, True, True), (None, False, False, True),
+        ("a.b", True, False, False), ("a.b", False, True, True),
     ]
