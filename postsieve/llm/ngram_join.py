@@ -159,6 +159,14 @@ def _shared_at_least(percent: int):
     return F.greatest(F.least(*spare), F.lit(1))
 
 
+def _shared_in_ranges(percent: int, la: str, ma: str, lb: str, mb: str):
+    """A lower bound of `_shared_at_least` for sizes from la to ma and from lb to mb."""
+    alpha, prefix = percent / (100 + percent), percent / 100
+    return F.least(
+        alpha * F.col(lb) - (prefix - alpha) * F.col(ma), alpha * F.col(la) - (prefix - alpha) * F.col(mb)
+    ) - F.lit(1e-6)
+
+
 def _linked(pairs: DataFrame, docs: DataFrame, sized: DataFrame, percent: int, words: int, name: str) -> DataFrame:
     """The pairs (a, b, na, nb) whose sets have the Jaccard index asked for, compared in full."""
     pairs = settle(pairs, f"{name}_pairs")
@@ -246,22 +254,34 @@ def classes(
     comps = components(links)
 
     # what is not in one class yet: pairs of classes under one shingle, expanded to their members
+    entries = lists.select("shingle", "grp").distinct()
+    # how many of its prefix a group can share with any other: those under which there is another
+    held = entries.groupBy("grp").agg(F.count("*").alias("held"))
     placed = (
-        lists.select("shingle", "grp").distinct().join(members, "grp")
-        .join(comps, "node", "left").select("shingle", "node", "n", F.coalesce("comp", "node").alias("comp"))
+        entries.join(held, "grp").join(members, "grp")
+        .join(comps, "node", "left").select("shingle", "node", "n", "held", F.coalesce("comp", "node").alias("comp"))
     )
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     placed = settle(placed.join(mixed.select("shingle"), "shingle"), "ngram_placed")
-    per = placed.groupBy("shingle", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x = per.select("shingle", F.col("comp").alias("ca"), F.col("least").alias("la"), F.col("most").alias("ma"))
-    y = per.select("shingle", F.col("comp").alias("cb"), F.col("least").alias("lb"), F.col("most").alias("mb"))
+    per = placed.groupBy("shingle", "comp").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("held")
+    )
+    x, y = (
+        per.select("shingle", F.col("comp").alias(f"c{i}"), F.col("least").alias(f"l{i}"), F.col("most").alias(f"m{i}"), F.col("held").alias(f"h{i}"))
+        for i in "ab"
+    )
     met = x.join(y, "shingle").where(
         (F.col("ca") < F.col("cb"))
         & (100 * F.col("ma") >= percent * F.col("lb")) & (100 * F.col("mb") >= percent * F.col("la"))
-    ).select("shingle", "ca", "cb")
-    pa_ = placed.select("shingle", F.col("comp").alias("ca"), F.col("node").alias("a"), F.col("n").alias("na"))
-    pb_ = placed.select("shingle", F.col("comp").alias("cb"), F.col("node").alias("b"), F.col("n").alias("nb"))
-    rest = met.join(pa_, ["shingle", "ca"]).join(pb_, ["shingle", "cb"]).where(_sized(percent))
+        & (F.least("ha", "hb") >= _shared_in_ranges(percent, "la", "ma", "lb", "mb"))
+    ).select("shingle", "ca", "cb", "lb", "mb", "hb")
+    one, other = (
+        placed.select("shingle", F.col("comp").alias(f"c{i}"), F.col("node").alias(i), F.col("n").alias(f"n{i}"), F.col("held").alias(f"own_{i}"))
+        for i in "ab"
+    )
+    rest = met.join(one, ["shingle", "ca"]).where(
+        F.least("own_a", "hb") >= _shared_in_ranges(percent, "na", "na", "lb", "mb")
+    ).join(other, ["shingle", "cb"]).where(_sized(percent) & (F.least("own_a", "own_b") >= _shared_at_least(percent)))
     rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(
         F.col("shared") >= _shared_at_least(percent)
     ).select("a", "b", "na", "nb")
