@@ -2,56 +2,80 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import dims
+from .. import dims, schemas
 from ..functions.predicates import suitable
 from ..functions.text import strip_commas
-from ..operators import records
+from ..operators import lookups, ordering, records
 
-# The longest search window; a link is remembered at least this long.
-REMEMBER_SECONDS = max(dims.TIMELINE_SECONDS.values())
+STREAM = "stream"
 
 
-def suitable_stream(sightings: DataFrame, yoe: int = dims.DEFAULT_YEARS) -> DataFrame:
-    """Suitable answers of a stream of sightings (event_id, ts, page_id, response)."""
-    parsed = records.type_fields(records.parse_responses(sightings.select("event_id", "ts", "page_id", "response")))
-    parsed = parsed.withColumn("company", strip_commas(F.col("company")))
-    return records.check_experience(parsed).filter(F.col("reason").isNull() & suitable(yoe))
+def judged(sightings: DataFrame, yoe: int = dims.DEFAULT_YEARS) -> DataFrame:
+    """Sightings (event_id, ts, page_id, response) with the fields of their answers: usable rows that
+    are suitable, and rows with a `reason`."""
+    parsed = records.parse_responses(sightings.select("event_id", "ts", "page_id", "response"))
+    typed = records.type_fields(parsed.withColumn("company", strip_commas(F.col("company"))))
+    return records.check_experience(typed).filter(F.col("reason").isNotNull() | suitable(yoe))
 
 
-def first_links(suitable_rows: DataFrame, pages: DataFrame, salts: int = 32) -> DataFrame:
-    """Each link once within the window it is remembered for; which copy wins is open within a batch.
+def suitable_rows(sightings: DataFrame, yoe: int = dims.DEFAULT_YEARS) -> DataFrame:
+    return judged(sightings, yoe).filter(F.col("reason").isNull())
 
-    `pages` is a static table of page_id, link and title. A stream cannot thin out repeats before
-    a shuffle, so a page with very many sightings would land on one task, twice: in the join and
-    in the dedupe by link. The first step therefore splits every page `salts` ways by event and
-    keeps one row of each; the join and the dedupe see only those. State of both steps expires
-    with the watermark.
+
+def append_digest(
+    sightings: DataFrame,
+    pages: DataFrame,
+    path: str,
+    quarantine_path: str,
+    checkpoint: str,
+    yoe: int = dims.DEFAULT_YEARS,
+    with_score: bool = False,
+) -> StreamingQuery:
+    """Append what a stream of sightings adds to a digest and to its quarantine, everything available now.
+
+    `pages` is a static table of page_id, link and title, best a written one. Each batch is split:
+    rows with a problem go to quarantine, as do those of unknown pages; of the suitable ones the newest of each
+    link is added unless an earlier batch has listed the link. However late a sighting is, it
+    counts; nothing is remembered but the digest itself. A batch writes folders of its own
+    number anew, so one that is repeated after a failure adds nothing twice.
+
+    Sightings are thinned per page before they are joined, on the map side, so a page seen all the
+    time sends one row per task.
     """
-    timed = suitable_rows.withColumns(
-        {
-            "seen_at": F.col("ts").cast("timestamp"),
-            "_salt": F.pmod(F.xxhash64("event_id"), F.lit(salts)),
-        }
-    )
-    thinned = timed.withWatermark("seen_at", f"{REMEMBER_SECONDS} seconds").dropDuplicatesWithinWatermark(
-        ["page_id", "_salt"]
-    )
-    linked = thinned.drop("_salt").join(pages.select("page_id", "link", "title"), "page_id")
-    return linked.dropDuplicatesWithinWatermark(["link"])
+    headings = pages.select("page_id", "link", "title")
+    spark = pages.sparkSession
+    # an empty part, so that the digest can be read from the first batch on
+    layout = schemas.LAYOUTS["digest"] + (("match_score",) if with_score else ())
+    nothing = spark.range(0).select(*[F.lit(None).cast(schemas.column_type(name)).alias(name) for name in layout])
+    nothing.write.mode("overwrite").parquet(f"{path}/batch_id=-1")
 
+    def add(batch: DataFrame, number: int) -> None:
+        rows = judged(batch, yoe).persist(StorageLevel.MEMORY_AND_DISK)
+        newest = ordering.first_seen(rows.filter(F.col("reason").isNull()), "page_id", ordering.newest_first())
+        linked = newest.join(headings, "page_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            unknown = linked.filter(F.col("link").isNull()).withColumns(
+                {"stage": F.lit(STREAM), "reason": F.lit("bad_row")}
+            )
+            bad = rows.filter(F.col("reason").isNotNull()).join(headings, "page_id", "left")
+            rejected = bad.unionByName(unknown).select("link", "stage", "reason", F.col("response").alias("raw"))
+            rejected.write.mode("overwrite").json(f"{quarantine_path}/batch_id={number}")
+            first = ordering.first_seen(linked.filter(F.col("link").isNotNull()), "link", ordering.newest_first())
+            earlier = batch.sparkSession.read.parquet(path).filter(F.col("batch_id") < number)
+            fresh = lookups.new_since(first, earlier)
+            records.digest(fresh, with_score).write.mode("overwrite").parquet(f"{path}/batch_id={number}")
+        finally:
+            rows.unpersist()
+            linked.unpersist()
 
-def append_digest(stream: DataFrame, path: str, checkpoint: str, with_score: bool = False) -> StreamingQuery:
-    """Append the digest columns of a stream to a parquet folder, everything available now."""
     return (
-        records.digest(stream, with_score)
-        .writeStream.format("parquet")
-        .option("path", path)
+        sightings.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

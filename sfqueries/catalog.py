@@ -400,7 +400,8 @@ def q_encode_hook(spark, sf):
     return encoded.select("page_id", *(F.get("vector", F.lit(i)).cast("bigint").alias(f"v{i}") for i in range(3)))
 
 
-def q_stream_digest(spark, sf):
+def _run_stream(spark, sf):
+    """The folders of a digest and its quarantine after all events have streamed in."""
     events = fx.table(spark, sf, "events")
     arriving = (
         spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -408,12 +409,20 @@ def q_stream_digest(spark, sf):
     )
     count = fx.row_count(spark, sf, "pages")
     sighted = fx.answered(arriving.withColumn("page_id", F.col("event_id") % count))
-    pages = posting_headings(fx.pages(spark, sf, spread=True))
-    out, checkpoint = scratch_path(spark, "digest"), scratch_path(spark, "state")
-    links = stream.first_links(stream.suitable_stream(sighted), pages)
-    query = stream.append_digest(links, out, checkpoint)
-    query.awaitTermination()
-    return spark.read.schema(schemas.layout("digest")).parquet(out).select("link")
+    pages = settled_table(posting_headings(fx.pages(spark, sf)), "headings")
+    out, bad, checkpoint = (scratch_path(spark, name) for name in ("digest", "quarantine", "state"))
+    stream.append_digest(sighted, pages, out, bad, checkpoint, yoe=2).awaitTermination()
+    return out, bad
+
+
+def q_stream_digest(spark, sf):
+    out, _ = _run_stream(spark, sf)
+    return spark.read.parquet(out).select(*schemas.LAYOUTS["digest"])
+
+
+def q_stream_quarantine(spark, sf):
+    _, bad = _run_stream(spark, sf)
+    return spark.read.schema("link string, stage string, reason string, raw string").json(bad).drop("batch_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

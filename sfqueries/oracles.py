@@ -311,7 +311,13 @@ def oracle_sql() -> dict[str, str]:
         "encode_hook": f"""WITH {_POSTINGS}
             SELECT page_id, length(jd) AS v0, length(jd) - length(replace(jd, 'a', '')) AS v1,
               length(jd) - length(replace(jd, 'e', '')) AS v2 FROM postings""",
-        "stream_digest": f"""WITH {_PARSED} SELECT DISTINCT {_LINK} AS link
-            FROM suitable JOIN pages USING (page_id)""",
+        "stream_digest": f"""WITH {_PARSED}, {_HEADINGS},
+            linked AS (SELECT s.*, link, heading FROM suitable s JOIN headings USING (page_id))
+            SELECT replace(heading, ',', '') AS title, replace(company, ',', '') AS company, min_exp, max_exp,
+              CAST(NULL AS BOOLEAN) AS age_match, overall, "primary", secondary, {_FLAGS}, link
+            FROM ({_first('linked', 'link', 'ts DESC, event_id')})""",
+        "stream_quarantine": f"""WITH {_PARSED} SELECT {_LINK} AS link,
+            CASE WHEN parse_reason IS NULL THEN 'suitability' ELSE 'parse' END AS stage, reason, response AS raw
+            FROM checked JOIN pages USING (page_id) WHERE reason IS NOT NULL""",
     }
     return sql

@@ -1,52 +1,70 @@
 import json
+from collections import Counter
 from datetime import datetime, timedelta
 
+import pytest
 
 from postsieve import schemas, scratch_path
 from postsieve.operators import ordering
 from postsieve.streaming import digest as stream
 
-NOW = datetime(2024, 1, 1)
+NOW = datetime(2024, 3, 1)
 SCHEMA = "event_id bigint, ts timestamp_ntz, page_id bigint, response string"
 
 
 def answer(i):
     return json.dumps({
-        "company": "A", "min_exp": i % 4, "max_exp": "N/A", "overall": "Java", "primary": "Java", "secondary": "SDE",
+        "company": "A, Inc", "min_exp": i % 4, "max_exp": "N/A", "overall": "Java", "primary": "Java", "secondary": "SDE",
         "citizenship_required": False, "security_clearance_required": False, "visa_sponsorship": i % 3 != 0,
     })
 
 
-def test_stream_keeps_the_links_of_the_batch(spark):
-    # page 0 has half of all sightings; pages come in pairs that share a link
-    rows = [(i, NOW + timedelta(minutes=i), 0 if i % 2 else i % 20, answer(i)) for i in range(600)]
-    pages = spark.createDataFrame([(p, f"http://h/{p // 2}", f"t{p}") for p in range(20)], "page_id bigint, link string, title string")
-    source = scratch_path(spark, "sightings")
-    out, checkpoint = scratch_path(spark, "digest"), scratch_path(spark, "state")
+@pytest.fixture(scope="module")
+def rows():
+    # page 0 has half of all sightings; pages come in pairs that share a link; page 19 is seen once,
+    # 40 days late; page 77 is unknown; some answers are broken
+    out = [(i, NOW + timedelta(minutes=i), 0 if i % 2 else i % 18, answer(i)) for i in range(600)]
+    return out + [
+        (1000, NOW - timedelta(days=40), 19, answer(1)), (1001, NOW, 77, answer(1)), (1002, NOW, 3, "no json"), (1003, NOW, 4, None),
+    ]
 
-    def arrived(part):
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    return spark.createDataFrame([(p, f"http://h/{p // 2}", f"t{p}") for p in range(20)], "page_id bigint, link string, title string")
+
+
+def run(spark, pages, parts):
+    """Digest and quarantine after the parts have arrived, one run of the stream for each."""
+    source, out, bad, state = (scratch_path(spark, name) for name in ("sightings", "digest", "quarantine", "state"))
+    for part in parts:
         spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
         read = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
-        links = stream.first_links(stream.suitable_stream(read), pages, salts=4)
-        stream.append_digest(links, out, checkpoint).awaitTermination()
-        return spark.read.schema(schemas.layout("digest")).parquet(out)
-
-    def batch(part):
-        kept = stream.suitable_stream(spark.createDataFrame(part, SCHEMA)).join(pages, "page_id")
-        return ordering.first_seen(kept, "link", ordering.newest_first())
-
-    first = arrived(rows[:200])
-    assert sorted(r["link"] for r in first.collect()) == sorted(r["link"] for r in batch(rows[:200]).collect())
-    # the second run goes on from the first one's state: nothing is listed again
-    both = arrived(rows[200:])
-    links = [r["link"] for r in both.collect()]
-    assert len(links) == len(set(links))
-    assert sorted(links) == sorted(r["link"] for r in batch(rows).collect())
+        stream.append_digest(read, pages, out, bad, state).awaitTermination()
+    digest = spark.read.parquet(out).select(*schemas.LAYOUTS["digest"])
+    return digest, spark.read.json(bad).select("link", "stage", "reason", "raw")
 
 
-def test_repeats_are_thinned_before_the_join(spark):
-    read = spark.readStream.schema(SCHEMA).parquet("/root/testdata/sf0.001")
-    pages = spark.createDataFrame([(0, "l", "t")], "page_id bigint, link string, title string")
-    plan = stream.first_links(stream.suitable_stream(read), pages)._jdf.queryExecution().analyzed().toString()
-    assert plan.count("DeduplicateWithinWatermark") == 2
-    assert plan.index("DeduplicateWithinWatermark") < plan.index("Join") < plan.rindex("DeduplicateWithinWatermark")
+def test_the_same_links_however_rows_arrive(spark, pages, rows):
+    kept = stream.suitable_rows(spark.createDataFrame(rows, SCHEMA)).join(pages, "page_id")
+    want = sorted(r["link"] for r in ordering.first_seen(kept, "link", ordering.newest_first()).collect())
+    assert "http://h/9" in want
+    late_last = rows[:200], rows[200:600], rows[600:]
+    for parts in ([rows], late_last, late_last[::-1]):
+        digest, rejected = run(spark, pages, parts)
+        assert sorted(r["link"] for r in digest.collect()) == want
+        assert {r["company"] for r in digest.collect()} == {"A Inc"}
+        got = Counter((r["link"], r["stage"], r["reason"]) for r in rejected.collect())
+        assert got == Counter([(None, "stream", "bad_row"), ("http://h/1", "parse", "bad_json"), ("http://h/2", "parse", "bad_json")])
+
+
+def test_a_repeated_batch_adds_nothing_twice(spark, pages, rows):
+    source, out, bad = (scratch_path(spark, name) for name in ("sightings", "digest", "quarantine"))
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(source)
+    for _ in range(2):
+        # without its checkpoint the stream starts again with the same batch number
+        read = spark.readStream.schema(SCHEMA).parquet(source)
+        stream.append_digest(read, pages, out, bad, scratch_path(spark, "state")).awaitTermination()
+    links = [r["link"] for r in spark.read.parquet(out).collect()]
+    assert len(links) == len(set(links))
+    assert spark.read.json(bad).count() == 3
