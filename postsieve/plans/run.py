@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import records
 from ..session import use_checkpoint_dir
+from ..sinks import files, names
 
 
 @dataclass(frozen=True)
@@ -36,7 +37,9 @@ class RunResult:
         return self.rows.filter(F.col("reason").isNull())
 
     def records(self, layout: str = "raw_v2") -> DataFrame:
-        return records.raw_record(self.usable(), layout)
+        """Records in arrival order."""
+        place = [name for name in ("scan_rank", "page", "position") if name in self.rows.columns]
+        return records.raw_record(self.usable().orderBy(*place), layout)
 
     def digest(self, with_score: bool = False) -> DataFrame:
         """Digest rows in arrival order."""
@@ -46,5 +49,19 @@ class RunResult:
     def quarantine(self) -> DataFrame:
         return records.split_quarantine(self.rows, self.raw)[1]
 
+    def write(self, folder: str, as_digest: bool = False) -> str:
+        """Append the run's records to its file below `folder`, or write its digest there, and its
+        rejected rows to the quarantine beside it; returns where the file is.
+
+        Both come from one checkpoint of the rows, so they are of one computation.
+        """
+        kept, target = self.settled(), names.below(folder, self.path.rsplit("/", 1)[-1])
+        if as_digest:
+            files.write_digest(kept.digest(), target)
+        else:
+            files.append_raw(kept.records(), target)
+        files.append_quarantine(kept.quarantine(), names.below(folder, "quarantine"))
+        return target
+
     def tagged(self) -> DataFrame:
         return self.rows.withColumn("run_id", F.lit(self.run_id))

@@ -19,6 +19,7 @@ from postsieve.plans.search import recommended, search
 from postsieve.session import scratch_path, settled_table
 from postsieve.sinks import files
 from postsieve.sources.pages import posting_headings, posting_texts, scan_postings
+from postsieve.sources.profile import read_profile
 from postsieve.sources.raw_csv import read_digest, read_raw_postings
 from postsieve.streaming import digest as stream
 
@@ -327,6 +328,35 @@ def q_search(spark, sf):
     return run.records().withColumn("match_score", _score())
 
 
+def q_search_written(spark, sf):
+    """The same search written below a folder and read back."""
+    run = search(
+        fx.postings_html(spark, sf), fx.sightings(spark, sf), fx.as_of(spark, sf),
+        query="experience", location="USA", timeline="1M", easy_apply=True, page_count=2,
+        profile=fx.profile_text(spark),
+    )
+    written = read_raw_postings(spark, run.write(scratch_path(spark, "runs")))
+    return written.drop(schemas.CORRUPT).withColumn("match_score", _score())
+
+
+def q_run_envelope(spark, sf):
+    """Rows of a run with its id and the name of its file."""
+    run = daily(
+        fx.postings_html(spark, sf), fx.sightings(spark, sf), fx.as_of(spark, sf),
+        query="spark", location="USA", yoe=2, save="out", profile=fx.profile_text(spark),
+    )
+    tagged = run.tagged().filter(F.col("reason").isNull())
+    return tagged.select("link", F.lit(run.path).alias("path"), F.length("run_id").alias("id_length"))
+
+
+def q_read_profile(spark, sf):
+    """A page's text written as a file and read as the profile."""
+    path = scratch_path(spark, "profile")
+    one = _texts(spark, sf).filter("page_id = 0").select(F.replace("jd", F.lit("\n"), F.lit(" ")).alias("value"))
+    one.coalesce(1).write.text(path)
+    return read_profile(spark, path).select(F.trim("profile", F.lit("\n")).alias("profile"))
+
+
 def q_search_answers(spark, sf):
     """Fields from answers, stored scores."""
     run = search(

@@ -260,6 +260,26 @@ def oracle_sql() -> dict[str, str]:
                 AND contains(lower(title || ' ' || jd), 'experience')
               ORDER BY ts DESC, event_id LIMIT 50)
             SELECT {_V2} FROM top JOIN ruled USING (page_id) JOIN text_scores USING (page_id)""",
+        "search_written": f"""WITH {_SIGHTINGS}, {_GEO}, {_POSTINGS}, {_RULES}, {_TEXT_SCORES},
+            top AS (
+              SELECT event_id, page_id FROM sightings JOIN located USING (event_id) JOIN postings USING (page_id), today
+              WHERE geo_id = '103644278' AND easy_apply AND ts >= t - INTERVAL 30 DAY
+                AND contains(lower(title || ' ' || jd), 'experience')
+              ORDER BY ts DESC, event_id LIMIT 50)
+            SELECT {_V2} FROM top JOIN ruled USING (page_id) JOIN text_scores USING (page_id)""",
+        "run_envelope": f"""WITH {_SIGHTINGS}, {_POSTINGS}, {_RULES}, {_TEXT_SCORES}, {_GEO},
+            best AS (
+              SELECT page_id, CAST(NULL AS BIGINT) AS event_id,
+                row_number() OVER (ORDER BY match_score DESC, link, page_id) AS place
+              FROM postings JOIN text_scores USING (page_id) QUALIFY place <= 25),
+            found AS (SELECT page_id FROM postings WHERE contains(lower(title || ' ' || jd), 'spark')),
+            picked AS ({_daily('sightings', 'found', 'best')})
+            SELECT DISTINCT link, 'out/jobs_DAILY_' || strftime(t, '%d-%m-%Y') || '_103644278_False_spark.csv' AS path,
+              36 AS id_length
+            FROM picked JOIN ruled USING (page_id), today
+            WHERE (min_exp = 'N/A' OR CAST(min_exp AS INTEGER) <= 2)
+              AND NOT citizenship_required AND NOT security_clearance_required AND visa_sponsorship""",
+        "read_profile": f"WITH {_POSTINGS} SELECT replace(jd, chr(10), ' ') AS profile FROM postings WHERE page_id = 0",
         "search_answers": f"""WITH {_PARSED}, {_HEADINGS}, {_SCORES}, {_GEO},
             top AS (
               SELECT c.* FROM checked c JOIN located USING (event_id), today
