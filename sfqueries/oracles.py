@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from postsieve import dims
-
 from . import fixtures as fx
 
 _FLAGS = "citizenship_required, security_clearance_required, visa_sponsorship"
@@ -14,6 +12,35 @@ _KEYS = (
     "company", "min_exp", "max_exp", "overall", "primary", "secondary",
     "citizenship_required", "security_clearance_required", "visa_sponsorship",
 )
+# fixed values, written out so that an error in the library's tables shows: categories with their
+# keywords, places with their ids
+_CATEGORIES = (
+    ("Java", "java"), ("Java", "spring"), ("Java", "j2ee"),
+    ("Python", "python"), ("Python", "django"), ("Python", "flask"),
+    ("Web Development", "html"), ("Web Development", "css"), ("Web Development", "javascript"),
+    ("API Development", "rest"), ("API Development", "soap"),
+    ("Rust", "rust"),
+    ("Full Stack", "full stack"),
+    ("Mobile Development", "android"), ("Mobile Development", "ios"),
+    ("Microservices", "kubernetes"), ("Microservices", "docker"),
+    ("Healthcare", "hl7"), ("Healthcare", "fhir"),
+    ("Generative AI", "gans"), ("Generative AI", "transformers"),
+    ("Databases", "sql"), ("Databases", "nosql"),
+    ("Data Engineering", "etl"), ("Data Engineering", "data pipelines"),
+    ("DevOps", "kubernetes"), ("DevOps", "docker"),
+    ("Finance", "trading"), ("Finance", "risk management"),
+    ("Cloud Development", "aws"), ("Cloud Development", "azure"),
+    ("SDE", "software development"),
+    ("Big Data", "hadoop"), ("Big Data", "spark"),
+    ("Machine Learning", "ml"), ("Machine Learning", "dl"),
+)
+_PLACES = (
+    ("usa", "103644278"), ("united states", "103644278"), ("america", "103644278"), ("us", "103644278"), ("united states of america", "103644278"),
+    ("india", "102713980"), ("in", "102713980"), ("ind", "102713980"),
+    ("germany", "101282230"), ("de", "101282230"), ("ger", "101282230"), ("deutschland", "101282230"), ("deu", "101282230"),
+    ("singapore", "102454443"), ("sg", "102454443"), ("sing", "102454443"), ("sin", "102454443"),
+    ("uae", "106204383"), ("united arab emirates", "106204383"), ("dubai", "106204383"),
+)
 _ENTITIES = (
     ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("nbsp", " "), ("copy", "©"), ("reg", "®"),
     ("trade", "™"), ("middot", "·"), ("bull", "•"), ("hellip", "…"), ("ndash", "–"), ("mdash", "—"),
@@ -91,7 +118,7 @@ words AS (
 
 _RULES = f"""{_WORDS},
 category_keyword(category, keyword) AS (VALUES
-  {', '.join(f"('{c}', '{k}')" for c, ks in dims.CATEGORY_KEYWORDS.items() for k in ks)}),
+  {', '.join(f"('{c}', '{k}')" for c, k in _CATEGORIES)}),
 grams AS (
   SELECT page_id, word AS gram FROM words
   UNION ALL
@@ -126,7 +153,7 @@ text_scores AS (
     FROM freq f LEFT JOIN profile q ON q.word = f.word GROUP BY f.page_id) s ON s.page_id = p.page_id)"""
 
 _GEO = f"""
-geo_alias(alias, geo_id) AS (VALUES {', '.join(f"('{a}', '{g}')" for g, al in dims.GEO_ALIASES.items() for a in al)}),
+geo_alias(alias, geo_id) AS (VALUES {', '.join(f"('{a}', '{g}')" for a, g in _PLACES)}),
 located AS (
   SELECT s.event_id, s.location, coalesce(g.geo_id, '103644278') AS geo_id
   FROM sightings s LEFT JOIN geo_alias g ON lower(s.location) = g.alias)"""
