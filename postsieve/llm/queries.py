@@ -105,15 +105,18 @@ def q_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    encoded = pieces.encode(docs, keep=["doc_id", "text"])
-    whole = encoded.select(F.struct("doc_id", "text", "ids").alias("row"), "ids")
-    decoded = pieces.decode(whole, keep=["row"])
+    # what is compared at the end travels as digests, so that batches hold each text and its ids once
+    docs = _read(spark, sf_dir, "documents").withColumn("text_sha256", F.sha2(F.col("text").cast("binary"), 256))
+    encoded = pieces.encode(docs, keep=["doc_id", "text_sha256"])
+    listed = F.array_join(F.transform("ids", lambda i: i.cast("string")), ",")
+    digests = encoded.select(
+        "doc_id", "text_sha256", F.size("ids").cast("long").alias("n_ids"),
+        F.sha2(listed.cast("binary"), 256).alias("ids_sha256"), "ids",
+    )
+    decoded = pieces.decode(digests, keep=["doc_id", "text_sha256", "n_ids", "ids_sha256"])
+    back = F.sha2(F.col("text").cast("binary"), 256)
     return decoded.select(
-        F.col("row.doc_id").alias("doc_id"), F.size("row.ids").cast("long").alias("n_ids"),
-        F.sha2(F.array_join(F.transform("row.ids", lambda i: i.cast("string")), ",").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-        F.col("text").eqNullSafe(F.col("row.text")).alias("same_text"),
+        "doc_id", "n_ids", "ids_sha256", back.alias("decoded_sha256"), back.eqNullSafe(F.col("text_sha256")).alias("same_text")
     )
 
 
