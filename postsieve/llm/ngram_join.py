@@ -9,7 +9,9 @@ The result is a class per document, not all pairs. So candidates are taken in tw
 a list is verified against the list's head, the group with most frequent shingles, which settles
 lists of many near copies with one pair per member. Then pairs of groups that share a shingle and are not yet in one class are
 expanded to their members and verified: no link between different classes is left out. Pairs are
-verified only if their prefixes share as many shingles as their sizes then demand.
+verified only if their prefixes share as many shingles as their sizes then demand. Members of one
+group share their prefix, which tells nothing: they are compared with the group's lead first, and
+where that leaves several classes in a group, by prefixes in the order of its own counts.
 
 Shingles come in the order of their hashes, with frequent ones last: those that repeat within a
 task's block of shingles are counted over all blocks, and the most frequent, at most
@@ -167,20 +169,25 @@ def _shared_in_ranges(percent: int, la: str, ma: str, lb: str, mb: str):
     ) - F.lit(1e-6)
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, sized: DataFrame, percent: int, words: int, name: str) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets have the Jaccard index asked for, compared in full."""
-    pairs = settle(pairs, f"{name}_pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+def _fetched(nodes: DataFrame, docs: DataFrame, sized: DataFrame, words: int, name: str) -> DataFrame:
+    """(node, n, own): the sets of the distinct `nodes`."""
     # one document of each set; few enough are sent to the texts, else the texts are shuffled
     one = settle(sized.join(nodes, "node").groupBy("node").agg(F.min("id").alias("id")), f"{name}_nodes")
     small = one.count() <= MAX_SENT
     one = one.select(F.col("id").alias("of")).distinct()
     texts = docs.join(F.broadcast(one) if small else one, F.col("id").eqNullSafe(F.col("of"))).select("text")
-    sets = settle(
+    return settle(
         texts.mapInArrow(_sets(words), "node long, own array<long>").groupBy("node", F.size("own").alias("n"))
         .agg(F.first("own").alias("own")),
         f"{name}_sets",
     )
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sized: DataFrame, percent: int, words: int, name: str) -> DataFrame:
+    """The pairs (a, b, na, nb) whose sets have the Jaccard index asked for, compared in full."""
+    pairs = settle(pairs, f"{name}_pairs")
+    nodes = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct()
+    sets = _fetched(nodes, docs, sized, words, name)
     a = sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("own").alias("own_a"))
     b = sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("own").alias("own_b"))
     both = pairs.join(a, ["a", "na"]).join(b, ["b", "nb"])
@@ -190,6 +197,41 @@ def _linked(pairs: DataFrame, docs: DataFrame, sized: DataFrame, percent: int, w
     )
 
 
+def _within(
+    members: DataFrame, comps: DataFrame, docs: DataFrame, sized: DataFrame, percent: int, words: int,
+) -> DataFrame | None:
+    """Pairs (a, b, na, nb) of one group's members in different classes that may link; None if no group has such members.
+
+    Sets of one size n that share `least` shingles share one of the first n - least + 1 in any one
+    order. Here it is that of the counts within the group, so that what all members share comes last.
+    """
+    least = F.ceil(2 * percent * F.col("n") / (100 + percent) - F.lit(1e-9))
+    # where least is n only equal sets link, and these are one node
+    placed = members.where(least < F.col("n")).join(comps, "node", "left").select("grp", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = placed.groupBy("grp").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    placed = settle(placed.join(mixed.select("grp"), "grp"), "ngram_within")
+    if placed.isEmpty():
+        return None
+    sets = _fetched(placed.select("node").distinct(), docs, sized, words, "ngram_within").select("node", "own")
+    single = placed.join(sets, "node").select("grp", "node", "n", "comp", F.explode("own").alias("shingle"))
+    counts = single.groupBy("grp", "shingle").agg(F.count("*").alias("seen")).where("seen > 1")
+    # shingles of one member come first and are not listed, but take their places
+    ranked = single.join(counts, ["grp", "shingle"], "left").groupBy("grp", "node", "n", "comp").agg(
+        F.array_sort(F.collect_list(F.struct(F.coalesce("seen", F.lit(1)).alias("seen"), "shingle"))).alias("all")
+    )
+    entries = settle(
+        ranked.select("grp", "node", "n", "comp", F.explode(F.slice("all", F.lit(1), (F.col("n") - least + 1).cast("int"))).alias("s"))
+        .where("s.seen > 1").select("grp", "node", "n", "comp", F.col("s.shingle").alias("shingle")),
+        "ngram_within_lists",
+    )
+    per = entries.select("grp", "shingle", "comp").distinct()
+    met = per.withColumnRenamed("comp", "ca").join(per.withColumnRenamed("comp", "cb"), ["grp", "shingle"]).where("ca < cb")
+    one, other = (
+        entries.select("grp", "shingle", F.col("comp").alias(f"c{i}"), F.col("node").alias(i), F.col("n").alias(f"n{i}")) for i in "ab"
+    )
+    return met.join(one, ["grp", "shingle", "ca"]).join(other, ["grp", "shingle", "cb"]).select("a", "b", "na", "nb").distinct()
+
+
 def classes(
     docs: DataFrame, *, ident: str = "doc_id", text: str = "text", percent: int = PERCENT, words: int = WORDS,
 ) -> DataFrame:
@@ -255,7 +297,7 @@ def classes(
 
     # what is not in one class yet: pairs of classes under one shingle, expanded to their members
     entries = lists.select("shingle", "grp").distinct()
-    # how many of its prefix a group can share with any other: those under which there is another
+    # how many of its prefix a group can share with any other group: those under which there is another
     held = entries.groupBy("grp").agg(F.count("*").alias("held"))
     placed = (
         entries.join(held, "grp").join(members, "grp")
@@ -285,6 +327,10 @@ def classes(
     rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(
         F.col("shared") >= _shared_at_least(percent)
     ).select("a", "b", "na", "nb")
+    # members of one group, whose shared prefix is not in the lists
+    within = _within(members, comps, body, sized, percent, words)
+    if within is not None:
+        rest = rest.unionAll(within).distinct()
     more = _linked(rest, body, sized, percent, words, "ngram_rest")
     if not more.isEmpty():
         comps = components(links.unionAll(more))

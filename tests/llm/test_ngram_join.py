@@ -1,9 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from postsieve.llm import graph, ngram_join
+from postsieve.llm import graph, hashing, ngram_join
 from tests.llm.helpers import documents, empty, frame, rows_of, words
 
 
@@ -74,6 +76,33 @@ def test_texts_are_joined_where_ids_are_too_many_to_send(spark, monkeypatch):
     assert rows_of(ngram_join.classes(frame(spark, rows))) == brute(rows)
 
 
+def one_group(seed):
+    """Texts of one size and prefix, of which the last two link with each other but not with the lead; and one of its prefix's shingles."""
+    r = random.Random(seed)
+    while True:
+        base, new = ([f"w{r.randrange(10**9)}" for _ in range(n)] for n in (24, 4))
+        texts = [" ".join(base[:21] + end) for end in (base[21:], new[:3], new[:2] + new[3:])]
+        sets = [hashing.shingles(pa.py_buffer(t.encode()), 5) for t in texts]
+        nodes = [ngram_join._digest(s, len(s)) for s in sets]
+        prefixes = {tuple(np.sort(s)[:6]) for s in sets}
+        if {len(s) for s in sets} == {20} and len(prefixes) == 1 and nodes[0] == min(nodes):
+            (prefix,) = prefixes
+            windows = [" ".join(base[i:i + 5]) for i in range(17)]
+            return texts, next(w for w in windows if hashing.shingles(pa.py_buffer(w.encode()), 5)[0] in prefix)
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_members_of_one_group_that_link_past_its_lead(spark, other):
+    texts, window = one_group(5)
+    # a group of many members that share most shingles too
+    r = random.Random(6)
+    rows = list(enumerate(texts)) + ([(9, window)] if other else [])
+    rows += [(100 + i, f"{' '.join(texts[1].split()[:21])} {r.randrange(3)} {r.randrange(3)} {r.randrange(3)}") for i in range(40)]
+    want = brute(rows)
+    assert want[2, 20, 1] == 1 and want[0, 20, 0] == 1
+    assert rows_of(ngram_join.classes(frame(spark, rows))) == want
+
+
 def test_one_of_each_class_stays(spark):
     rows = [(3, "a b c d e f"), (1, "a b c d e f"), (1, "a b c d e f"), (2, "q r s t u"), (4, None), (5, ""), (None, "a b c d e f")]
     df = frame(spark, rows)
