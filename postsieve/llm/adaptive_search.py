@@ -34,6 +34,8 @@ MARGIN = 2.1
 CHUNK = 2_048
 GROUP = 512
 ROUNDS = 10
+#: Rounding of a squared distance, as a share of the squared lengths it is computed from.
+ROUNDING = 1e-12
 
 
 def _lift(vectors: np.ndarray, longest: float) -> np.ndarray:
@@ -70,7 +72,9 @@ def scan(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, k: int)
     )
     near[same[:, :first]] = np.inf
     worst = np.partition(near, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(queries), np.inf)
-    q, c = np.nonzero((near <= worst[:, None] + 1e-9) & ~same[:, :first])
+    # distances are differences of squared lengths: near zero their rounding is larger than any share of them
+    slack = ROUNDING * ((queries**2).sum(1) + (candidates**2).sum(1).max(initial=0))
+    q, c = np.nonzero((near <= worst[:, None] + 1e-9 + slack[:, None]) & ~same[:, :first])
     left.append(q)
     right.append(c)
     for at in range(first, n, 512):
@@ -78,7 +82,7 @@ def scan(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, k: int)
         d = min(COLUMNS, dims)
         a, b = queries[:, :d], block[:, :d]
         partial = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-        limit = worst * (1 + MARGIN / np.sqrt(d)) ** 2 * d / dims
+        limit = worst * (1 + MARGIN / np.sqrt(d)) ** 2 * d / dims + slack
         q, c = np.nonzero((partial <= limit[:, None]) & ~same[:, at:at + 512])
         so_far = partial[q, c]
         while d < dims and len(q):
@@ -86,7 +90,7 @@ def scan(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, k: int)
             so_far = so_far + ((queries[q, d:e] - block[c, d:e]) ** 2).sum(1)
             d = e
             margin = (1 + MARGIN / np.sqrt(d)) ** 2 * d / dims if d < dims else 1 + 1e-9
-            go = so_far <= worst[q] * margin
+            go = so_far <= worst[q] * margin + slack[q]
             q, c, so_far = q[go], c[go], so_far[go]
         left.append(q)
         right.append(c + at)

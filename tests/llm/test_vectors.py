@@ -88,6 +88,19 @@ def test_search_against_all_products(vectors, rows):
     assert hits / (20 * len(asked)) >= 0.9
 
 
+def test_copies_of_a_query_are_not_lost_to_rounding():
+    r = np.random.default_rng(1)
+    for queries in (1, 40, 512):
+        for _ in range(5):
+            given = r.normal(size=(900, 64))
+            given = (given / np.linalg.norm(given, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+            given[::3] = given[0]
+            longest = float(np.sqrt((given**2).sum(1).max()))
+            point = np.concatenate([np.repeat(given[:1], queries, 0), np.zeros((queries, 1))], axis=1) @ adaptive_search.rotation(65)
+            q, c = adaptive_search.scan(point, adaptive_search._lift(given, longest), np.zeros((queries, 900), bool), 20)
+            assert all(set(range(0, 900, 3)) <= set(c[q == i]) for i in range(queries))
+
+
 def test_few_and_no_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     three = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.0, 0.0]), (20, [1.0, 2.0])], schema)
