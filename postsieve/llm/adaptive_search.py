@@ -2,7 +2,7 @@
 
 Vectors get one more component that makes their lengths equal, so that the largest inner product
 is the least distance. They are rotated and dealt to the list of their nearest centroid. A query scans
-the lists nearest to it. Within a list, vectors lie in blocks of columns: after each block the
+the lists nearest to it, a fixed share of them and more until they hold enough candidates. Within a list, vectors lie in blocks of columns: after each block the
 distance so far, scaled to all dimensions, is tested against the distance of the worst neighbour found;
 candidates that fail the test are abandoned, the others go on. Those that reach the end are scored
 on the vectors as given.
@@ -26,7 +26,7 @@ from postsieve.llm.vectors import rotation, usable
 NEIGHBOURS = 20
 SAMPLE = 16_384
 MAX_LISTS = 1_024
-#: Share of the lists that a query scans.
+#: Share of the lists that a query scans at least.
 PROBED = 0.6
 #: Columns in a block, and how far beyond its expectation a distance must be to be abandoned.
 COLUMNS = 16
@@ -106,30 +106,41 @@ def scan(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, k: int)
     return np.concatenate(left), np.concatenate(right)
 
 
-def _index(model, with_probes: bool):
-    """Rows (id, vec, list) with one list for a vector, or the lists that a query scans."""
+def _index(model, probes: tuple[int, np.ndarray, int] | None = None):
+    """Rows (id, vec, lists) with one list for a vector, or the lists that a query scans.
+
+    probes: how many lists a query scans at least, the vectors in each list, and k. It goes on until
+    its lists hold k vectors besides the `own` ones, those with its id.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest, chosen, dims, probed = model.value
+        longest, chosen, dims = model.value
         for batch in batches:
             values = batch.column(1)
             vectors = np.asarray(values.flatten(), dtype=np.float64).reshape(-1, dims)
             if not len(vectors):
                 continue
             turned = _lift(vectors, longest)
-            if with_probes:
+            if probes:
                 turned = np.concatenate([vectors, np.zeros((len(vectors), 1))], axis=1) @ rotation(dims + 1)
             closeness = turned @ chosen.T - 0.5 * (chosen**2).sum(1)
-            lists = np.argsort(-closeness, axis=1)[:, :probed] if with_probes else np.argmax(closeness, axis=1)[:, None]
+            if probes:
+                probed, sizes, k = probes
+                nearest = np.argsort(-closeness, axis=1)
+                needed = k + np.asarray(batch.column(2), dtype=np.int64)
+                short = (np.cumsum(sizes[nearest], axis=1) < needed[:, None]).sum(1)
+                lists = [near[:max(probed, n + 1)] for near, n in zip(nearest, short)]
+            else:
+                lists = list(np.argmax(closeness, axis=1)[:, None])
             packed = pa.array([v.tobytes() for v in vectors], pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), packed, pa.array(list(lists.astype(np.int64)), pa.list_(pa.int64()))], names=["id", "vec", "lists"]
+                [batch.column(0), packed, pa.array(lists, pa.list_(pa.int64()))], names=["id", "vec", "lists"]
             )
     return run
 
 
 def _search(model, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        longest, _, dims, _ = model.value
+        longest, _, dims = model.value
         turn = rotation(dims + 1)
         for batch in batches:
             for row in range(batch.num_rows):
@@ -192,12 +203,20 @@ def search(
     fitted = _lift(np.asarray(picked.column("vector").combine_chunks().flatten(), dtype=np.float64).reshape(-1, dims), longest)
     count = lists or int(min(MAX_LISTS, max(1, np.sqrt(length["n"]))))
     chosen = centroids(fitted, min(count, len(fitted)))
-    model = spark.sparkContext.broadcast((longest, chosen, dims, max(1, int(np.ceil(probed * len(chosen))))))
+    model = spark.sparkContext.broadcast((longest, chosen, dims))
     kind = "id long, vec binary, lists array<long>"
-    indexed = whole.select("id", "vector").mapInArrow(_index(model, False), kind)
-    asked = whole.where("asks").select("id", "vector").mapInArrow(_index(model, True), kind)
+    indexed = whole.select("id", "vector").mapInArrow(_index(model), kind)
     flat = lambda df: df.select("id", "vec", F.explode("lists").alias("list"))
     candidates = settle(_chunked(flat(indexed), CHUNK, ("part", "ids", "vecs")), "search_lists")
+    # one number per list
+    sizes = np.zeros(len(chosen), np.int64)
+    for row in candidates.groupBy("list").agg(F.sum(F.size("ids")).alias("n")).collect():
+        sizes[row["list"]] = row["n"]
+    own = whole.groupBy("id").agg(F.count("*").alias("own"))
+    probes = max(1, int(np.ceil(probed * len(chosen)))), sizes, k
+    asked = whole.where("asks").select("id", "vector").join(own, "id").select("id", "vector", "own").mapInArrow(
+        _index(model, probes), kind
+    )
     questions = settle(_chunked(flat(asked), GROUP, ("group", "asked", "asked_vecs")), "search_queries")
     met = questions.join(candidates, "list").select("asked", "asked_vecs", "ids", "vecs")
     found = met.mapInArrow(_search(model, k), "query long, id long, score double")

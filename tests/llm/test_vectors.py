@@ -101,6 +101,21 @@ def test_copies_of_a_query_are_not_lost_to_rounding():
             assert all(set(range(0, 900, 3)) <= set(c[q == i]) for i in range(queries))
 
 
+def test_small_tables_give_all_candidates(spark):
+    # three lists; the query's id stands on many rows, which are no candidates
+    r = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(1, 12)] + [(0, [float(x) for x in r.normal(size=8)])] * 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (3, 11, 20):
+        got = adaptive_search.search(df, F.col("vec_id").isin(1, 2, 3), k=k, lists=3).groupBy("query_id").count().collect()
+        assert {q["query_id"]: q["count"] for q in got} == dict.fromkeys((1, 2, 3), min(k, 14))
+    got = adaptive_search.search(df.dropDuplicates(["vec_id"]), F.col("vec_id") < 20, k=20, lists=3).groupBy("query_id").count().collect()
+    assert [q["count"] for q in got] == [11] * 12
+    one = df.dropDuplicates(["vec_id"]).selectExpr("*", "vec_id = 0 AS asks")
+    many = one.unionAll(df.where("vec_id = 0").selectExpr("*", "false AS asks"))
+    assert adaptive_search.search(many, F.col("asks"), k=11, lists=3).select("vec_id").distinct().count() == 11
+
+
 def test_few_and_no_candidates(spark):
     schema = "vec_id long, embedding array<float>"
     three = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (2, [0.0, 0.0]), (20, [1.0, 2.0])], schema)
