@@ -49,10 +49,12 @@ def intervals(entries: DataFrame, *, rule: str = "rule", since: str = "since", a
     """(rule, action, since, until) of dated entries; until is null for the last entry of a rule.
 
     Entries with a null rule, date or action are left out. Of entries of one rule with one date the
-    one with the greatest action counts. Rules are compared in lower case.
+    one with the greatest action counts. Hosts are compared in lower case, paths as they are.
     """
+    name = F.substring_index(F.col(rule), "/", 1)
+    written = F.concat(F.lower(name), F.substring(F.col(rule), F.length(name) + 1, F.length(F.col(rule))))
     one = (
-        entries.select(F.lower(F.col(rule)).alias("rule"), F.col(since).cast("date").alias("since"), F.col(action).alias("action"))
+        entries.select(written.alias("rule"), F.col(since).cast("date").alias("since"), F.col(action).alias("action"))
         .where(F.col("rule").isNotNull() & F.col("since").isNotNull() & F.col("action").isNotNull())
         .groupBy("rule", "since").agg(F.max("action").alias("action"))
     )

@@ -36,6 +36,16 @@ def test_entries_hold_from_their_date_to_the_next(spark):
     ], key=str)
 
 
+def test_paths_keep_their_case(spark):
+    entries = spark.createDataFrame([("Example.com/Ads", day(1), "block"), ("Plain.COM", day(1), "block")], "rule string, since date, action string")
+    captures = spark.createDataFrame(
+        [(1, "http://EXAMPLE.com/Ads/x", day(2)), (2, "http://example.com/ads/x", day(2)), (3, "http://plain.com/Ads", day(2))],
+        "id long, url string, fetched date",
+    )
+    got = {r["id"]: (r["rule"], r["blocked"]) for r in url_lists.judge(captures, entries, keep=["id"]).collect()}
+    assert got == {1: ("example.com/Ads", True), 2: (None, False), 3: ("plain.com", True)}
+
+
 def test_empty_lists_and_tables(spark):
     entries = spark.createDataFrame([], "rule string, since date, action string")
     captures = spark.createDataFrame([(1, "http://a.b", day(1))], "id long, url string, fetched date")
