@@ -91,13 +91,15 @@ def one_group(seed):
             return texts, next(w for w in windows if hashing.shingles(pa.py_buffer(w.encode()), 5)[0] in prefix)
 
 
-@pytest.mark.parametrize("other", [False, True])
-def test_members_of_one_group_that_link_past_its_lead(spark, other):
+@pytest.mark.parametrize("beside", ["nothing", "another group", "many members"])
+def test_members_of_one_group_that_link_past_its_lead(spark, beside):
     texts, window = one_group(5)
-    # a group of many members that share most shingles too
-    r = random.Random(6)
-    rows = list(enumerate(texts)) + ([(9, window)] if other else [])
-    rows += [(100 + i, f"{' '.join(texts[1].split()[:21])} {r.randrange(3)} {r.randrange(3)} {r.randrange(3)}") for i in range(40)]
+    rows = list(enumerate(texts))
+    if beside == "another group":
+        rows.append((9, window))
+    if beside == "many members":
+        r = random.Random(6)
+        rows += [(100 + i, f"{' '.join(texts[1].split()[:21])} {r.randrange(3)} {r.randrange(3)} {r.randrange(3)}") for i in range(40)]
     want = brute(rows)
     assert want[2, 20, 1] == 1 and want[0, 20, 0] == 1
     assert rows_of(ngram_join.classes(frame(spark, rows))) == want
