@@ -53,8 +53,8 @@ def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = B
     return mix((sums[ends] - sums[starts]) * powers(len(sums), base)[1][starts] + (ends - starts).astype(np.uint64))
 
 
-def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles of `n` words, A-Z in lower case.
+def shingle_hashes(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of a text's shingles of `n` words in order, repeats included, A-Z in lower case.
 
     A text of fewer words is one shingle; one without words, or null, has none.
     """
@@ -72,4 +72,9 @@ def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
     total = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):
         total += words[i:len(words) - k + 1 + i] * PLACE[i]
-    return np.unique(mix(total))
+    return mix(total)
+
+
+def shingles(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of a text's shingles."""
+    return np.unique(shingle_hashes(text, n))

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from postsieve.llm import (
     adaptive_search,
+    conversation_repair,
+    fingerprints,
     mixing,
     ngram_join,
+    periodic_runs,
     pieces,
     pii,
     quality_net,
@@ -19,6 +22,7 @@ from postsieve.llm import (
     suffix_dedup,
     url_lists,
 )
+from postsieve.llm.base import WORD
 from postsieve.llm.spans import joined
 
 
@@ -120,6 +124,73 @@ def q_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trial = fingerprints.edit_trial(_read(spark, sf_dir, "documents"))
+    # documents whose fingerprint is another one within the radius
+    near = fingerprints.near(trial).select("fingerprint", "n_near")
+    return trial.join(near, "fingerprint").select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_near"
+    )
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """Rows of conversations with faults put in by a rule, nulls as one space."""
+    blank = F.lit(" ")
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), blank), F.lit(":"), F.coalesce(F.col("turn").cast("string"), blank))
+    text = F.coalesce("text", blank)
+    fault = F.col("fault")
+    return rows.withColumn("fault", F.crc32(key.cast("binary")) % 20).where("fault <> 0").select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(F.coalesce("role", blank)).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"),
+    )
+
+
+def q_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations")
+    repaired = conversation_repair.repair(_damaged(rows))
+    every = rows.select(F.col("conv_id").alias("conv")).distinct()
+    counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
+    return every.join(repaired, F.col("conv").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("conv").alias("conv_id"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"),
+    )
+
+
+def _periodic(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document, by a hash of its id, the words from some place on repeat."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    split = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g")).withColumn(
+        "words", F.when(F.col("h") % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    )
+    n, start, period = F.size("words"), F.col("start"), F.col("period")
+    placed = split.withColumn("start", F.when(n > 0, F.col("g") % n).cast("int")).withColumn(
+        "period", (1 + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int")
+    )
+    repeated = F.transform(
+        "words", lambda word, i: F.when(i < start, word).otherwise(F.get("words", start + (i - start) % period))
+    )
+    return placed.select("doc_id", F.coalesce(F.array_join(repeated, " "), "text").alias("text"))
+
+
+def q_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(_periodic(_read(spark, sf_dir, "documents")), keep=["doc_id"])
+    # the greatest length / period, compared exactly by cross products; then the first in order
+    best = F.aggregate(
+        F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)),
+        lambda best, run: F.when(run["length"] * best["period"] > best["length"] * run["period"], run).otherwise(best),
+    )
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def q_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -138,5 +209,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_lists": q_url_lists,
         "op9_pieces": q_pieces,
         "op10_ngram_join": q_ngram_join,
+        "op11_fingerprints": q_fingerprints,
+        "op12_conversation_repair": q_conversation_repair,
+        "op13_periodic_runs": q_periodic_runs,
         "pipeline": q_pipeline,
     }
