@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.predicates import matches_keywords, suitable
 from ..operators import records, scoring
+from ..operators.vector_store import Encoder
 from ..session import settled_table
 from ..sinks import names
 from ..sources.pages import posting_texts
@@ -33,13 +34,16 @@ def daily(
     scan_list=dims.DAILY_SCANS,
     day: date | None = None,
     answer: Callable | None = None,
+    encoder: Encoder | None = None,
 ) -> RunResult:
     """Four scans, suitability, first-seen links, arrival order.
 
     The searches share one read of the sightings. Where scores come from the text, the keyword
     test and the score share one read of the pages, whose narrow outcome is written as a table
-    because the best-match list and the searches both start from it.
+    because the best-match list and the searches both start from it. With an `encoder`, texts that
+    earlier runs have seen are not encoded again.
     """
+    scores = steps.scores_of(pages, profile, scores, encoder)
     best_count = sum(count for scan, count in scan_list if scan == dims.RECOMMENDED)
     searches = [(scan, count) for scan, count in scan_list if scan != dims.RECOMMENDED]
 
@@ -51,8 +55,7 @@ def daily(
         found = scored.filter("_found").select("page_id", "match_score")
 
     best = steps.best_pages(scored, best_count)
-    with_answers = "response" in sightings.columns
-    if with_answers:
+    if "response" in sightings.columns:
         best = steps.newest_sightings(sightings, best, best_count * dims.PAGE_SIZE, as_of)
     listed = steps.listed_sightings(
         sightings, found, searches, location, easy_apply, as_of, first_rank=1
@@ -60,7 +63,7 @@ def daily(
     picked = best.unionByName(listed, allowMissingColumns=True)
 
     bound = sum(count for _, count in scan_list) * dims.PAGE_SIZE
-    rows = records.check_experience(steps.described(picked, pages, bound, profile, answer))
+    rows = records.check_experience(steps.described(picked, pages, bound, sightings, profile, answer))
     usable = F.col("reason").isNull()
     rows = rows.filter(~usable | suitable(yoe))
     # first-seen among usable rows only, in one pass: page limits have left few rows by now,
@@ -69,7 +72,7 @@ def daily(
     rows = rows.withColumn("_rank", F.row_number().over(arrival)).filter(~usable | (F.col("_rank") == 1))
     rows = rows.drop("_rank")
     name = names.daily_name(query, location, easy_apply, day or (as_of.date() if as_of else date.today()))
-    return RunResult(rows, names.below(save, name), steps.raw_column(rows))
+    return RunResult(rows, names.below(save, name))
 
 
 def _one_text_pass(pages: DataFrame, query: str, profile: DataFrame | None) -> DataFrame:

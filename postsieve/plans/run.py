@@ -15,17 +15,16 @@ from ..sinks import files, names
 
 @dataclass(frozen=True)
 class RunResult:
-    """Rows of one run, under an id, with the path they are meant for. Nothing is computed or
-    written until an action asks for it, so a run that is only a step of another leaves no
-    files behind.
+    """Rows of one run, under an id, with the path they are meant for. What a run lists is settled
+    when it is made; its rows are read when an action asks for them, and nothing is
+    written to the path before `write`.
 
-    `rows` carry `stage` and `reason`: null for a usable row. A row is either among the records
-    or in quarantine, never both.
+    `rows` carry `stage` and `reason`: null for a usable row, and `raw`, the answer of one that is not. A row
+    is either among the records or in quarantine, never both.
     """
 
     rows: DataFrame
     path: str
-    raw: str = "jd"
     run_id: str = field(default_factory=lambda: str(uuid.uuid4()))
 
     def settled(self) -> RunResult:
@@ -47,7 +46,7 @@ class RunResult:
         return records.digest(ordered, with_score)
 
     def quarantine(self) -> DataFrame:
-        return records.split_quarantine(self.rows, self.raw)[1]
+        return records.split_quarantine(self.rows, "raw")[1]
 
     def write(self, folder: str, as_digest: bool = False) -> str:
         """Append the run's records to its file below `folder`, or write its digest there, and its

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from .. import dims
 from ..operators import scoring
+from ..operators.vector_store import Encoder
 from ..sinks import names
 from ..sources.pages import posting_texts
 from . import steps
@@ -28,16 +29,20 @@ def search(
     profile: DataFrame | None = None,
     scores: DataFrame | None = None,
     answer: Callable | None = None,
+    encoder: Encoder | None = None,
 ) -> RunResult:
-    """The first pages of a search, as records. Repeats and unsuitable postings stay in."""
+    """The first pages of a search, as records. Repeats and unsuitable postings stay in.
+
+    Scores are looked up in `scores`, or come from an `encoder` (only listed pages are encoded), or from the text.
+    """
+    if scores is not None and encoder is not None:
+        raise ValueError("give scores or an encoder, not both")
     found = steps.keyword_pages(pages, query, scores)
     picked = steps.listed_sightings(
         sightings, found, [(timeline, page_count)], location, easy_apply, as_of
     )
-    rows = steps.described(picked, pages, page_count * dims.PAGE_SIZE, profile, answer)
-    return RunResult(
-        rows, names.search_name(query, location, timeline, easy_apply, suffix), steps.raw_column(rows)
-    )
+    rows = steps.described(picked, pages, page_count * dims.PAGE_SIZE, sightings, profile, answer, encoder)
+    return RunResult(rows, names.search_name(query, location, timeline, easy_apply, suffix))
 
 
 def recommended(
@@ -48,12 +53,14 @@ def recommended(
     page_count: int = 1,
     day: date | None = None,
     answer: Callable | None = None,
+    encoder: Encoder | None = None,
 ) -> RunResult:
     """The postings that match the profile best, as records.
 
-    With stored `scores` only ids, links and scores take part in the ranking; otherwise every
+    With stored `scores` or an `encoder` only ids, links and scores take part in the ranking; otherwise every
     posting's text is scored against `profile` in one pass without a shuffle.
     """
+    scores = steps.scores_of(pages, profile, scores, encoder)
     if scores is not None:
         scored = steps.scored_by_table(pages, scores)
     else:
@@ -62,5 +69,5 @@ def recommended(
     bound = page_count * dims.PAGE_SIZE
     if sightings is not None and "response" in sightings.columns:
         picked = steps.newest_sightings(sightings, picked, bound)
-    rows = steps.described(picked, pages, bound, profile, answer)
-    return RunResult(rows, names.recommended_name(day or date.today()), steps.raw_column(rows))
+    rows = steps.described(picked, pages, bound, sightings, profile, answer)
+    return RunResult(rows, names.recommended_name(day or date.today()))

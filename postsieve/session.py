@@ -23,6 +23,8 @@ def build_session(app_name: str = "postsieve", master: str | None = None, **conf
         # links seen by the stream are kept on disk, not on the heap
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        # a pushed list of ids (see sources.fetch) is compared with row groups id by id, not by its bounds
+        "spark.sql.parquet.pushdown.inFilterThreshold": "2000",
         # postings are wide rows: keep Arrow batches for the two Python hooks small
         "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     }

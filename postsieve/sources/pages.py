@@ -24,8 +24,8 @@ def scan_postings(pages: DataFrame) -> DataFrame:
 
 
 def posting_headings(pages: DataFrame) -> DataFrame:
-    """Postings with cleaned link and title; the body is not looked at."""
-    return pages.select("page_id", *_heading())
+    """Postings with cleaned link and title; the body is not looked at. Columns beyond the three raw ones are kept."""
+    return pages.select("page_id", *_heading(), *_extra(pages))
 
 
 def posting_texts(pages: DataFrame) -> DataFrame:
@@ -34,10 +34,13 @@ def posting_texts(pages: DataFrame) -> DataFrame:
     Columns of `pages` beyond the three raw ones are kept. The text is computed once per page
     whatever filters follow; the title, a few words, is left for the optimizer to prune or move.
     """
-    extra = [column for column in pages.columns if column not in ("page_id", "url", "html")]
     link, title = _heading()
     jd = text.html_to_text(text.article_html(F.col("html")))
-    return computed_once(pages, {"jd": jd}).select("page_id", link, title, "jd", *extra)
+    return computed_once(pages, {"jd": jd}).select("page_id", link, title, "jd", *_extra(pages))
+
+
+def _extra(pages: DataFrame) -> list[str]:
+    return [column for column in pages.columns if column not in ("page_id", "url", "html")]
 
 
 def _heading() -> list[Column]:

@@ -13,6 +13,7 @@ from postsieve.functions import extract, predicates, text
 from postsieve.functions.response import strip_fence
 from postsieve.operators import hooks, lookups, ordering, records, scans, scoring
 from postsieve.operators.filters import keyword_filter
+from postsieve.operators.vector_store import Encoder, encoded_scores
 from postsieve.plans.daily import daily
 from postsieve.plans.merge import merge
 from postsieve.plans.search import recommended, search
@@ -394,6 +395,45 @@ def q_daily_digest_text(spark, sf):
     return run.digest(with_score=True).withColumn("match_score", _score())
 
 
+def _encoder(spark) -> Encoder:
+    """A toy encoder (length and letter counts) with a store of its own."""
+    return Encoder(_letter_counts, scratch_path(spark, "vectors"), "letters")
+
+
+def q_match_score_encoded(spark, sf):
+    """All pages scored by encoder twice; the second time from the stored vectors alone."""
+    pages, encoder = fx.postings_html(spark, sf), _encoder(spark)
+    encoded_scores(pages, fx.profile_text(spark), encoder)
+    again = Encoder(_no_encoding, encoder.store, encoder.name)
+    return encoded_scores(pages, fx.profile_text(spark), again).select("page_id", _score())
+
+
+def q_search_encoded(spark, sf):
+    """Rules for the fields, an encoder for the score of the listed pages."""
+    run = search(
+        fx.postings_html(spark, sf), fx.sightings(spark, sf), fx.as_of(spark, sf),
+        query="experience", location="USA", timeline="1M", easy_apply=True, page_count=2,
+        profile=fx.profile_text(spark), encoder=_encoder(spark),
+    )
+    return run.records().withColumn("match_score", _score())
+
+
+def q_recommended_encoded(spark, sf):
+    run = recommended(fx.postings_html(spark, sf), profile=fx.profile_text(spark), encoder=_encoder(spark))
+    return run.records().withColumn("match_score", _score())
+
+
+def q_daily_digest_encoded(spark, sf):
+    """Fields from answers, scores from an encoder whose vectors an earlier run has stored."""
+    pages, encoder = fx.postings_html(spark, sf), _encoder(spark)
+    encoded_scores(pages, fx.profile_text(spark), encoder)
+    run = daily(
+        pages, fx.answered(fx.sightings(spark, sf)), fx.as_of(spark, sf), query="experience", location="USA", yoe=2,
+        profile=fx.profile_text(spark), encoder=Encoder(_no_encoding, encoder.store, encoder.name),
+    )
+    return run.digest(with_score=True).withColumn("match_score", _score())
+
+
 # --- hooks and stream --------------------------------------------------------------------------
 
 def q_model_hook(spark, sf):
@@ -415,17 +455,22 @@ def q_model_hook(spark, sf):
     return records.parse_responses(asked).select("page_id", "company", "min_exp", "reason")
 
 
-def q_encode_hook(spark, sf):
-    """A toy encoder: length and letter counts."""
-    def make_predict():
-        import numpy as np
+def _letter_counts():
+    import numpy as np
+
+    def predict(texts):
+        return np.array([[len(t), t.count("a"), t.count("e")] for t in texts], dtype="float32")
+
+    return predict
 
-        def predict(texts):
-            return np.array([[len(t), t.count("a"), t.count("e")] for t in texts], dtype="float32")
 
-        return predict
+def _no_encoding():
+    raise RuntimeError("nothing is left to encode")
 
-    encode = hooks.encoder(make_predict)
+
+def q_encode_hook(spark, sf):
+    """A toy encoder: length and letter counts."""
+    encode = hooks.encoder(_letter_counts)
     encoded = _texts(spark, sf).select("page_id", encode(F.col("jd")).alias("vector"))
     return encoded.select("page_id", *(F.get("vector", F.lit(i)).cast("bigint").alias(f"v{i}") for i in range(3)))
 

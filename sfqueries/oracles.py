@@ -152,6 +152,14 @@ text_scores AS (
            / (sqrt(sum(f.n * f.n)) * (SELECT sqrt(sum(n * n)) FROM profile)) AS match_score
     FROM freq f LEFT JOIN profile q ON q.word = f.word GROUP BY f.page_id) s ON s.page_id = p.page_id)"""
 
+_LETTERS = """[CAST(length({text}) AS DOUBLE), length({text}) - length(replace({text}, 'a', '')),
+  length({text}) - length(replace({text}, 'e', ''))]"""
+
+_ENCODED_SCORES = f"""
+encoded_scores AS (
+  SELECT page_id, round(100 * list_cosine_similarity({_LETTERS.format(text='jd')}, p.vector), 4) AS match_score
+  FROM postings, (SELECT {_LETTERS.format(text="'" + fx.PROFILE_TEXT + "'")} AS vector) p)"""
+
 _GEO = f"""
 geo_alias(alias, geo_id) AS (VALUES {', '.join(f"('{a}', '{g}')" for a, g in _PLACES)}),
 located AS (
@@ -367,4 +375,11 @@ def oracle_sql() -> dict[str, str]:
             CASE WHEN parse_reason IS NULL THEN 'suitability' ELSE 'parse' END AS stage, reason, response AS raw
             FROM checked JOIN pages USING (page_id) WHERE reason IS NOT NULL""",
     }
+    # the same commands with the scores of an encoder in place of those of the text or the stored ones
+    for name, like in (("search_encoded", "search"), ("recommended_encoded", "recommended_text")):
+        sql[name] = sql[like].replace(_TEXT_SCORES, _ENCODED_SCORES).replace("text_scores", "encoded_scores")
+    sql["daily_digest_encoded"] = (
+        sql["daily_digest"].replace(_SCORES, _ENCODED_SCORES).replace("JOIN scores", "JOIN encoded_scores")
+    )
+    sql["match_score_encoded"] = f"WITH {_POSTINGS}, {_ENCODED_SCORES} SELECT page_id, match_score FROM encoded_scores"
     return sql

@@ -7,10 +7,12 @@ from datetime import date, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from postsieve import dims, schemas, scratch_path
+from postsieve import dims, schemas, scratch_path, session
+from postsieve.plans import steps
 from postsieve.plans.daily import daily
 from postsieve.plans.search import recommended, search
 from postsieve.sinks import files
+from postsieve.sources import fetch
 from postsieve.sources.raw_csv import read_digest
 
 NOW = datetime(2024, 1, 31)
@@ -182,16 +184,91 @@ def test_model_answers_in_a_search(spark):
     assert run.quarantine().count() == len(picked) - len(python)
 
 
-def test_wide_text_is_fetched_for_listed_rows_only(spark, capsys):
+def _formatted(df, capsys):
+    """Operators of a plan: name -> the lines said of each."""
+    df.explain("formatted")
+    parts = capsys.readouterr().out.split("\n\n")
+    return [part.strip() for part in parts if part.strip().startswith("(")]
+
+
+@pytest.fixture
+def settled_plans(monkeypatch, capsys):
+    """Plans of all intermediates the commands settle."""
+    plans = []
+
+    def spied(df, name):
+        plans.extend(_formatted(df, capsys))
+        return session.settled_table(df, name)
+
+    monkeypatch.setattr(steps, "settled_table", spied)
+    return plans
+
+
+def test_wide_text_is_fetched_for_listed_rows_only(spark, capsys, settled_plans):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     _, sightings, _ = frames(spark, *make())
     scores = pages.select("page_id", F.lit(1.0).alias("match_score"))
-    recommended(pages, scores=scores).records().explain()
-    plan = capsys.readouterr().out
-    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan
-    # html is read by the last join alone; the ranking reads ids and links
-    assert plan.count("html:string") == 1 and "ReadSchema: struct<page_id:bigint,url:string>" in plan
-    search(pages, sightings, NOW, "", scores=scores).records().explain()
-    plan = capsys.readouterr().out
-    assert plan.count("html:string") == 1
-    assert "WindowGroupLimit [page_id" in plan
+    final = _formatted(recommended(pages, scores=scores).records(), capsys)
+    # the ranking reads ids and links; html is read once, through a filter by ids that reaches the file
+    assert any("TakeOrderedAndProject" in part for part in settled_plans)
+    assert not any("html" in part for part in settled_plans)
+    wide = [part for part in final if "ReadSchema" in part and "html:string" in part]
+    assert len(wide) == 1 and "PushedFilters: [In(page_id, [" in wide[0]
+    settled_plans.clear()
+    final = _formatted(search(pages, sightings, NOW, "", scores=scores).records(), capsys)
+    assert any("WindowGroupLimit" in part and "page_id" in part for part in settled_plans)
+    wide = [part for part in final if "ReadSchema" in part and "html:string" in part]
+    assert len(wide) == 1 and "PushedFilters: [In(page_id, [" in wide[0]
+
+
+def test_answers_are_read_where_they_lie(spark, capsys, settled_plans):
+    """No answer is in an exchange, a sort or a top-k: they are read by id and parsed at once."""
+    data = make(seed=8)
+    pages, sightings, scores = frames(spark, *data)
+    path = scratch_path(spark, "sightings")
+    sightings.write.parquet(path)
+    sightings = spark.read.parquet(path)
+    run = daily(pages, sightings, NOW, "engineer", "USA", yoe=2, scores=scores)
+    final = _formatted(run.rows, capsys)
+    moved = [part for part in settled_plans + final if any(
+        name in part.split("\n")[0] for name in ("Exchange", "TakeOrdered", "Window", "Sort"))]
+    assert moved and not any("response" in part for part in moved)
+    assert not any("response" in part for part in settled_plans)
+    read = [part for part in final if "ReadSchema" in part and "response:string" in part]
+    assert read and all("PushedFilters: [In(event_id, [" in part for part in read)
+    # and what the quarantine needs of them is there
+    rejected = run.quarantine().collect()
+    assert rejected and all(r["raw"] and ("{oops" in r["raw"] or "min_exp" in r["raw"]) for r in rejected)
+
+
+def test_some_rows_without_an_answer(spark):
+    """Rows whose sighting came without an answer get their fields by rule, the others from it."""
+    data = make(seed=9)
+    pages, sightings, scores = frames(spark, *data)
+    some = sightings.withColumn("response", F.when(F.col("event_id") % 2 == 0, F.col("response")))
+    rows = search(pages, some, NOW, "", "USA", "1M", page_count=2, scores=scores).rows.collect()
+    assert {r["event_id"] % 2 for r in rows} == {0, 1}
+    answers = {s[0]: s[6] for s in data[1]}
+    for r in rows:
+        if r["event_id"] % 2:
+            ruled = {"Spark": "Big Data"}.get(data[0][r["page_id"]][3], data[0][r["page_id"]][3])
+            assert (r["reason"], r["overall"], r["min_exp"]) == (None, ruled, "N/A")
+        elif answers[r["event_id"]] is None:
+            assert r["reason"] == "bad_json" and r["raw"] == "{oops"
+        else:
+            assert (r["reason"], r["overall"]) == (None, "Java")
+
+
+def test_more_pages_than_a_filter_lists(spark, monkeypatch):
+    """The same run with ids as a filter and with a join on them."""
+    data = make(seed=10)
+    pages, sightings, scores = frames(spark, *data)
+
+    def links():
+        run = search(pages, sightings, NOW, "", "USA", "1M", page_count=3, scores=scores)
+        return sorted((r["link"], r["match_score"], r["min_exp"] or "") for r in run.records().collect())
+
+    listed_ids = links()
+    monkeypatch.setattr(steps, "LISTED_IDS", 10)
+    monkeypatch.setattr(steps, "by_ids", lambda table, ids, key: fetch.by_ids(table, ids, key, listed=10))
+    assert links() == listed_ids and listed_ids
