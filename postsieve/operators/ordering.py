@@ -15,6 +15,11 @@ from .. import dims
 from ..session import settled_table
 
 _FEW_SCANS = 1_000
+#: Rows of a list that are taken by a top-k and numbered in one task; longer lists go by range.
+FEW_ROWS = 1_000
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
+# ranks of a quantile are off by one in so many
+_ACCURACY = 10_000
 _ROW_BITS = 33  # monotonically_increasing_id = (partition << 33) + row within partition
 
 
@@ -29,8 +34,12 @@ def first_seen(
 
     Spark turns `row_number() <= n` into a group limit on both sides of the shuffle: each map
     task sends at most `copies` rows per key, so a key that holds a third of all rows costs no
-    more than any other. Filter before calling: a dropped first copy must not hide a later one.
+    more than any other. Spark does so up to a number of copies that the session sets; it is raised here
+    where more are asked for. Filter before calling: a dropped first copy must not hide a later one.
     """
+    session = df.sparkSession.conf
+    if copies >= int(session.get(_GROUP_LIMIT, "1000")):
+        session.set(_GROUP_LIMIT, str(copies + 1))
     order = list(order) or [F.col("scan_rank"), *newest_first()]
     rank = F.row_number().over(W.partitionBy(key).orderBy(*order))
     return df.withColumn("_rank", rank).filter(F.col("_rank") <= copies).drop("_rank")
@@ -63,6 +72,46 @@ def number_listed(df: DataFrame, order: Sequence[Column | str], page_size: int =
     return _as_pages(listed, page_size)
 
 
+def listed_pages(
+    df: DataFrame,
+    order: Sequence[Column | str],
+    key: Column,
+    page_count: int,
+    page_size: int = dims.PAGE_SIZE,
+) -> DataFrame:
+    """The first pages of a scan, with `page` and `position`, whatever their number.
+
+    `key` is what `order` starts with, in descending order, nulls last. Short lists are a top-k that one task numbers. For
+    longer ones that task would get a full list from every other, so rows are first thinned to
+    those at or above a quantile of the key, then numbered by range.
+    """
+    rows = page_count * page_size
+    if rows <= FEW_ROWS:
+        return number_listed(page_limit(df, order, page_count, page_size), order, page_size)
+    kept = settled_table(df, "list_rows")
+    return number_pages(_above_quantile(kept, key, rows), order, page_size=page_size).filter(F.col("page") < page_count)
+
+
+def _above_quantile(df: DataFrame, key: Column, rows: int) -> DataFrame:
+    """The rows of at least the first `rows` keys in descending order, and not many more unless keys are equal.
+
+    A quantile is known to within its accuracy, so it is asked for with room to spare, and again among
+    what is left. Every round is one aggregate over the key, by a filter on it.
+    """
+    left, keyed = df, df.agg(F.count(key)).first()[0]
+    kind = df.select(key).schema[0].dataType
+    while keyed > 4 * rows:
+        share = min(1.0, (rows + 2 * keyed / _ACCURACY + 1) / keyed)
+        # by way of text, so that no Python time zone gets between
+        bound = left.select(F.percentile_approx(key, 1 - share, _ACCURACY).cast("string")).first()[0]
+        inside = left.filter(key >= F.lit(bound).cast(kind))
+        count = inside.count()
+        if count < rows or count > 0.9 * keyed:
+            break
+        left, keyed = inside, count
+    return left
+
+
 def number_pages(
     df: DataFrame,
     order: Sequence[Column | str],

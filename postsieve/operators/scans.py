@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions.predicates import window_end, window_start
-from .ordering import newest_first, number_listed, page_limit
+from .ordering import listed_pages, newest_first
 
 Scans = Sequence[tuple[str, int]]
 
@@ -35,8 +35,8 @@ def top_scans(
     """
     inside = within_widest(sightings, scans, as_of)
     order = newest_first()
-    top = page_limit(inside, order, max(pages for _, pages in scans), page_size)
-    listed = _listed_by(number_listed(top, order, page_size), scans, as_of, row_limits=True)
+    top = listed_pages(inside, order, F.col("ts"), max(pages for _, pages in scans), page_size)
+    listed = _listed_by(top, scans, as_of, row_limits=True)
     return listed.withColumn("scan_rank", F.col("scan_rank") + first_rank)
 
 

@@ -67,9 +67,10 @@ def listed_sightings(
 
 def best_pages(scored: DataFrame, page_count: int = 1, scan_rank: int = 0) -> DataFrame:
     """The best matches among (page_id, link, match_score), numbered like a scan."""
-    order = [F.round("match_score", SCORE_DIGITS).desc_nulls_last(), F.col("link"), F.col("page_id")]
-    top = ordering.page_limit(scored.select("page_id", "link", "match_score"), order, page_count)
-    return ordering.number_listed(top, order).drop("link").withColumns(
+    key = F.round("match_score", SCORE_DIGITS)
+    order = [key.desc_nulls_last(), F.col("link"), F.col("page_id")]
+    top = ordering.listed_pages(scored.select("page_id", "link", "match_score"), order, key, page_count)
+    return top.drop("link").withColumns(
         {"scan_rank": F.lit(scan_rank), "scan": F.lit(dims.RECOMMENDED)}
     )
 

@@ -272,3 +272,18 @@ def test_more_pages_than_a_filter_lists(spark, monkeypatch):
     monkeypatch.setattr(steps, "LISTED_IDS", 10)
     monkeypatch.setattr(steps, "by_ids", lambda table, ids, key: fetch.by_ids(table, ids, key, listed=10))
     assert links() == listed_ids and listed_ids
+
+
+def test_fifty_pages(spark, settled_plans):
+    """A long search against a loop: no task gets every other task's list, and hot pages are thinned all the same."""
+    data = make(seed=11, n_sightings=8_000, hot=0.6)
+    pages, sightings, scores = frames(spark, *data)
+    run = search(pages, sightings.drop("response"), NOW, "", "USA", "1M", page_count=50, scores=scores)
+    got = [(r["page"], r["position"], r["event_id"]) for r in run.rows.collect()]
+    picked = listed(data[0], data[1], "", "USA", "1M", False, 50)
+    assert len(picked) == 1250
+    assert sorted(got) == [(i // 25, i % 25, s[0]) for i, s in enumerate(picked)]
+    assert not any("TakeOrdered" in part for part in settled_plans)
+    # what comes together are counts, one per range
+    together = [part for part in settled_plans if "SinglePartition" in part]
+    assert all("_part#" in part and "event_id" not in part for part in together)

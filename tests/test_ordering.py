@@ -128,3 +128,40 @@ def test_new_since(spark):
     assert sorted(r["event_id"] for r in lookups.new_since(now, before).collect()) == [1, 4]
     none_before = spark.createDataFrame([], "link string")
     assert lookups.new_since(now, none_before).count() == 4
+
+
+@pytest.mark.parametrize("page_count,ties", [(3, False), (41, False), (50, False), (50, True), (400, False)])
+def test_listed_pages_against_brute_force(spark, page_count, ties):
+    rows = make_events(9_000)
+    if ties:
+        # two thirds of all rows at one time, none at another
+        rows = [(i, NOW if i % 3 else None if i % 5 == 0 else ts, link) for i, ts, link in rows]
+    df = frame(spark, rows)
+    order = [F.col("ts").desc_nulls_last(), F.col("event_id")]
+    got = ordering.listed_pages(df, order, F.col("ts"), page_count).collect()
+    first = sorted(rows, key=lambda r: (r[1] is None, -(r[1].timestamp() if r[1] else 0), r[0]))[: page_count * 25]
+    assert sorted((r["page"], r["position"], r["event_id"]) for r in got) == [(i // 25, i % 25, r[0]) for i, r in enumerate(first)]
+
+
+def test_a_quantile_thins_long_lists(spark):
+    df = frame(spark, make_events(9_000))
+    left = ordering._above_quantile(df, F.col("ts"), 300)
+    assert 300 <= left.count() <= 1_200
+    assert left.agg(F.min("ts")).first()[0] >= df.orderBy(F.col("ts").desc()).limit(1_300).agg(F.min("ts")).first()[0]
+    scores = spark.range(9_000).select((F.col("id") / 7.0).alias("match_score"))
+    assert 300 <= ordering._above_quantile(scores, F.round("match_score", 2), 300).count() <= 1_200
+    equal = spark.range(9_000).select(F.lit(1.5).alias("x"))
+    assert ordering._above_quantile(equal, F.col("x"), 300).count() == 9_000
+    nothing = equal.filter("x > 2")
+    assert ordering._above_quantile(nothing, F.col("x"), 300).count() == 0
+
+
+def test_many_copies_are_thinned_before_the_shuffle(spark, capsys):
+    key = "spark.sql.optimizer.windowGroupLimitThreshold"
+    before = spark.conf.get(key)
+    try:
+        ordering.first_seen(frame(spark, make_events(50)), "link", ordering.newest_first(), copies=1_250).explain()
+        plan = capsys.readouterr().out
+        assert "WindowGroupLimit" in plan and plan.index("Final") < plan.index("Exchange hashpartitioning(link") < plan.index("Partial")
+    finally:
+        spark.conf.set(key, before)

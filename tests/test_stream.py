@@ -68,3 +68,34 @@ def test_a_repeated_batch_adds_nothing_twice(spark, pages, rows):
     links = [r["link"] for r in spark.read.parquet(out).collect()]
     assert len(links) == len(set(links))
     assert spark.read.json(bad).count() == 3
+
+
+def test_batches_do_not_read_the_digest(spark, pages, rows):
+    """Each batch's rows are looked up in the state; a digest that can't even be read is not missed."""
+    source, out, bad, state = (scratch_path(spark, name) for name in ("sightings", "digest", "quarantine", "state"))
+    for number, part in enumerate((rows[:300], rows[300:600], rows[600:])):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        read = spark.readStream.schema(SCHEMA).parquet(source)
+        stream.append_digest(read, pages, out, bad, state).awaitTermination()
+        if number == 0:
+            # earlier parts of the digest are replaced by something unreadable
+            spark.createDataFrame([("x",)], "value string").write.text(f"{out}/batch_id=spoiled")
+    text = [r["value"] for r in spark.read.text(f"{out}/batch_id=spoiled").collect()]
+    assert text == ["x"]
+    kept = stream.suitable_rows(spark.createDataFrame(rows, SCHEMA)).join(pages, "page_id")
+    want = sorted({r["link"] for r in kept.collect()})
+    parts = [r["link"] for r in spark.read.option("pathGlobFilter", "*.parquet").parquet(out).collect()]
+    assert sorted(parts) == want
+
+
+def test_a_digest_goes_on_without_its_checkpoint(spark, pages, rows):
+    """Links listed under an earlier checkpoint are not listed again, and none of its rows is lost."""
+    source, out, bad = (scratch_path(spark, name) for name in ("sightings", "digest", "quarantine"))
+    spark.createDataFrame(rows[:100], SCHEMA).write.parquet(source)
+    read = spark.readStream.schema(SCHEMA).parquet(source)
+    stream.append_digest(read, pages, out, bad, scratch_path(spark, "state")).awaitTermination()
+    before = {tuple(r) for r in spark.read.parquet(out).collect()}
+    spark.createDataFrame(rows[100:], SCHEMA).write.mode("append").parquet(source)
+    stream.append_digest(read, pages, out, bad, scratch_path(spark, "state")).awaitTermination()
+    after = spark.read.parquet(out).collect()
+    assert before < {tuple(r) for r in after} and len(after) == len({r["link"] for r in after})
