@@ -5,6 +5,7 @@ user's function has to be importable there."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
@@ -33,58 +34,130 @@ def prompt(jd: Column) -> Column:
     return F.concat(F.lit(contract), jd)
 
 
-def with_responses(
-    df: DataFrame,
-    answer: Callable[[list[str]], list[str | None]],
-    jd: str = "jd",
-    max_attempts: int = 3,
-    batch_size: int = 32,
-) -> DataFrame:
-    """Add `response` (and `response_error`) by calling `answer` on batches of prompts.
+@dataclass(frozen=True)
+class Model:
+    """A user's answering model (a list of prompts to a list of answers) and how it may be called.
 
-    A batch that raises is retried prompt by prompt, so one bad prompt costs nobody else an
-    answer; so are prompts whose answer holds no JSON object. Each prompt is sent at most
-    `max_attempts` times, then keeps its last answer and error. No row is lost. Calls are
-    repeated when a task is: write or checkpoint the result before using it twice.
+    A call that raises is taken for a limit or an outage: before the next one the worker waits `first_wait`
+    seconds, twice as long after each further failure up to `longest_wait`, less a random part;
+    a call that succeeds ends the row of failures. `calls_per_minute` bounds what one task calls in
+    any minute (so times the tasks that run at once); None sets no bound. All waits are bounded: a prompt is
+    sent `max_attempts` times at most. `clock`, for tests, has now(), sleep(seconds) and jitter(), the share of
+    a wait that is left out.
     """
-    given = df.columns
 
-    def answered(batches):
+    answer: Callable[[list[str]], list[str | None]]
+    max_attempts: int = 5
+    batch_size: int = 32
+    first_wait: float = 1.0
+    longest_wait: float = 60.0
+    calls_per_minute: int | None = None
+    clock: object | None = None
+
+
+def asker(model: Model) -> Callable[[list[str]], list[tuple[str | None, str | None]]]:
+    """A function from prompts to (answer, error) pairs that keeps to the model's terms across its calls."""
+    # plain values: what is sent to executors names nothing of this module
+    answer, max_attempts = model.answer, model.max_attempts
+    first_wait, longest_wait, budget = model.first_wait, model.longest_wait, model.calls_per_minute
+    now, sleep, jitter = _times(model.clock)
+    recent: list[float] = []
+    failures = [0]
+
+    def is_object(text):
         import json
 
-        def is_object(text):
-            if text is None:
-                return False
-            try:
-                return isinstance(json.loads(text[text.index("{"): text.rindex("}") + 1]), dict)
-            except ValueError:
-                return False
-
-        def ask(prompts):
-            try:
-                answers = list(answer(prompts))
-            except Exception as error:  # the user's function may raise anything
-                return [None] * len(prompts), f"{type(error).__name__}: {error}"
-            if len(answers) != len(prompts):
-                return [None] * len(prompts), f"{len(answers)} answers to {len(prompts)} prompts"
-            return answers, None
-
-        def ask_again(text, first, error):
-            last = first
-            for _ in range(max_attempts - 1):
-                if is_object(last):
-                    return last, None
-                (last,), error = ask([text])
+        if text is None:
+            return False
+        try:
+            return isinstance(json.loads(text[text.index("{"): text.rindex("}") + 1]), dict)
+        except ValueError:
+            return False
+
+    def wait_for_turn():
+        if failures[0]:
+            wait = min(longest_wait, first_wait * 2 ** (failures[0] - 1))
+            if wait > 0:
+                sleep(wait * (1 - jitter()))
+        if budget is not None:
+            while recent and recent[0] <= now() - 60:
+                recent.pop(0)
+            if len(recent) >= budget:
+                sleep(max(0.0, recent[0] + 60 - now()))
+                recent.pop(0)
+            recent.append(now())
+
+    def ask(prompts):
+        wait_for_turn()
+        try:
+            answers = list(answer(prompts))
+        except Exception as error:  # the user's function may raise anything
+            failures[0] += 1
+            return [None] * len(prompts), f"{type(error).__name__}: {error}"
+        failures[0] = 0
+        if len(answers) != len(prompts):
+            return [None] * len(prompts), f"{len(answers)} answers to {len(prompts)} prompts"
+        return answers, None
+
+    def ask_again(text, first, error):
+        last = first
+        for _ in range(max_attempts - 1):
             if is_object(last):
                 return last, None
-            return last, error or "no JSON object in the answer"
+            (last,), error = ask([text])
+        if is_object(last):
+            return last, None
+        return last, error or "no JSON object in the answer"
+
+    def ask_all(prompts):
+        answers, error = ask(prompts)
+        return [ask_again(text, first, error) for text, first in zip(prompts, answers)]
+
+    return ask_all
+
+
+def _times(clock: object | None):
+    if clock is not None:
+        return clock.now, clock.sleep, clock.jitter
+
+    def now():
+        import time
+
+        return time.monotonic()
+
+    def sleep(seconds):
+        import time
+
+        time.sleep(seconds)
 
+    def jitter():
+        import random
+
+        return random.random() / 2
+
+    return now, sleep, jitter
+
+
+def with_responses(
+    df: DataFrame, answer: Callable[[list[str]], list[str | None]] | Model, jd: str = "jd", **terms
+) -> DataFrame:
+    """Add `response` (and `response_error`) by calling a model on batches of prompts.
+
+    `answer` is a `Model`, or the function of one with the given `terms` (max_attempts, first_wait ...). A batch that raises
+    is retried prompt by prompt, so one bad prompt costs nobody else an answer; so are
+    prompts whose answer holds no JSON object. A prompt that gets none keeps its last answer and error. No row is
+    lost. Calls are repeated when a task is: write or checkpoint the result before using it twice.
+    """
+    given = df.columns
+    model = answer if isinstance(answer, Model) else Model(answer, **terms)
+    # every task gets a copy of its own
+    batch_size, ask_all = model.batch_size, asker(model)
+
+    def answered(batches):
         for rows in batches:
             for start in range(0, len(rows), batch_size):
                 part = rows.iloc[start: start + batch_size]
-                prompts = part["_prompt"].tolist()
-                answers, error = ask(prompts)
-                done = [ask_again(text, first, error) for text, first in zip(prompts, answers)]
+                done = ask_all(part["_prompt"].tolist())
                 yield part.drop(columns="_prompt").assign(
                     response=[text for text, _ in done], response_error=[problem for _, problem in done]
                 )

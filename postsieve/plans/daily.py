@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions.predicates import matches_keywords, suitable
 from ..operators import records, scoring
+from ..operators.hooks import Model
 from ..operators.vector_store import Encoder
 from ..session import settled_table
 from ..sinks import names
@@ -33,7 +34,7 @@ def daily(
     scores: DataFrame | None = None,
     scan_list=dims.DAILY_SCANS,
     day: date | None = None,
-    answer: Callable | None = None,
+    answer: Callable | Model | None = None,
     encoder: Encoder | None = None,
 ) -> RunResult:
     """Four scans, suitability, first-seen links, arrival order.

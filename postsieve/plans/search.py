@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from .. import dims
 from ..operators import scoring
+from ..operators.hooks import Model
 from ..operators.vector_store import Encoder
 from ..sinks import names
 from ..sources.pages import posting_texts
@@ -28,7 +29,7 @@ def search(
     page_count: int = 1,
     profile: DataFrame | None = None,
     scores: DataFrame | None = None,
-    answer: Callable | None = None,
+    answer: Callable | Model | None = None,
     encoder: Encoder | None = None,
 ) -> RunResult:
     """The first pages of a search, as records. Repeats and unsuitable postings stay in.
@@ -52,7 +53,7 @@ def recommended(
     sightings: DataFrame | None = None,
     page_count: int = 1,
     day: date | None = None,
-    answer: Callable | None = None,
+    answer: Callable | Model | None = None,
     encoder: Encoder | None = None,
 ) -> RunResult:
     """The postings that match the profile best, as records.

@@ -121,7 +121,7 @@ def described(
     row_bound: int,
     sightings: DataFrame | None = None,
     profile: DataFrame | None = None,
-    answer: Callable[[list[str]], list[str | None]] | None = None,
+    answer: Callable[[list[str]], list[str | None]] | hooks.Model | None = None,
     encoder: Encoder | None = None,
 ) -> DataFrame:
     """Picked rows with fields, score, and `stage`/`reason`/`raw` where a row is unusable.
@@ -214,7 +214,7 @@ def _by_answer_or_rules(rows: DataFrame) -> DataFrame:
     return records.type_fields(ruled.withColumns(chosen))
 
 
-def _by_model(rows: DataFrame, answer: Callable) -> DataFrame:
+def _by_model(rows: DataFrame, answer: Callable | hooks.Model) -> DataFrame:
     """Fields of a model's answers; where it failed, that is the reason."""
     asked = hooks.with_responses(rows, answer)
     failed = F.col("response_error").isNotNull()

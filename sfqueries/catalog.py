@@ -451,7 +451,7 @@ def q_model_hook(spark, sf):
             )
         return answers
 
-    asked = hooks.with_responses(_texts(spark, sf).select("page_id", "link", "jd"), answer)
+    asked = hooks.with_responses(_texts(spark, sf).select("page_id", "link", "jd"), answer, max_attempts=3, first_wait=0)
     return records.parse_responses(asked).select("page_id", "company", "min_exp", "reason")
 
 

@@ -37,7 +37,7 @@ def test_one_bad_prompt_costs_nobody_else(spark):
             raise ValueError("thirteen")
         return ["{}"] * len(prompts)
 
-    asked = hooks.with_responses(frame(spark), answer, batch_size=10)
+    asked = hooks.with_responses(frame(spark), answer, batch_size=10, first_wait=0)
     failed = [(r["id"], r["response"], r["response_error"]) for r in asked.collect() if r["response_error"]]
     assert failed == [(13, None, "ValueError: thirteen")]
     assert [tuple(r) for r in hooks.model_failures(asked).collect()] == [("l13", "model", "model_failed", None)]
@@ -62,6 +62,82 @@ def test_wrong_number_of_answers_is_an_error(spark):
     assert len(rows) == 40 and all("answers to" in r["response_error"] for r in rows)
 
 
+class FakeClock:
+    """Time that passes by waiting alone; remembers the waits."""
+
+    def __init__(self, share=0.0):
+        self.time, self.waits, self.share = 1000.0, [], share
+
+    def now(self):
+        return self.time
+
+    def sleep(self, seconds):
+        self.waits.append(seconds)
+        self.time += seconds
+
+    def jitter(self):
+        return self.share
+
+
+def failing(first, log):
+    """A model whose first calls fail."""
+    def answer(prompts):
+        log.append(len(prompts))
+        if len(log) <= first:
+            raise RuntimeError("slow down")
+        return ["{}"] * len(prompts)
+
+    return answer
+
+
+def test_waits_double_while_calls_fail_and_start_anew_after_one_that_works():
+    log, clock = [], FakeClock()
+    ask = hooks.asker(hooks.Model(failing(4, log), clock=clock, max_attempts=5))
+    assert ask(["a", "b", "c"]) == [("{}", None)] * 3
+    # a failed batch, three failed single calls, then one call for each prompt
+    assert log == [3, 1, 1, 1, 1, 1, 1] and clock.waits == [1, 2, 4, 8]
+    assert ask(["d"]) == [("{}", None)] and clock.waits == [1, 2, 4, 8]
+    log, clock = [], FakeClock(share=0.25)
+    ask = hooks.asker(hooks.Model(failing(9, log), clock=clock, max_attempts=5, first_wait=10, longest_wait=30))
+    got = ask(["a", "b", "c"])
+    assert clock.waits == [7.5, 15, 22.5, 22.5, 22.5, 22.5, 22.5, 22.5, 22.5]
+    assert got == [(None, "RuntimeError: slow down"), (None, "RuntimeError: slow down"), ("{}", None)]
+
+
+def test_answers_without_an_object_are_no_reason_to_wait():
+    clock = FakeClock()
+    ask = hooks.asker(hooks.Model(lambda prompts: ["?"] * len(prompts), clock=clock, max_attempts=3))
+    assert ask(["a"]) == [("?", "no JSON object in the answer")] and clock.waits == []
+
+
+def test_calls_per_minute_are_bounded():
+    times, clock = [], FakeClock()
+
+    def answer(prompts):
+        times.append(clock.time)
+        clock.time += 1
+        return ["{}"] * len(prompts)
+
+    ask = hooks.asker(hooks.Model(answer, clock=clock, calls_per_minute=5))
+    for i in range(23):
+        ask([f"p{i}"])
+    assert len(times) == 23
+    assert all(sum(t <= u < t + 60 for u in times) <= 5 for t in times)
+    assert times[-1] - times[0] < 5 * 60 and len(clock.waits) == 4
+
+
+def test_a_model_that_fails_at_first_ends_with_all_answers(spark):
+    def answer(prompts, calls=[]):
+        calls.append(1)
+        if len(calls) <= 3:
+            raise RuntimeError("slow down")
+        return ["{}"] * len(prompts)
+
+    model = hooks.Model(answer, batch_size=4, first_wait=0.01, longest_wait=0.05)
+    rows = hooks.with_responses(frame(spark), model).collect()
+    assert len(rows) == 40 and all((r["response"], r["response_error"]) == ("{}", None) for r in rows)
+
+
 def test_encoder(spark):
     def make_predict():
         import numpy as np
