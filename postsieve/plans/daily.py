@@ -18,9 +18,10 @@ from ..session import settled_table
 from ..sinks import names
 from ..sources.pages import posting_texts
 from . import steps
-from .run import RunResult
+from .run import RunResult, in_own_folder
 
 
+@in_own_folder
 def daily(
     pages: DataFrame,
     sightings: DataFrame,

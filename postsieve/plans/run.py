@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import records
-from ..session import use_checkpoint_dir
+from ..session import open_folder, remove_folder, settled_table, settling_in
 from ..sinks import files, names
 
 
@@ -21,16 +23,34 @@ class RunResult:
 
     `rows` carry `stage` and `reason`: null for a usable row, and `raw`, the answer of one that is not. A row
     is either among the records or in quarantine, never both.
+
+    What a run has settled lies in a folder of its own. `close` removes it, after the last read; so does the end of a
+    `with` block over the run, whether it fails or not. What was written by `write` stays.
     """
 
     rows: DataFrame
     path: str
     run_id: str = field(default_factory=lambda: str(uuid.uuid4()))
+    folder: str | None = None
 
     def settled(self) -> RunResult:
-        """The same run with its rows checkpointed, for callers that use them more than once."""
-        use_checkpoint_dir(self.rows.sparkSession)
-        return replace(self, rows=self.rows.checkpoint())
+        """The same run with its rows written to its folder, for callers that use them more than once."""
+        spark = self.rows.sparkSession
+        folder = self.folder or open_folder(spark)
+        with settling_in(spark, folder):
+            rows = settled_table(self.rows, "run_rows")
+        return replace(self, rows=rows, folder=folder)
+
+    def close(self) -> None:
+        """Remove what the run has settled; its rows can't be read any more."""
+        if self.folder is not None:
+            remove_folder(self.rows.sparkSession, self.folder)
+
+    def __enter__(self) -> RunResult:
+        return self
+
+    def __exit__(self, *problem) -> None:
+        self.close()
 
     def usable(self) -> DataFrame:
         return self.rows.filter(F.col("reason").isNull())
@@ -52,7 +72,7 @@ class RunResult:
         """Append the run's records to its file below `folder`, or write its digest there, and its
         rejected rows to the quarantine beside it; returns where the file is.
 
-        Both come from one checkpoint of the rows, so they are of one computation.
+        Both come from the same settled rows, so they are of one computation.
         """
         kept, target = self.settled(), names.below(folder, self.path.rsplit("/", 1)[-1])
         if as_digest:
@@ -64,3 +84,16 @@ class RunResult:
 
     def tagged(self) -> DataFrame:
         return self.rows.withColumn("run_id", F.lit(self.run_id))
+
+
+def in_own_folder(command: Callable[..., RunResult]) -> Callable[..., RunResult]:
+    """A command whose run settles all it does in a folder of its own, which is removed if the command fails."""
+
+    @wraps(command)
+    def run(pages: DataFrame, *given, **named) -> RunResult:
+        spark = pages.sparkSession
+        folder = open_folder(spark)
+        with settling_in(spark, folder):
+            return replace(command(pages, *given, **named), folder=folder)
+
+    return run

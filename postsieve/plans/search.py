@@ -14,9 +14,10 @@ from ..operators.vector_store import Encoder
 from ..sinks import names
 from ..sources.pages import posting_texts
 from . import steps
-from .run import RunResult
+from .run import RunResult, in_own_folder
 
 
+@in_own_folder
 def search(
     pages: DataFrame,
     sightings: DataFrame,
@@ -46,6 +47,7 @@ def search(
     return RunResult(rows, names.search_name(query, location, timeline, easy_apply, suffix))
 
 
+@in_own_folder
 def recommended(
     pages: DataFrame,
     profile: DataFrame | None = None,

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,9 +58,87 @@ def use_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+_FOLDER: ContextVar[str | None] = ContextVar("postsieve_run_folder", default=None)
+_OWNER = "_owner"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a written intermediate, below the shared checkpoint folder."""
-    return f"{use_checkpoint_dir(spark).rstrip('/')}/postsieve/{uuid.uuid4()}/{name}"
+    """A fresh path for a written intermediate: in the folder of the run that is being made, else in the application's.
+
+    All lie below the shared checkpoint folder.
+    """
+    folder = _FOLDER.get() or f"{_scratch_root(spark)}/{spark.sparkContext.applicationId}"
+    return f"{folder}/{uuid.uuid4()}/{name}"
+
+
+def open_folder(spark: SparkSession) -> str:
+    """A folder for what one run settles, with the application that owns it written beside."""
+    folder = f"{_scratch_root(spark)}/run-{uuid.uuid4()}"
+    fs, path = _file_system(spark, f"{folder}/{_OWNER}")
+    out = fs.create(path)
+    out.writeUTF(spark.sparkContext.applicationId)
+    out.close()
+    return folder
+
+
+@contextmanager
+def settling_in(spark: SparkSession, folder: str):
+    """Intermediates settled inside go to `folder`; if that fails, it is removed with all it holds."""
+    token = _FOLDER.set(folder)
+    try:
+        yield
+    except BaseException:
+        remove_folder(spark, folder)
+        raise
+    finally:
+        _FOLDER.reset(token)
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that `open_folder` made; a second call finds nothing."""
+    if not folder.startswith(f"{_scratch_root(spark)}/"):
+        raise ValueError(f"{folder} is no folder of a run")
+    fs, path = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def remove_scratch(spark: SparkSession, abandoned_for: timedelta | None = None) -> list[str]:
+    """Remove what this application has settled outside of runs; call it after the last read.
+
+    With `abandoned_for`, also folders of runs that other applications made so long ago and never closed.
+    Returns what was removed.
+    """
+    root, own = _scratch_root(spark), spark.sparkContext.applicationId
+    fs, path = _file_system(spark, root)
+    removed = []
+    for entry in fs.listStatus(path) if fs.exists(path) else ():
+        at = entry.getPath()
+        old = abandoned_for is not None and entry.getModificationTime() < (datetime.now() - abandoned_for).timestamp() * 1000
+        if at.getName() == own or old and not _owned_by(fs, at, own):
+            fs.delete(at, True)
+            removed.append(at.getName())
+    return removed
+
+
+def _owned_by(fs, folder, application: str) -> bool:
+    owner = folder.suffix(f"/{_OWNER}")
+    if not fs.exists(owner):
+        return False
+    text = fs.open(owner)
+    try:
+        return text.readUTF() == application
+    finally:
+        text.close()
+
+
+def _scratch_root(spark: SparkSession) -> str:
+    return f"{use_checkpoint_dir(spark).rstrip('/')}/postsieve"
+
+
+def _file_system(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    hadoop_path = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(sc._jsc.hadoopConfiguration()), hadoop_path
 
 
 def settled_table(df: DataFrame, name: str) -> DataFrame:
