@@ -12,32 +12,39 @@ def vector_score(vector: Column, profile: Column) -> Column:
     return F.try_divide(dot * 100.0, _length(vector) * _length(profile))
 
 
-def weighted_hits(tokens: Column, weights: Column) -> Column:
-    """Dot product of a token array with a map of term frequencies.
+def term_counts(ordered: Column) -> Column:
+    """Entries (word, n) of a sorted token array, by word.
 
-    The shared words are found by hashing; only these are counted and looked up.
+    Equal words stand together, so the places where the word changes give the run lengths.
+    `ordered` is read several times and must be a column of its own.
     """
-    shared = F.array_intersect(tokens, F.map_keys(weights))
-    counts = F.transform(
-        shared,
-        lambda word: F.size(F.filter(tokens, lambda other: other == word)).cast("double")
-        * F.try_element_at(weights, word),
+    starts = F.transform(ordered, lambda word, i: F.when(~word.eqNullSafe(F.get(ordered, i - 1)), i))
+    ends = F.transform(ordered, lambda word, i: F.when(~word.eqNullSafe(F.get(ordered, i + 1)), i + 1))
+    counts = F.zip_with(F.array_compact(starts), F.array_compact(ends), lambda start, end: (end - start).cast("double"))
+    return F.zip_with(
+        F.array_distinct(ordered), counts, lambda word, n: F.struct(word.alias("word"), n.alias("n"))
     )
-    return _total(counts)
 
 
-def squared_counts(ordered: Column) -> Column:
-    """Sum of squared term frequencies of a sorted token array.
+def squared_length(entries: Column) -> Column:
+    return F.aggregate(entries, F.lit(0.0), lambda total, entry: total + entry["n"] * entry["n"])
 
-    Equal words stand together, so the places where the word changes give the run lengths.
-    `ordered` is read several times and must be a column of its own.
+
+def merged(entries: Column, others: Column) -> Column:
+    """Two arrays of entries in one order. Both are sorted, so the sort finds two runs and merges them in linear time."""
+    return F.sort_array(F.concat(entries, others))
+
+
+def merged_product(entries: Column) -> Column:
+    """Dot product of two arrays of entries that have been merged: a word that both hold stands there twice.
+
+    Linear in their lengths. `entries` is read several times and must be a column of its own.
     """
-    starts = F.transform(ordered, lambda word, i: F.when(~word.eqNullSafe(F.get(ordered, i - 1)), i))
-    ends = F.transform(ordered, lambda word, i: F.when(~word.eqNullSafe(F.get(ordered, i + 1)), i + 1))
-    squares = F.zip_with(
-        F.array_compact(starts), F.array_compact(ends), lambda start, end: ((end - start) * (end - start)).cast("double")
+    products = F.transform(
+        entries,
+        lambda entry, i: F.when(F.get(entries, i + 1)["word"] == entry["word"], entry["n"] * F.get(entries, i + 1)["n"]),
     )
-    return _total(squares)
+    return F.aggregate(products, F.lit(0.0), lambda total, product: total + F.coalesce(product, F.lit(0.0)))
 
 
 def _length(vector: Column) -> Column:

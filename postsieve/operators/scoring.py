@@ -24,29 +24,23 @@ def with_vector_score(df: DataFrame, profile: DataFrame, vector: str = "embeddin
 def with_text_score(df: DataFrame, profile: DataFrame, jd: str = "jd") -> DataFrame:
     """Add `match_score` from term frequencies. `profile` holds one row, one column: its text.
 
-    The profile enters as scalar subqueries (its terms with their counts, and its length), computed
+    The profile enters as a scalar subquery, its terms with their counts in order, computed
     once when the query runs, whatever its size; postings are scored row by row without a join
-    or shuffle. A posting is first reduced to the words it shares, so a large profile costs a hash
-    lookup per word. A posting or profile without words scores 0.
+    or shuffle. A posting's terms are counted the same way and merged with them, so a row's work is linear in
+    both however many words they share. A posting or profile without words scores 0.
     """
-    given = text.tokens(F.col(profile.columns[0]))
-    counted = F.transform(
-        F.array_distinct("_given"),
-        lambda term: F.struct(term, F.size(F.filter("_given", lambda word: word == term)).cast("double")),
-    )
-    terms = profile.select(F.coalesce(given, F.array().cast("array<string>")).alias("_given")).select(
-        F.map_from_entries(counted).alias("terms")
-    )
-    entries = terms.scalar()
-    squares = F.aggregate(F.map_values("terms"), F.lit(0.0), lambda total, n: total + n * n)
-    length = terms.select(F.sqrt(squares)).scalar()
-    # columns of their own, so that they are not built again inside the lambdas; order does not
-    # matter for the hits, so the words are sorted at once
-    dot = similarity.weighted_hits(F.col("_words"), F.col("_profile"))
-    norms = F.sqrt(similarity.squared_counts(F.col("_words"))) * length
+    given = F.sort_array(F.coalesce(text.tokens(F.col(profile.columns[0])), F.array().cast("array<string>")))
+    terms = profile.select(given.alias("_given")).select(similarity.term_counts(F.col("_given")).alias("terms"))
+    # columns of their own, so that they are not built again inside the lambdas
+    norms = F.sqrt(similarity.squared_length(F.col("_terms"))) * F.sqrt(similarity.squared_length(F.col("_profile")))
     return (
         df.withColumn("_words", F.sort_array(text.tokens(F.col(jd))))
-        .withColumn("_profile", entries)
-        .withColumn("match_score", F.coalesce(F.try_divide(dot * 100.0, norms), F.lit(0.0)))
-        .drop("_words", "_profile")
+        .withColumn("_terms", similarity.term_counts(F.col("_words")))
+        .withColumn("_profile", terms.scalar())
+        .withColumn("_merged", similarity.merged(F.col("_terms"), F.col("_profile")))
+        .withColumn(
+            "match_score",
+            F.coalesce(F.try_divide(similarity.merged_product(F.col("_merged")) * 100.0, norms), F.lit(0.0)),
+        )
+        .drop("_words", "_terms", "_profile", "_merged")
     )

@@ -351,11 +351,11 @@ def q_run_envelope(spark, sf):
 
 
 def q_read_profile(spark, sf):
-    """A page's text written as a file and read as the profile."""
+    """All pages scored against a profile that was written as a file and read back."""
     path = scratch_path(spark, "profile")
-    one = _texts(spark, sf).filter("page_id = 0").select(F.replace("jd", F.lit("\n"), F.lit(" ")).alias("value"))
-    one.coalesce(1).write.text(path)
-    return read_profile(spark, path).select(F.trim("profile", F.lit("\n")).alias("profile"))
+    fx.profile_text(spark).select(F.col("profile").alias("value")).coalesce(1).write.text(path)
+    profile = read_profile(spark, path)
+    return scoring.with_text_score(_texts(spark, sf), profile).select("page_id", _score())
 
 
 def q_search_answers(spark, sf):

@@ -314,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
             FROM picked JOIN ruled USING (page_id), today
             WHERE (min_exp = 'N/A' OR CAST(min_exp AS INTEGER) <= 2)
               AND NOT citizenship_required AND NOT security_clearance_required AND visa_sponsorship""",
-        "read_profile": f"WITH {_POSTINGS} SELECT replace(jd, chr(10), ' ') AS profile FROM postings WHERE page_id = 0",
+        "read_profile": f"WITH {_POSTINGS}, {_WORDS}, {_TEXT_SCORES} SELECT page_id, match_score FROM text_scores",
         "search_answers": f"""WITH {_PARSED}, {_HEADINGS}, {_SCORES}, {_GEO},
             top AS (
               SELECT c.* FROM checked c JOIN located USING (event_id), today

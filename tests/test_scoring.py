@@ -1,5 +1,7 @@
 import math
+import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -44,6 +46,19 @@ def test_a_large_profile_is_scored_by_the_same_plan(spark):
     assert got == {jd: pytest.approx(cosine(jd, profile), abs=1e-9) for _, jd in texts}
 
 
+def test_many_shared_words_in_a_long_text(spark):
+    """A text of 100,000 words that shares 5,000 terms with the profile: linear, not words times shared words."""
+    rng = random.Random(1)
+    profile = " ".join(f"t{rng.randrange(5000)}" for _ in range(20_000))
+    long = " ".join(f"t{rng.randrange(6000)}" for _ in range(100_000))
+    df = spark.createDataFrame([(i, long if i < 4 else "t1 t2 t1") for i in range(8)], "page_id int, jd string")
+    one = spark.createDataFrame([(profile,)], "profile string")
+    start = time.perf_counter()
+    got = {r["page_id"]: r["match_score"] for r in scoring.with_text_score(df, one).collect()}
+    assert time.perf_counter() - start < 20
+    assert got == {i: pytest.approx(cosine(long if i < 4 else "t1 t2 t1", profile), abs=1e-9) for i in range(8)}
+
+
 def test_text_score_moves_no_text(spark, capsys):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").withColumnRenamed("html", "jd")
     profile = spark.sql("SELECT 'some words' AS profile")
