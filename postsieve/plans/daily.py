@@ -37,13 +37,15 @@ def daily(
     day: date | None = None,
     answer: Callable | Model | None = None,
     encoder: Encoder | None = None,
+    term_index: str | None = None,
 ) -> RunResult:
     """Four scans, suitability, first-seen links, arrival order.
 
     The searches share one read of the sightings. Where scores come from the text, the keyword
     test and the score share one read of the pages, whose narrow outcome is written as a table
     because the best-match list and the searches both start from it. With an `encoder`, texts that
-    earlier runs have seen are not encoded again.
+    earlier runs have seen are not encoded again. With a `term_index` the searches open only files of pages that
+    may hold the query's terms, unless all texts are read for their scores anyway.
     """
     scores = steps.scores_of(pages, profile, scores, encoder)
     best_count = sum(count for scan, count in scan_list if scan == dims.RECOMMENDED)
@@ -51,7 +53,7 @@ def daily(
 
     if scores is not None:
         scored = steps.scored_by_table(pages, scores)
-        found = steps.keyword_pages(pages, query, scores)
+        found = steps.keyword_pages(pages, query, scores, term_index)
     else:
         scored = _one_text_pass(pages, query, profile)
         found = scored.filter("_found").select("page_id", "match_score")

@@ -32,14 +32,16 @@ def search(
     scores: DataFrame | None = None,
     answer: Callable | Model | None = None,
     encoder: Encoder | None = None,
+    term_index: str | None = None,
 ) -> RunResult:
     """The first pages of a search, as records. Repeats and unsuitable postings stay in.
 
     Scores are looked up in `scores`, or come from an `encoder` (only listed pages are encoded), or from the text.
+    With a `term_index` (see `sources.term_index`) files of pages without the query's terms are not opened.
     """
     if scores is not None and encoder is not None:
         raise ValueError("give scores or an encoder, not both")
-    found = steps.keyword_pages(pages, query, scores)
+    found = steps.keyword_pages(pages, query, scores, term_index)
     picked = steps.listed_sightings(
         sightings, found, [(timeline, page_count)], location, easy_apply, as_of
     )

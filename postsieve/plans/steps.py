@@ -26,6 +26,7 @@ from ..operators.vector_store import Encoder, encoded_scores
 from ..session import settled_table
 from ..sources.fetch import LISTED_IDS, by_ids, by_list
 from ..sources.pages import posting_headings, posting_texts
+from ..sources.term_index import only_files_with
 
 # Picked rows are broadcast to fetch their pages up to this many; beyond it Spark decides.
 BROADCAST_PICKS = 10_000
@@ -33,9 +34,18 @@ BROADCAST_PICKS = 10_000
 SCORE_DIGITS = 4
 
 
-def keyword_pages(pages: DataFrame, query: str, scores: DataFrame | None = None) -> DataFrame:
-    """Ids of the pages a query finds (with their scores, if given). No query, no text read."""
-    found = keyword_filter(posting_texts(pages), query) if query.split() else pages
+def keyword_pages(
+    pages: DataFrame, query: str, scores: DataFrame | None = None, term_index: str | None = None
+) -> DataFrame:
+    """Ids of the pages a query finds (with their scores, if given). No query, no text read.
+
+    With a `term_index` of the files of `pages`, those that can't hold a match are not opened.
+    """
+    if query.split():
+        searched = pages if term_index is None else only_files_with(pages, query, term_index)
+        found = keyword_filter(posting_texts(searched), query)
+    else:
+        found = pages
     found = found.select("page_id")
     return found if scores is None else found.join(scores.select("page_id", "match_score"), "page_id", "left")
 

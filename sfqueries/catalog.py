@@ -19,9 +19,11 @@ from postsieve.plans.merge import merge
 from postsieve.plans.search import recommended, search
 from postsieve.session import scratch_path, settled_table
 from postsieve.sinks import files
+from postsieve.sinks.pages import write_pages
 from postsieve.sources.pages import posting_headings, posting_texts, scan_postings
 from postsieve.sources.profile import read_profile
 from postsieve.sources.raw_csv import read_digest, read_raw_postings
+from postsieve.sources.term_index import index_terms, only_files_with
 from postsieve.streaming import digest as stream
 
 from . import fixtures as fx
@@ -154,6 +156,16 @@ def q_keyword_filter(spark, sf):
     return keyword_filter(_texts(spark, sf), "Python django").select("page_id", "title")
 
 
+def q_keyword_filter_indexed(spark, sf):
+    """A page table written in order of its ids, searched with sketches of its files' terms."""
+    path, index = scratch_path(spark, "pages"), scratch_path(spark, "terms")
+    write_pages(fx.postings_html(spark, sf), path)
+    pages = spark.read.parquet(path)
+    index_terms(pages, index)
+    searched = only_files_with(pages, "Python django", index)
+    return keyword_filter(posting_texts(searched), "Python django").select("page_id", "title")
+
+
 def q_easy_apply_filter(spark, sf):
     return fx.sightings(spark, sf).filter("easy_apply").select("event_id")
 
@@ -240,6 +252,12 @@ def q_page_limit(spark, sf):
     return ordering.page_limit(narrow, ordering.newest_first(), page_count=2)
 
 
+def q_long_list(spark, sf):
+    """Fifty pages of a scan, numbered by range."""
+    narrow = fx.sightings(spark, sf).select("event_id", "ts", "page_id")
+    return ordering.listed_pages(narrow, ordering.newest_first(), F.col("ts"), page_count=50)
+
+
 def q_single_page(spark, sf):
     narrow = fx.sightings(spark, sf).select("event_id", "ts", "page_id")
     return ordering.single_page(narrow, ordering.newest_first(), page=1)

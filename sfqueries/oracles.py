@@ -235,6 +235,8 @@ def oracle_sql() -> dict[str, str]:
         "geo_filter": f"WITH {_SIGHTINGS}, {_GEO} SELECT * FROM located WHERE geo_id = '102713980'",
         "keyword_filter": f"""WITH {_POSTINGS} SELECT page_id, title FROM postings
             WHERE contains(lower(title || ' ' || jd), 'python') AND contains(lower(title || ' ' || jd), 'django')""",
+        "keyword_filter_indexed": f"""WITH {_POSTINGS} SELECT page_id, title FROM postings
+            WHERE contains(lower(title || ' ' || jd), 'python') AND contains(lower(title || ' ' || jd), 'django')""",
         "easy_apply_filter": f"WITH {_SIGHTINGS} SELECT event_id FROM sightings WHERE easy_apply",
         "suitability": f"WITH {_PARSED} SELECT event_id, min_exp FROM suitable",
         "experience_bound": f"""WITH {_PARSED} SELECT event_id,
@@ -270,6 +272,9 @@ def oracle_sql() -> dict[str, str]:
             SELECT event_id, ts, scan_rank, seq // 25 AS page, seq % 25 AS position FROM (
             SELECT *, row_number() OVER (PARTITION BY scan_rank ORDER BY ts DESC, event_id) - 1 AS seq FROM listed)""",
         "page_limit": f"WITH {_SIGHTINGS} SELECT event_id, ts, page_id FROM sightings ORDER BY ts DESC, event_id LIMIT 50",
+        "long_list": f"""WITH {_SIGHTINGS}, numbered AS (
+              SELECT event_id, ts, page_id, row_number() OVER (ORDER BY ts DESC, event_id) - 1 AS seq FROM sightings)
+            SELECT event_id, ts, page_id, seq // 25 AS page, seq % 25 AS position FROM numbered WHERE seq < 1250""",
         "single_page": f"""WITH {_SIGHTINGS} SELECT event_id, ts, page_id FROM sightings
             ORDER BY ts DESC, event_id LIMIT 25 OFFSET 25""",
         "extract_company": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS company FROM pages",
