@@ -306,14 +306,15 @@ def classes(
     mixed = placed.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     placed = settle(placed.join(mixed.select("shingle"), "shingle"), "ngram_placed")
     per = placed.groupBy("shingle", "comp").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("held")
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max("held").alias("held"), F.count("*").alias("many")
     )
     x, y = (
-        per.select("shingle", F.col("comp").alias(f"c{i}"), F.col("least").alias(f"l{i}"), F.col("most").alias(f"m{i}"), F.col("held").alias(f"h{i}"))
+        per.select("shingle", F.col("comp").alias(f"c{i}"), F.col("least").alias(f"l{i}"), F.col("most").alias(f"m{i}"), F.col("held").alias(f"h{i}"), F.struct("many", "comp").alias(f"s{i}"))
         for i in "ab"
     )
+    # the class with fewer members under the shingle is expanded first, and its members meet the other's
     met = x.join(y, "shingle").where(
-        (F.col("ca") < F.col("cb"))
+        (F.col("sa") < F.col("sb"))
         & (100 * F.col("ma") >= percent * F.col("lb")) & (100 * F.col("mb") >= percent * F.col("la"))
         & (F.least("ha", "hb") >= _shared_in_ranges(percent, "la", "ma", "lb", "mb"))
     ).select("shingle", "ca", "cb", "lb", "mb", "hb")
@@ -324,7 +325,11 @@ def classes(
     rest = met.join(one, ["shingle", "ca"]).where(
         F.least("own_a", "hb") >= _shared_in_ranges(percent, "na", "na", "lb", "mb")
     ).join(other, ["shingle", "cb"]).where(_sized(percent) & (F.least("own_a", "own_b") >= _shared_at_least(percent)))
-    rest = rest.groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(
+    # which class comes first differs from shingle to shingle: a pair is one pair either way round
+    ordered = F.col("a") < F.col("b")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pair += [F.when(ordered, F.col(one)).otherwise(F.col(two)).alias(one) for one, two in (("na", "nb"), ("nb", "na"))]
+    rest = rest.select(*pair).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("shared")).where(
         F.col("shared") >= _shared_at_least(percent)
     ).select("a", "b", "na", "nb")
     # members of one group, whose shared prefix is not in the lists
