@@ -101,12 +101,13 @@ class Net:
         top, _ = self.pooled(mean, of, len(texts))
         return 1 / (1 + np.exp(-(top @ self.p["out"] + self.p["base"]).astype(np.float64)))
 
-    def gradients(self, texts: list[bytes], labels: np.ndarray) -> dict[str, np.ndarray]:
+    def gradients(self, texts: list[bytes], labels: np.ndarray, of_texts: int | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss of some texts, or of their share in that of `of_texts`."""
         data, real, filled, halves = layout(texts)
         mean, size, of, first, second = self.chunks(data, real, filled, halves)
         top, won = self.pooled(mean, of, len(texts))
         score = 1 / (1 + np.exp(-(top @ self.p["out"] + self.p["base"])))
-        error = ((score - labels) / len(texts)).astype(np.float32)
+        error = ((score - labels) / (of_texts or len(texts))).astype(np.float32)
         g = {"out": top.T @ error, "base": error.sum(keepdims=True)}
         # only chunks that won a unit pass anything back
         rows, units = np.nonzero(won >= 0)
@@ -144,13 +145,24 @@ class Net:
                 rows = order[i:i + BATCH]
                 step += 1
                 rate = RATE * (1 - (step - 1) / (epochs * batches))
-                for k, g in self.gradients([texts[r] for r in rows], labels[rows]).items():
+                for k, g in self._batch(texts, labels, rows).items():
                     mean[k] += 0.1 * (g - mean[k])
                     square[k] += 0.001 * (g * g - square[k])
                     self.p[k] -= (rate * mean[k] / (1 - 0.9**step) / (np.sqrt(square[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
         return self
 
 
+    def _batch(self, texts: list[bytes], labels: np.ndarray, rows: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of a batch, `BLOCK` bytes at a time, so that long texts don't add up in memory."""
+        total: dict[str, np.ndarray] = {}
+        part = np.cumsum([len(texts[r]) for r in rows]) // BLOCK
+        for p in np.unique(part):
+            some = rows[part == p]
+            for k, g in self.gradients([texts[r] for r in some], labels[some], len(rows)).items():
+                total[k] = total[k] + g if k in total else g
+        return total
+
+
 def train(
     docs: DataFrame, labels: DataFrame, *, ident: str = "doc_id", text: str = "text", label: str = "quality",
     max_rows: int = TRAIN_ROWS, max_bytes: int = TRAIN_BYTES, epochs: int = EPOCHS,

@@ -61,3 +61,14 @@ def test_without_labels_the_net_still_scores(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     net = quality_net.train(frame(spark, documents()[:5]), none)
     assert quality_net.score(frame(spark, documents()[:5]), net, keep=["doc_id"]).count() == 5
+
+
+def test_a_batch_in_parts_has_the_same_gradients(monkeypatch):
+    rng = np.random.default_rng(4)
+    texts = [bytes(rng.integers(97, 110, n).astype(np.uint8)) for n in (0, 900, 40, 2_000, 1, 700, 300)]
+    labels, rows = np.array([0, 1, 1, 0, 1, 0, 1], np.float32), np.arange(7)
+    net = quality_net.Net(2)
+    whole = net._batch(texts, labels, rows)
+    monkeypatch.setattr(quality_net, "BLOCK", 1_000)
+    for k, g in net._batch(texts, labels, rows).items():
+        assert np.allclose(g, whole[k], atol=1e-6), k
