@@ -1,7 +1,7 @@
 """Personal data: fixed patterns as seeds, and contexts learned from them.
 
 The fixed patterns find emails, addresses, cards and phone numbers. Each of these seeds votes for
-the words before it, its lexical pattern. Patterns and the values they stand before form a
+the two words before the word it begins in, its lexical pattern. Patterns and the values they stand before form a
 bipartite graph, scored in rounds: a pattern is as sure as the share of its values that are, a
 value as sure as its patterns make it. Values that sure patterns stand before, and that no fixed
 pattern found, are added.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.base import row_key, settle
-from postsieve.llm.spans import found, masked, overlaps
+from postsieve.llm.spans import apart, found, masked, once, words
 
 # fixed values: the base patterns. A start inside a run of the same characters can't succeed where
 # the run's own start fails, so the lookbehinds lose nothing; \G lets a match begin where the one
@@ -30,7 +30,6 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 KINDS = ("email", "ip", "card", "phone", "context")
 # what a learned context may find: a word that holds a digit or an at sign
 VALUE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*"
-LAST_WORDS = r"([^\x20\x09-\x0D]+(?:[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)?)[\x20\x09-\x0D]*$"
 
 #: Digits a value needs if it has no at sign.
 LEAST_DIGITS = 5
@@ -59,25 +58,36 @@ def _luhn(digits: Column) -> Column:
 def base_spans(text: Column) -> list[Column]:
     """Arrays of the email, ip, card and phone spans of a text."""
     card = F.filter(
-        F.filter(found(text, CARD), lambda s: F.length(_digits(s["match"])).between(14, 19)),
+        F.filter(found(text, CARD, spaces=True), lambda s: F.length(_digits(s["match"])).between(14, 19)),
         lambda s: _luhn(_digits(s["match"])),
     )
     return [
-        found(text, EMAIL, text.contains("@")),
-        F.filter(found(text, IP), lambda s: s["match"].rlike(IP_PARTS)),
+        found(text, EMAIL, text.contains("@"), spaces=True),
+        F.filter(found(text, IP, spaces=True), lambda s: s["match"].rlike(IP_PARTS)),
         card,
-        F.filter(found(text, PHONE, text.contains("+")), lambda s: F.length(_digits(s["match"])).between(10, 15)),
+        F.filter(found(text, PHONE, text.contains("+"), spaces=True), lambda s: F.length(_digits(s["match"])).between(10, 15)),
     ]
 
 
-def _pattern(left: Column) -> Column:
-    """The last two words before a span, in lower case with digits as 0; empty where there are none."""
-    return F.regexp_replace(F.lower(F.regexp_extract(left, LAST_WORDS, 1)), "[0-9]+", "0")
+def _pattern(before: Column, spaces: Column) -> Column:
+    """Of words with `spaces` runs of white space before a span, the two before the span's own word:
+    in lower case with digits as 0, empty where there are none."""
+    def word(n: Column) -> Column:
+        return F.when(n > 0, F.element_at(before, F.greatest(n, F.lit(1)))).otherwise("")
+
+    return F.regexp_replace(F.lower(F.trim(F.concat_ws(" ", word(spaces - 1), word(spaces)))), "[0-9]+", "0")
+
+
+def _with_patterns(spans: Column, before: Column) -> Column:
+    return F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), s["end"].alias("end"), s["match"].alias("match"),
+        _pattern(before, s["spaces"]).alias("pattern"),
+    ))
 
 
 def _entries(spans: Column, seed: bool) -> Column:
     return F.transform(spans, lambda s: F.struct(
-        _pattern(s["left"]).alias("pattern"), F.lower(s["match"]).alias("value"), F.lit(seed).alias("seed"),
+        s["pattern"].alias("pattern"), F.lower(s["match"]).alias("value"), F.lit(seed).alias("seed"),
         s["start"].alias("start"), s["end"].alias("end"),
     ))
 
@@ -115,27 +125,35 @@ def score_patterns(
 def scan(docs: DataFrame, *, ident: str = "doc_id", text: str = "text", keep: list[str] = (), **options) -> DataFrame:
     """One row per document: `keep` columns and the arrays `email`, `ip`, `card`, `phone`, `context`.
 
-    Spans are (start, end, match, left), start and end in code points, end exclusive; of `context`
-    only start and end. The base kinds are independent of each other; `context` spans never overlap
+    Spans are (start, end, match, pattern), start and end in code points, end exclusive; of `context`
+    only start and end. The work grows with a text's length and matches. The base kinds are independent of each other; `context` spans never overlap
     a base span. A null or empty text has no spans; equal rows get equal spans; an empty table gives
     an empty result; columns of the input other than `keep` are not read. `options`: see
     `score_patterns`.
     """
     email, ip, card, phone = base_spans(F.col(text))
+    values = F.filter(
+        found(F.col(text), VALUE, F.col(text).rlike("[0-9@]"), spaces=True),
+        lambda v: v["match"].contains("@") | (F.length(_digits(v["match"])) >= LEAST_DIGITS),
+    )
+    spotted = docs.select(
+        *keep, row_key(F.col(ident), F.col(text)).alias("_key"), F.col(text).alias("_searched"),
+        email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"), values.alias("_value"),
+    )
+    base = F.concat(*KINDS[:4])
+    fields = [*KINDS[:4], "_value"]
+    # spans of a text share its words, split once
+    placed = F.when(F.size(base) + F.size("_value") > 0, once(words(F.col("_searched")), lambda w: F.struct(*[
+        _with_patterns(apart(F.col(k), base) if k == "_value" else F.col(k), w).alias(k) for k in fields
+    ])))
+    none = F.array().cast("array<struct<start:int,end:int,match:string,pattern:string>>")
     searched = settle(
-        docs.select(
-            *keep, row_key(F.col(ident), F.col(text)).alias("_key"),
-            email.alias("email"), ip.alias("ip"), card.alias("card"), phone.alias("phone"),
-            found(F.col(text), VALUE, F.col(text).rlike("[0-9@]")).alias("_value"),
-        ),
+        spotted.select(*keep, "_key", placed.alias("_spans"))
+        .select(*keep, "_key", *[F.coalesce(F.col("_spans").getField(k), none).alias(k) for k in fields]),
         "pii_spans",
     )
-    base = F.concat("email", "ip", "card", "phone")
-    others = F.filter("_value", lambda v: ~overlaps(base, v["start"], v["end"]) & (
-        v["match"].contains("@") | (F.length(_digits(v["match"])) >= LEAST_DIGITS)
-    ))
     mentions = searched.where(F.size(base) + F.size("_value") > 0).select(
-        "_key", F.explode(F.concat(_entries(base, True), _entries(others, False))).alias("m")
+        "_key", F.explode(F.concat(_entries(base, True), _entries(F.col("_value"), False))).alias("m")
     ).select("_key", "m.*")
     sure = score_patterns(mentions.select("pattern", "value", "seed"), **options)
     added = (

@@ -2,8 +2,8 @@
 
 Two first-order models over characters are trained from labelled samples: what the fixed patterns
 find are random strings, the other long tokens of the same texts are ordinary identifiers. A token
-of letters and digits is added where its log-likelihood ratio per character, random against
-ordinary, is high enough.
+that holds a letter is added where its log-likelihood ratio per character, random against ordinary,
+is high enough; of a token that a fixed pattern found in part, the rest is a token.
 
 Only column expressions: each text is searched in place, and nothing but the tokens moves. The
 models are two tables of at most 68 x 68 counts.
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.base import settle
-from postsieve.llm.spans import found, joined, masked, overlaps
+from postsieve.llm.spans import beside, found, masked, once
 
 # fixed values: the base patterns; a match of a kind is a secret only if it is long enough.
 # "access" and "hex" have their least lengths in the pattern: a run that is too short holds no
@@ -118,9 +118,9 @@ def scan(
 ) -> DataFrame:
     """One row per document: `keep` columns and the arrays `assign`, `access`, `hex`, `markov`.
 
-    Spans are (start, end, match, left), start and end in code points, end exclusive. The base
-    kinds come from the fixed patterns and are independent of each other; `markov` spans never
-    overlap a base span. A null or empty text has no spans; equal rows get equal spans; an empty
+    Spans are (start, end, match, spaces), start and end in code points, end exclusive; spaces is
+    null. The base kinds come from the fixed patterns and are independent of each other; `markov`
+    spans never overlap a base span. The work grows with a text's length and matches. A null or empty text has no spans; equal rows get equal spans; an empty
     table gives an empty result; columns of the input other than `keep` are not read.
     `model`: one fitted before, else it is fitted on this table's own tokens (see `train`).
     """
@@ -130,8 +130,8 @@ def scan(
         searched = settle(searched, "secret_spans")
         model = _fit(searched, max_samples)
     added = F.filter(
-        _others(),
-        lambda t: (F.length(t["match"]) >= least_token) & t["match"].rlike("[A-Za-z]") & t["match"].rlike("[0-9]")
+        "token",
+        lambda t: (F.length(t["match"]) >= least_token) & t["match"].rlike("[A-Za-z]")
         & (ratio(t["match"], model) >= least_ratio),
     )
     return searched.select(*keep, "assign", "access", "hex", added.alias("markov"))
@@ -144,14 +144,23 @@ def fit(docs: DataFrame, *, text: str = "text", max_samples: int = MAX_SAMPLES)
 
 def _search(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     assign, access, hexes = base_spans(F.col(text))
-    return docs.select(
-        *keep, assign.alias("assign"), access.alias("access"), hexes.alias("hex"), found(F.col(text), TOKEN).alias("token")
+    base = docs.select(
+        *keep, F.col(text).alias("_searched"), assign.alias("assign"), access.alias("access"), hexes.alias("hex")
     )
+    return base.select(*keep, "assign", "access", "hex", _tokens(F.col("_searched")).alias("token"))
 
 
-def _others() -> Column:
+def _tokens(text: Column) -> Column:
     """Tokens beside the base spans."""
-    return F.filter("token", lambda t: ~overlaps(F.concat("assign", "access", "hex"), t["start"], t["end"]))
+    def part(p: Column) -> Column:
+        return F.transform(found(p["text"], TOKEN), lambda t: F.struct(
+            (p["start"] + t["start"]).alias("start"), (p["start"] + t["end"]).alias("end"),
+            t["match"].alias("match"), t["spaces"].alias("spaces"),
+        ))
+
+    return once(F.concat("assign", "access", "hex"), lambda spans: F.when(F.size(spans) == 0, found(text, TOKEN)).otherwise(
+        F.flatten(F.transform(beside(text, spans), part))
+    ))
 
 
 def _fit(searched: DataFrame, max_samples: int) -> list[float]:
@@ -161,7 +170,7 @@ def _fit(searched: DataFrame, max_samples: int) -> list[float]:
     )
     samples = F.concat(
         F.transform(values, lambda v: F.struct(v.alias("token"), F.lit(1).alias("label"))),
-        F.transform(_others(), lambda t: F.struct(t["match"].alias("token"), F.lit(0).alias("label"))),
+        F.transform("token", lambda t: F.struct(t["match"].alias("token"), F.lit(0).alias("label"))),
     )
     return train(searched.select(F.explode(samples).alias("s")).select("s.token", "s.label"), max_samples)
 

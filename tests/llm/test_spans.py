@@ -1,13 +1,15 @@
 """Secrets and personal data against the patterns in words, and what the methods add."""
 
+import itertools
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
 from postsieve.llm import pii, secret_scan
-from postsieve.llm.spans import joined
+from postsieve.llm.spans import apart, joined, masked, running
 from tests.llm.helpers import documents, empty, frame
 
 ODD = [
@@ -123,3 +125,74 @@ def test_contexts_find_what_the_patterns_miss(spark):
         (span,) = found[100 + i]["context"]
         assert rows[30 + i][1][span["start"]:span["end"]] == f"user{i}(at)mail77123"
     assert not any(found[200 + i]["context"] for i in range(30))
+
+
+def test_contexts_hold_whole_words_whatever_lies_between(spark):
+    # the word before holds a digit and is itself a value; words are long and far away
+    for before in ("order 5x ref", "order 5x ref" + " " * 300, "order " + "y" * 500 + "5"):
+        rows = [(i, f"{before} user{i}@mail.com") for i in range(30)]
+        rows += [(100 + i, f"{before} AB{i}12345x") for i in range(5)]
+        rows += [(200 + i, f"other words AB{i}12345x and AB{i}12345x") for i in range(5)]
+        found = {r["doc_id"]: r["context"] for r in pii.scan(frame(spark, rows), keep=["doc_id"]).collect()}
+        assert all(len(found[100 + i]) == 1 and found[100 + i][0]["start"] == len(before) + 1 for i in range(5))
+        assert not any(found[200 + i] for i in range(5))
+
+
+def test_letters_and_rests_of_tokens_are_scored(spark):
+    plain, keys = some_secrets()
+    r = random.Random(7)
+    letters = ["".join(r.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=28)) for _ in range(50)]
+    rows = [(i, f"call {p} with token={k}") for i, (p, k) in enumerate(zip(plain, keys))]
+    rows += [(1000 + i, f"then {x} end") for i, x in enumerate(letters)]
+    rows += [(2000 + i, f"é {'a1' * 20}-{k}") for i, k in enumerate(keys[:50])]
+    found = {r["doc_id"]: r for r in secret_scan.scan(frame(spark, rows), keep=["doc_id"]).collect()}
+    assert sum(any(s["match"] == x for s in found[1000 + i]["markov"]) for i, x in enumerate(letters)) >= 40
+    hits = 0
+    for i, k in enumerate(keys[:50]):
+        row, text = found[2000 + i], f"é {'a1' * 20}-{k}"
+        (base,) = row["hex"]
+        assert all(text[s["start"]:s["end"]] == s["match"] and s["start"] >= base["end"] for s in row["markov"])
+        hits += any(k[4:] in s["match"] for s in row["markov"])
+    assert hits >= 35
+    assert sum(any(s["match"] in plain for s in found[i]["markov"]) for i in range(500)) <= 5
+
+
+def test_running_values_and_parts_beside_spans(spark):
+    r = random.Random(3)
+    rows = []
+    for n in (0, 1, 2, 127, 128, 129, 1000, 40000):
+        text = "".join(r.choices("ab é𝒳\n", k=3 * n))
+        spans = sorted((a, min(a + r.randrange(1, 9), len(text))) for a in (r.randrange(len(text)) for _ in range(n)))
+        r.shuffle(spans)
+        rows.append((n, text, spans, spans[::2]))
+    df = spark.createDataFrame(rows, "n int, text string, s array<struct<start:int,end:int>>, t array<struct<start:int,end:int>>")
+    got = df.select(
+        "n", running(F.transform("s", lambda s: s["start"]), lambda a, b: a + b, F.lit(0).cast("bigint")).alias("sums"),
+        masked(F.col("text"), F.col("s"), "#").alias("masked"),
+        apart(F.filter("s", lambda s: s["start"] % 7 == 0), F.filter("t", lambda s: s["start"] % 5 == 0)).alias("apart"),
+    )
+    for row, (n, text, spans, others) in zip(sorted(got.collect(), key=lambda x: x["n"]), rows):
+        assert row["sums"] == [0, *itertools.accumulate(a for a, _ in spans)]
+        out, at = [], 0
+        for a, b in sorted(spans):
+            if a > at or not out:
+                out += [text[at:a], "#"]
+            at = max(at, b)
+        assert row["masked"] == "".join(out) + text[at:]
+        held = {i for a, b in others if a % 5 == 0 for i in range(a, b)}
+        want = [(a, b) for a, b in spans if a % 7 == 0 and not held.intersection(range(a, b))]
+        assert sorted((s["start"], s["end"]) for s in row["apart"]) == sorted(want)
+
+
+def test_texts_with_very_many_matches(spark):
+    n = 200_000
+    text = " ".join(f"w{i}1234@x.yz" if i % 2 else f"é{i}56789" for i in range(n))
+    df = frame(spark, [(1, text)])
+    begun = time.monotonic()
+    row = pii.scan(df, keep=["doc_id"]).first()
+    assert [(s["start"], s["end"]) for s in row["email"]] == [m.span() for m in re.finditer(r"w\S+", text)]
+    text = " ".join(f"token=abcd{i:08d}" for i in range(n))
+    row = secret_scan.redact(frame(spark, [(1, text)])).first()
+    assert row["text"] == " ".join(["[secret]"] * n)
+    # quadratic work took more than an hour on as many matches
+    assert time.monotonic() - begun < 300
