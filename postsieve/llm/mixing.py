@@ -3,6 +3,8 @@
 Every copy of a document has a virtual finish time: the words its source has handed out up to and
 with it, in shuffled order, divided by the source's target. Taking copies in the order of these
 times serves all sources at the rate of their targets; the mix ends where the total budget is used.
+Each copy's time is lessened by half of its own share, so that a copy which crosses the end is taken
+where that brings its source nearer to the target, and left where it doesn't.
 
 All of it is column expressions, joins and range sorts. A source of any size is split over ranges
 (`running_total`), so a hot source is never in one task.
@@ -52,7 +54,7 @@ def mix(
 
     Sources by code point, null last (null is a source of its own), get `weights` in turn. `taken`
     is the words the mix takes of a document: its size times its `copies`, at most `max_repeats`.
-    Copies that end at the same virtual time as the first that doesn't fit are left out with it.
+    Copies that have the same virtual time as the first that doesn't fit are left out with it.
     A null or empty text has size 0 and 0 words taken; copies of equal rows are dealt in any order
     between them; an empty table gives an empty result. The shuffle is a hash of `seed`, id and
     text, so reruns agree. Columns
@@ -82,7 +84,7 @@ def mix(
     )
 
     def finish(repeat: Column) -> Column:
-        return F.try_divide(repeat * F.col("source_size") + F.col("_served"), F.col("target"))
+        return F.try_divide(repeat * F.col("source_size") + F.col("_served") - F.col("size") / 2, F.col("target"))
 
     # repeats that can end before the cut: those begun within the target, and one more
     last = F.least(F.lit(max_repeats - 1), F.floor(F.try_divide(F.col("target"), F.col("source_size"))) + 1)

@@ -53,7 +53,8 @@ def test_targets_and_shares(docs):
         assert 0 <= r["taken"] <= 3 * r["size"] and r["taken"] == r["copies"] * r["size"]
     assert sum(taken.values()) <= sum(sizes.values())
     for s in sizes:
-        assert abs(taken[s] - want[s]) <= 3 * longest[s] + 0.02 * want[s], s
+        # the copy that crosses the end is taken where that is nearer
+        assert abs(taken[s] - want[s]) <= 0.6 * longest[s] + 0.02 * want[s], s
 
 
 def test_reruns_agree_however_rows_are_dealt(docs):
