@@ -8,9 +8,11 @@ A greedy pair encoding is the one path through a text's pieces on which each two
 together, stay as they are. Whether a path may go on so depends on its last piece only. So a chunk
 is a matrix from the pieces that may lie across its left edge to those across its right edge, over
 max-plus with weight 0 where a path leads and minus infinity where none does. Matrices are
-computed per chunk, their products taken along a document, which leaves one piece at each edge,
-and each chunk is traced back on its own between its two. Where a space follows another
-character no piece goes across, so only the ends of a chunk need the matrix.
+computed per chunk and multiplied in rounds: each `FAN` neighbours become one, then each `FAN` of
+those, until at most `FAN` are left of a document. The way back goes through the same rounds: the states at the ends of
+a product settle those between its factors, which leaves one piece at each edge,
+and each chunk is traced back on its own between its two. No task holds more than `FAN` matrices of a document.
+Where a space follows another character no piece goes across, so only the ends of a chunk need the matrix.
 
 The model's file is read on the driver and broadcast (half a megabyte). It must be of the pair
 encoding kind, without rewriting of texts beyond the mark for spaces.
@@ -29,6 +31,8 @@ from postsieve.llm.base import settle
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 GIANT = 32_768
 CHUNK = 8_192
+#: Neighbouring matrices that one task multiplies.
+FAN = 32
 #: Texts that are encoded in one call.
 BATCH = 128
 SPACE = "▁"
@@ -240,16 +244,46 @@ def _matrices(model):
     return run
 
 
-def _chain(table: pa.Table) -> pa.Table:
-    """The state at each edge of one document: its chunks' matrices multiplied along the text."""
+def _state(s: dict) -> tuple[int, str]:
+    return s["over"], s["piece"]
+
+
+def _product(table: pa.Table) -> pa.Table:
+    """The matrix of neighbours, one after another: entries of the first, exits of the last."""
     rows = sorted(table.to_pylist(), key=lambda r: r["no"])
-    state = lambda s: (s["over"], s["piece"])
-    reached = [{(0, ANY)}]
+    entries = rows[0]["entries"]
+    # for each state the entries (bits) that lead to it
+    reached = {_state(s): 1 << i for i, s in enumerate(entries)}
+    for row in rows:
+        exits = [_state(s) for s in row["exits"]]
+        after = dict.fromkeys(exits, 0)
+        for i, j in zip(row["i"], row["j"]):
+            after[exits[j]] |= reached.get(_state(row["entries"][i]), 0)
+        reached = after
+    pairs = [(i, j) for j, bits in enumerate(reached.values()) for i in range(len(entries)) if bits >> i & 1]
+    ints = pa.list_(pa.int32())
+    return pa.table({
+        "key": pa.array([rows[0]["key"]], pa.int64()), "no": pa.array([rows[0]["block"]], pa.int64()),
+        "entries": pa.array([entries], _STATES), "exits": pa.array([_states(list(reached))], _STATES),
+        "i": pa.array([[i for i, _ in pairs]], ints), "j": pa.array([[j for _, j in pairs]], ints),
+    })
+
+
+def _between(table: pa.Table) -> pa.Table:
+    """The states at each edge of neighbours, given those before the first and after the last.
+
+    Those are null for a whole document, which begins with no piece across and ends with the one state reached.
+    """
+    rows = sorted(table.to_pylist(), key=lambda r: r["no"])
+    state = _state
+    first = rows[0]
+    reached = [{(0, ANY) if first["piece"] is None else (first["over"], first["piece"])}]
     for row in rows:
         reached.append({
             state(row["exits"][j]) for i, j in zip(row["i"], row["j"]) if state(row["entries"][i]) in reached[-1]
         })
-    found, goal = [], next(iter(reached[-1]))
+    goal = next(iter(reached[-1])) if first["to_piece"] is None else (first["to_over"], first["to_piece"])
+    found = []
     for row, before in zip(rows[::-1], reached[-2::-1]):
         entry = next(
             state(row["entries"][i]) for i, j in zip(row["i"], row["j"])
@@ -263,6 +297,38 @@ def _chain(table: pa.Table) -> pa.Table:
     )
 
 
+def _edges(matrices: DataFrame, last: int, name: str) -> DataFrame:
+    """(key, no, over, piece, to_over, to_piece): the states at both edges of each chunk.
+
+    matrices: rows of `_matrices`; last: the greatest no of all documents.
+    """
+    rounds = [matrices]
+    if last >= FAN:
+        rounds = [settle(matrices, name)]
+    while last >= FAN:
+        blocks = rounds[-1].withColumn("block", F.expr(f"no div {FAN}"))
+        rounds.append(settle(
+            blocks.groupBy("key", "block").applyInArrow(
+                _product, f"key long, no long, entries array<{_STATE}>, exits array<{_STATE}>, i array<int>, j array<int>"
+            ),
+            name,
+        ))
+        last //= FAN
+    between = "key long, no long, over int, piece string, to_over int, to_piece string"
+    ends = ["over", "piece", "to_over", "to_piece"]
+    found = rounds.pop().select(
+        "*", *[F.lit(None).cast("int" if "over" in e else "string").alias(e) for e in ends]
+    ).groupBy("key").applyInArrow(_between, between)
+    for below in rounds[::-1]:
+        blocks = below.withColumn("block", F.expr(f"no div {FAN}"))
+        found = settle(
+            blocks.join(found.withColumnRenamed("no", "block"), ["key", "block"])
+            .groupBy("key", "block").applyInArrow(_between, between),
+            name,
+        )
+    return found
+
+
 def _traces(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value).load()
@@ -322,9 +388,10 @@ def encode(
         "piece_chunks",
     )
     spread = chunks.repartition("key", "no")
-    solved = spread.mapInArrow(
+    matrices = spread.mapInArrow(
         _matrices(shared), f"key long, no long, entries array<{_STATE}>, exits array<{_STATE}>, i array<int>, j array<int>"
-    ).groupBy("key").applyInArrow(_chain, "key long, no long, over int, piece string, to_over int, to_piece string")
+    )
+    solved = _edges(matrices, chunks.agg(F.max("no")).first()[0] or 0, "piece_matrices")
     traced = spread.join(solved, ["key", "no"]).mapInArrow(_traces(shared), "key long, no long, ids array<int>")
     joined = traced.groupBy("key").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("no", "ids"))), lambda c: c["ids"])).alias("ids")
