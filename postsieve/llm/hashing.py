@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _RNG = np.random.default_rng(20240229)
@@ -15,6 +17,8 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 5)
 PLACE = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * _U(2) + _U(1)
 SHINGLE = 5
+#: Bytes of a word up to which its hash is a polynomial; modulo 2**64 that has built collisions on long words.
+LONG_WORD = 64
 _POWERS: dict = {}
 
 
@@ -68,6 +72,9 @@ def shingle_hashes(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     words = ranges(prefix_sums(data, LOWER), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD):
+        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes().lower(), digest_size=8).digest()
+        words[i] = int.from_bytes(digest, "little")
     k = min(n, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):

@@ -11,7 +11,7 @@ The digits are chosen so that few suffixes have to move:
    Equal strings have equal digits at equal distances.
 2. Cells that share the first digit are dealt by all bytes that their suffixes cover. Equal cells
    are repeats as a whole; one of each group stays, for the cells that differ from it.
-3. Only in groups with cells that differ do suffixes get rows of their own, dealt by a hash of 128
+3. Only in groups with cells that differ do suffixes get rows of their own, dealt by a hash of 96
    bits over their LENGTH bytes. Those that stay alone are kept.
 
 Digits of steps 1 and 2 are hashes of 64 bits: a collision there costs rows, never a result, as

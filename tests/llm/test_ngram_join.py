@@ -113,6 +113,16 @@ def test_one_of_each_class_stays(spark):
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([1, 2, 4, 5, None])
 
 
+def test_long_words_of_one_polynomial_are_two(spark):
+    # the two orders of Thue and Morse: sums of powers modulo 2**64 can't tell them apart
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(2_048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rows = [(1, one), (2, two), (3, f"v w {one} x y"), (4, f"v w {two} x y"), (5, one.upper()), (6, f"V w {two} x Y")]
+    assert rows_of(ngram_join.classes(frame(spark, rows)).select("doc_id", "component_id")) == Counter(
+        [(1, 1), (2, 2), (3, 3), (4, 4), (5, 1), (6, 4)]
+    )
+
+
 def test_empty(spark):
     assert ngram_join.classes(empty(spark)).count() == 0
     assert ngram_join.keep_one(empty(spark)).count() == 0
