@@ -31,13 +31,16 @@ def path(url: Column) -> Column:
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)", 1)
 
 
-def rules(url: Column) -> Column:
-    """All rules an address may fall under: each domain it lies in, and its host with each part of its path."""
+def rules(url: Column, depth: Column | int = 2**31 - 1) -> Column:
+    """All rules an address may fall under: each domain it lies in, and its host with each part of its path.
+
+    depth: the most parts of a path that a rule has; longer ones are not made.
+    """
     labels = F.split(host(url), r"\.")
     domains = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    parts = F.filter(F.split(path(url), "/"), lambda p: p != "")
+    parts = F.slice(F.filter(F.split(path(url), "/"), lambda p: p != ""), F.lit(1), F.lit(depth) if isinstance(depth, int) else depth)
     paths = F.transform(
         F.filter(F.sequence(F.lit(0), F.size(parts)), lambda i: i > 0),
         lambda i: F.concat(host(url), F.lit("/"), F.array_join(F.slice(parts, F.lit(1), i), "/")),
@@ -74,11 +77,20 @@ def judge(
     given = captures.select(F.struct(*keep).alias("_row"), F.col(url).alias("_url"), F.col(fetched).cast("date").alias("_at"))
     number = lambda day: F.floor(F.unix_date(day) / period)
     asked = given.select("_url", "_at").where(F.col("_url").isNotNull() & F.col("_at").isNotNull()).distinct()
-    asked = asked.select("_url", "_at", number(F.col("_at")).alias("_period"), F.explode(rules(F.col("_url"))).alias("_rule"))
     known = intervals(entries)
-    # open intervals reach to the last period that is asked for
-    last = F.coalesce(F.date_sub("until", 1), F.greatest("since", captures.select(F.max(F.col(fetched).cast("date"))).scalar()))
-    known = known.withColumn("_in", F.explode(F.sequence(number(F.col("since")), F.greatest(number(F.col("since")), number(last)))))
+    # one number: how many slashes a rule of the list has
+    depth = F.coalesce(known.agg(F.max(F.size(F.split("rule", "/")) - 1)).scalar(), F.lit(0))
+    asked = asked.withColumn("_depth", depth).select(
+        "_url", "_at", number(F.col("_at")).alias("_period"), F.explode(rules(F.col("_url"), F.col("_depth"))).alias("_rule")
+    )
+    # a rule's intervals are listed under the periods from the first to the last that asks for this rule
+    spans = asked.groupBy("_rule").agg(F.min("_at").alias("_from"), F.max("_at").alias("_to"))
+    begin = F.greatest("since", "_from")
+    end = F.least(F.coalesce(F.date_sub("until", 1), F.col("_to")), F.col("_to"))
+    known = (
+        known.join(spans, F.col("rule") == F.col("_rule")).drop("_rule").where(begin <= end)
+        .withColumn("_in", F.explode(F.sequence(number(begin), number(end))))
+    )
     met = asked.join(known, (F.col("_rule") == F.col("rule")) & (F.col("_period") == F.col("_in"))).where(
         (F.col("since") <= F.col("_at")) & (F.col("until").isNull() | (F.col("_at") < F.col("until")))
     )

@@ -46,6 +46,26 @@ def test_paths_keep_their_case(spark):
     assert got == {1: ("example.com/Ads", True), 2: (None, False), 3: ("plain.com", True)}
 
 
+def test_wild_dates_and_very_long_addresses(spark):
+    entries = spark.createDataFrame(
+        [("com", day(3), "block"), ("com", day(28), "allow"), ("org/a/b", day(1), "block"), ("x.net", date(1, 1, 1), "block"), ("y.net", date(9999, 12, 31), "block")]
+        + [(f"h{i}.org", day(i % 20), "block") for i in range(300)],
+        "rule string, since date, action string",
+    )
+    deep = "/".join("ab" * 4_000)
+    captures = spark.createDataFrame(
+        [(1, "http://q.com", date(9999, 12, 31)), (2, "http://q.com", day(5)), (3, f"http://org/{deep}", day(5)), (4, f"http://org/b/{deep}", day(5)),
+         (5, "http://x.net", date(1, 1, 1)), (6, "http://x.net", day(9)), (7, "http://y.net", day(9)), (8, "http://y.net", date(9999, 12, 31)),
+         (9, "http://h7.org", date(9999, 12, 31)), (10, "http://h7.org", day(6)), (11, "http://h7.org", day(7)), (12, "http://q.com", date(1, 1, 1))],
+        "id long, url string, fetched date",
+    )
+    got = {r["id"]: (r["rule"], r["blocked"]) for r in url_lists.judge(captures, entries, keep=["id"]).collect()}
+    assert got == {
+        1: ("com", False), 2: ("com", True), 3: ("org/a/b", True), 4: (None, False), 5: ("x.net", True), 6: ("x.net", True), 7: (None, False),
+        8: ("y.net", True), 9: ("h7.org", True), 10: (None, False), 11: ("h7.org", True), 12: (None, False),
+    }
+
+
 def test_empty_lists_and_tables(spark):
     entries = spark.createDataFrame([], "rule string, since date, action string")
     captures = spark.createDataFrame([(1, "http://a.b", day(1))], "id long, url string, fetched date")
