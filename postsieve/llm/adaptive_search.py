@@ -27,7 +27,7 @@ NEIGHBOURS = 20
 SAMPLE = 16_384
 MAX_LISTS = 1_024
 #: Share of the lists that a query scans at least.
-PROBED = 0.6
+PROBED = 0.8
 #: Columns in a block, and how far beyond its expectation a distance must be to be abandoned.
 COLUMNS = 16
 MARGIN = 2.1

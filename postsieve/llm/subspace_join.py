@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postsieve.llm.base import settle
@@ -145,6 +145,10 @@ def _pairs(least: float):
     return run
 
 
+def _hashes(vector: Column) -> tuple[Column, Column]:
+    return F.xxhash64(vector), F.xxhash64(F.reverse(vector))
+
+
 def near_duplicates(
     vectors: DataFrame, *, ident: str = "vec_id", vector: str = "embedding", least: float = LEAST_COSINE, chunk: int = CHUNK,
 ) -> DataFrame:
@@ -158,14 +162,19 @@ def near_duplicates(
     empty result; other columns are not read.
     """
     given = vectors.select(F.col(ident).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector"))
+    # equal vectors are one node; they are told apart by 128 bits
+    key = ["h", "back"]
     keyed = settle(
-        given.select("id", F.when(usable(F.col("vector")), F.xxhash64("vector")).alias("node"), "vector"), "vectors"
+        given.select("id", *[F.when(usable(F.col("vector")), h).alias(k) for k, h in zip(key, _hashes(F.col("vector")))], "vector"),
+        "vectors",
     )
-    classes = keyed.where(F.col("node").isNotNull()).groupBy("node").agg(
-        F.count("*").alias("copies"), F.first("vector").alias("vector")
+    classes = settle(
+        keyed.where(F.col("h").isNotNull()).groupBy(*key).agg(F.count("*").alias("copies"), F.first("vector").alias("vector"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "vector_classes",
     )
     binned = settle(
-        classes.mapInArrow(
+        classes.select("node", "copies", "vector").mapInArrow(
             _bins(least), "dims long, block long, x long, y long, node long, copies long, vec binary"
         ),
         "vector_bins",
@@ -202,8 +211,8 @@ def near_duplicates(
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found, "node", "root")
     named = (
-        keyed.select("id", "node")
-        .join(classes.select("node", "copies"), "node", "left").join(counts, "node", "left").join(comps, "node", "left")
+        keyed.select("id", *key)
+        .join(classes.select(*key, "node", "copies"), key, "left").join(counts, "node", "left").join(comps, "node", "left")
         .withColumn("comp", F.coalesce("comp", "node"))
     )
     smallest = named.where(F.col("node").isNotNull()).groupBy("comp").agg(F.min("id").alias("least_id"))

@@ -88,6 +88,28 @@ def test_search_against_all_products(vectors, rows):
     assert hits / (20 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_recall_on_the_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    got = table.select("vec_id", "embedding").toArrow()
+    ids = got.column("vec_id").to_numpy()
+    held = np.array(got.column("embedding").to_pylist(), dtype=float)
+    asked = np.flatnonzero(ids % 20 == 0)
+    products = held[asked] @ held.T
+    products[np.arange(len(asked)), asked] = -np.inf
+    best = np.argsort(-products, axis=1)[:, :20]
+    found = adaptive_search.search(table, F.col("vec_id") % 20 == 0).select("query_id", "vec_id").collect()
+    want = {(int(ids[q]), int(ids[j])) for q, near in zip(asked, best) for j in near}
+    assert len(want & set(map(tuple, found))) / len(want) >= 0.95
+
+
+def test_vectors_of_one_hash_are_two(spark, vectors, rows, monkeypatch):
+    want = Counter(map(tuple, subspace_join.near_duplicates(vectors).collect()))
+    hashes = subspace_join._hashes
+    monkeypatch.setattr(subspace_join, "_hashes", lambda v: (F.pmod(hashes(v)[0], F.lit(3)), hashes(v)[1]))
+    assert Counter(map(tuple, subspace_join.near_duplicates(vectors).collect())) == want
+
+
 def test_copies_of_a_query_are_not_lost_to_rounding():
     r = np.random.default_rng(1)
     for queries in (1, 40, 512):
