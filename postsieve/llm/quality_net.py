@@ -170,7 +170,8 @@ def train(
     """A net fitted on at most `max_rows` rows of each label, as many of either if both have enough.
 
     Rows of the held-out fold, with null ids, texts or labels, labels other than 0 and 1, or texts
-    over `max_bytes` aren't used. Without rows the net stays as it began.
+    over `max_bytes` aren't used. Of documents with one id, one is used: the text of least hash.
+    Without rows the net stays as it began.
     """
     rows = labels.select(F.col(ident).alias("_id"), F.col(label).alias("_label")).where(
         F.col("_id").isNotNull() & F.col("_label").isin(0, 1) & ~held_out(F.col("_id"))
@@ -183,7 +184,7 @@ def train(
     body = docs.select(F.col(ident).alias("_doc"), F.col(text).cast("binary").alias("_text"))
     sample = body.where(F.length("_text").between(1, max_bytes)).join(
         F.broadcast(picked), F.col("_doc") == F.col("_id")
-    ).select("_id", "_label", "_text")
+    ).groupBy("_id", "_label").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text"))["_text"].alias("_text"))
     got = sorted(((r["_id"], bytes(r["_text"]), r["_label"]) for r in sample.collect()), key=lambda r: r[:2])
     net = Net()
     if got:

@@ -2,6 +2,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from postsieve.llm import quality_net
 from tests.llm.helpers import documents, empty, frame
@@ -63,6 +64,18 @@ def test_without_labels_the_net_still_scores(spark):
     assert quality_net.score(frame(spark, documents()[:5]), net, keep=["doc_id"]).count() == 5
 
 
+def test_repeated_ids_add_one_text_each_to_the_fit(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(quality_net.Net, "fit", lambda self, texts, labels, epochs: fitted.append((texts, list(labels))))
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 5][:20]
+    docs = spark.createDataFrame([(i, f"text {i} {n}") for i in ids for n in range(1 if i else 500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids] * 2, "doc_id long, quality int")
+    for shuffled in (docs, docs.orderBy(F.desc("text"))):
+        quality_net.train(shuffled, labels, max_rows=8)
+    (texts, marks), again = fitted
+    assert (texts, marks) == again and 0 < len(texts) <= 16 and len(set(t.split()[1] for t in texts)) == len(texts)
+
+
 def test_a_batch_in_parts_has_the_same_gradients(monkeypatch):
     rng = np.random.default_rng(4)
     texts = [bytes(rng.integers(97, 110, n).astype(np.uint8)) for n in (0, 900, 40, 2_000, 1, 700, 300)]
