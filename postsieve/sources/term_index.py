@@ -14,8 +14,10 @@ from ..operators.once import computed_once
 from .pages import posting_texts
 
 PIECE = 4
-#: Bits of a file's sketch.
+#: Bits of a file's sketch, of one of its rows and of a number that they are gathered in.
 BITS = 1 << 20
+BUCKET = 1 << 15
+GATHERED = 64
 _SCHEMA = "file string, changed string, bucket long, bits binary"
 
 
@@ -28,34 +30,53 @@ def _bit(piece: Column) -> Column:
     return F.pmod(F.xxhash64(piece), F.lit(BITS)) + 1
 
 
-def index_terms(pages: DataFrame, path: str) -> None:
-    """Add the sketches of the files of `pages` (as read from files, nothing done to it yet) to an index.
+def sketches(pages: DataFrame) -> DataFrame:
+    """(file, changed, bucket, bits) of the files of `pages`, as read from files.
 
-    One pass; pieces are combined into bitmaps by every task for itself, and only bitmaps are shuffled.
+    Bits are gathered in numbers, which every task keeps for itself in a hash table of at most BITS / GATHERED rows
+    a file, however long the texts; bitmaps are put together from those, a few hundred at a time.
     """
     texts = posting_texts(pages.select("page_id", "url", "html", *_file()))
     searched = F.lower(F.concat_ws(" ", "title", "jd"))
     characters = computed_once(texts.select("file", "changed", "title", "jd"), {"_c": F.split(searched, "")})
     starts = F.sequence(F.lit(0), F.size("_c") - PIECE)
-    pieces = F.transform(starts, lambda i: F.concat(*[F.get("_c", i + k) for k in range(PIECE)]))
+    # places count from 0
+    places = F.transform(starts, lambda i: _bit(F.concat(*[F.get("_c", i + k) for k in range(PIECE)])) - 1)
     long_enough = characters.filter(F.size("_c") >= PIECE)
-    listed = long_enough.select("file", "changed", F.explode(F.array_distinct(pieces)).alias("piece"))
-    placed = listed.select("file", "changed", _bit(F.col("piece")).alias("bit")).select(
-        "file", "changed", F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("position")
+    listed = long_enough.select("file", "changed", F.explode(F.array_distinct(places)).alias("place"))
+    # the first byte of a bitmap is the highest of a number
+    shift = GATHERED - 8 - F.expr(f"place % {GATHERED} div 8 * 8") + F.col("place") % 8
+    numbers = listed.groupBy("file", "changed", F.expr(f"place div {GATHERED}").alias("word")).agg(
+        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), shift.cast("int"))).alias("number")
+    )
+    many = BUCKET // GATHERED
+    buckets = numbers.groupBy("file", "changed", F.expr(f"word div {many} + 1").alias("bucket")).agg(
+        F.map_from_entries(F.collect_list(F.struct(F.col("word") % many, "number"))).alias("held")
     )
-    sketches = placed.groupBy("file", "changed", "bucket").agg(F.bitmap_construct_agg("position").alias("bits"))
+    hexes = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long")),
+        lambda i: F.lpad(F.hex(F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))), GATHERED // 4, "0"),
+    )
+    return buckets.select("file", "changed", "bucket", F.unhex(F.array_join(hexes, "")).alias("bits"))
+
+
+def index_terms(pages: DataFrame, path: str) -> None:
+    """Add the sketches of the files of `pages` (as read from files, nothing done to it yet) to an index.
+
+    Texts are read once; no more than the numbers of a file's sketch are shuffled by each task.
+    """
     # a file without any piece has a sketch too
-    empty = texts.select("file", "changed").distinct().select(
+    empty = pages.select(*_file()).distinct().select(
         "file", "changed", F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits")
     )
-    sketches.unionByName(empty).write.mode("append").parquet(path)
+    sketches(pages).unionByName(empty).write.mode("append").parquet(path)
 
 
 def files_without(spark: SparkSession, index: str, query: str) -> DataFrame:
     """(file, changed) of the indexed files that hold no text with every term of the query."""
-    sketches = spark.read.schema(_SCHEMA).parquet(index)
+    stored = spark.read.schema(_SCHEMA).parquet(index)
     pieces = {term[i:i + PIECE] for term in query.lower().split() for i in range(len(term) - PIECE + 1)}
-    files = sketches.select("file", "changed").distinct()
+    files = stored.select("file", "changed").distinct()
     if not pieces:
         return files.filter(F.lit(False))
     wanted = spark.createDataFrame([(piece,) for piece in sorted(pieces)], "piece string").select(_bit(F.col("piece")).alias("bit"))
@@ -63,7 +84,7 @@ def files_without(spark: SparkSession, index: str, query: str) -> DataFrame:
     # the pieces of one query: a handful of rows
     byte = F.col("bits").substr((F.col("position") / 8).cast("int") + 1, F.lit(1))
     bit = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), (F.col("position") % 8).cast("int"))
-    held = sketches.filter("bits IS NOT NULL").join(F.broadcast(wanted), "bucket").filter(bit == 1)
+    held = stored.filter("bits IS NOT NULL").join(F.broadcast(wanted), "bucket").filter(bit == 1)
     complete = held.groupBy("file", "changed").agg(F.count("*").alias("n")).filter(F.col("n") >= F.lit(wanted.count()))
     return files.join(complete, ["file", "changed"], "left_anti")
 

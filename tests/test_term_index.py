@@ -10,7 +10,7 @@ from postsieve.operators.filters import keyword_filter
 from postsieve.plans.daily import daily
 from postsieve.plans.search import search
 from postsieve.sources.pages import posting_texts
-from postsieve.sources.term_index import files_without, index_terms, only_files_with
+from postsieve.sources.term_index import files_without, index_terms, only_files_with, sketches
 from tests.test_commands import NOW, frames, make
 
 WORDS = ["kafka streams", "Kubernetes", "été à Paris", "x", "", "django and flask"]
@@ -80,3 +80,15 @@ def test_commands_with_an_index(spark):
         indexed = command(pages, sightings, NOW, query="python", scores=scores, term_index=index, **given)
         assert sorted(map(str, indexed.records().collect())) == sorted(map(str, plain.records().collect()))
         assert plain.records().count() > 0
+
+
+def test_sketches_are_gathered_without_a_sort(spark, table):
+    plan = sketches(spark.read.parquet(table))._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    rows = sketches(spark.read.parquet(table)).collect()
+    # bitmaps of whole buckets, each bit where the functions for bitmaps count it
+    assert rows and all(len(r["bits"]) == 4096 for r in rows)
+    place = spark.sql("SELECT pmod(xxhash64('kafk'), 1048576) + 1 AS b").selectExpr(
+        "bitmap_bucket_number(b) AS bucket", "bitmap_bit_position(b) AS position").first()
+    held = [r for r in rows if r["bucket"] == place["bucket"] and r["bits"][place["position"] // 8] >> place["position"] % 8 & 1]
+    assert len(held) == 1
