@@ -17,12 +17,11 @@ from .. import dims, schemas
 MODEL = "model"
 
 
-def prompt(jd: Column) -> Column:
-    """Question to the model: the answer's contract, then the posting text."""
+def _contract() -> str:
     buckets = "\n".join(
         f"- {name}: {', '.join(words)}" for name, words in dims.CATEGORY_KEYWORDS.items()
     )
-    contract = (
+    return (
         f"Answer with one JSON object and nothing else. Its keys: {', '.join(schemas.RESPONSE_KEYS)}.\n"
         "company: who is hiring. min_exp, max_exp: bounds on the years of experience asked for, "
         f"{dims.NO_EXPERIENCE[0]} where none is given.\n"
@@ -31,7 +30,11 @@ def prompt(jd: Column) -> Column:
         "citizenship_required (US citizens only), security_clearance_required: false unless the "
         "text says so. visa_sponsorship: true unless the text refuses it.\n\nText of the posting:\n"
     )
-    return F.concat(F.lit(contract), jd)
+
+
+def prompt(jd: Column) -> Column:
+    """Question to the model: the answer's contract, then the posting text."""
+    return F.concat(F.lit(_contract()), jd)
 
 
 @dataclass(frozen=True)
@@ -151,22 +154,29 @@ def with_responses(
     given = df.columns
     model = answer if isinstance(answer, Model) else Model(answer, **terms)
     # every task gets a copy of its own
-    batch_size, ask_all = model.batch_size, asker(model)
+    batch_size, ask_all, contract = model.batch_size, asker(model), _contract()
+    # the text goes to Python once, and the contract with the function
+    sent = df if jd in given else df.select(*given, F.col(jd).alias("_jd"))
+    text, width = sent.columns.index(jd if jd in given else "_jd"), len(given)
 
     def answered(batches):
+        import pyarrow as pa
+
         for rows in batches:
-            for start in range(0, len(rows), batch_size):
-                part = rows.iloc[start: start + batch_size]
-                done = ask_all(part["_prompt"].tolist())
-                yield part.drop(columns="_prompt").assign(
-                    response=[text for text, _ in done], response_error=[problem for _, problem in done]
+            # prompts and answers of a few rows at a time are Python's strings, whatever a batch holds
+            for start in range(0, rows.num_rows, batch_size):
+                part = rows.slice(start, batch_size)
+                done = ask_all([None if t is None else contract + t for t in part.column(text).to_pylist()])
+                extra = [pa.array([pair[i] for pair in done], pa.string()) for i in range(2)]
+                yield pa.RecordBatch.from_arrays(
+                    part.columns[:width] + extra, names=part.schema.names[:width] + ["response", "response_error"]
                 )
 
     schema = T.StructType(
         df.schema.fields
         + [T.StructField("response", T.StringType()), T.StructField("response_error", T.StringType())]
     )
-    return df.select(*given, prompt(F.col(jd)).alias("_prompt")).mapInPandas(answered, schema)
+    return sent.mapInArrow(answered, schema)
 
 
 def model_failures(df: DataFrame) -> DataFrame:

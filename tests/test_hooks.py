@@ -150,3 +150,14 @@ def test_encoder(spark):
     encode = hooks.encoder(make_predict, batch_size=8)
     rows = frame(spark).select("jd", encode(F.col("jd")).alias("v")).collect()
     assert all(r["v"] == [float(len(r["jd"])), 1.0] for r in rows) and len(rows) == 40
+
+
+def test_neither_prompts_nor_a_second_copy_of_the_text_are_sent_to_python(spark):
+    asked = hooks.with_responses(frame(spark, ROWS + [(99, "l99", None)]), lambda prompts: ["{}"] * len(prompts), batch_size=4)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Answer with one JSON object" not in plan
+    assert asked.columns == ["id", "link", "jd", "response", "response_error"] and asked.count() == 41
+    # a text that is no column of its own
+    nested = frame(spark).selectExpr("id", "link", "struct(jd) AS body")
+    seen = hooks.with_responses(nested, lambda prompts: ['{"n": %d}' % number(p) for p in prompts], jd="body.jd").collect()
+    assert {r["id"]: r["response"] for r in seen} == {i: '{"n": %d}' % i for i, _, _ in ROWS}
