@@ -31,8 +31,9 @@ RATE = 0.01
 #: Every FOLDS-th id by its checksum is held out.
 FOLDS = 5
 THRESHOLD = 0.3
-#: Bytes that are scored at once.
+#: Bytes of which gradients are taken at once, and that are scored at once.
 BLOCK = 1 << 18
+SCORED = 1 << 16
 
 
 def held_out(ident: Column) -> Column:
@@ -193,38 +194,35 @@ def train(
 
 
 def _score(params):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         net = Net()
         net.p = params.value
-        for batch in batches:
+        for column in columns:
             out, held, size = [], [], 0
-            for text in batch.column(batch.num_columns - 1):
+            for text in column:
                 held.append(text.as_buffer().to_pybytes() if text.is_valid else b"")
                 size += len(held[-1])
-                if size >= BLOCK:
+                if size >= SCORED:
                     out.append(net.scores(held))
                     held, size = [], 0
             if held:
                 out.append(net.scores(held))
-            scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=["row", "score"])
-    return run
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+    return F.arrow_udf(run, "double", F.ArrowUDFType.SCALAR_ITER)
 
 
 def score(docs: DataFrame, net: Net, *, text: str = "text", keep: list[str]) -> DataFrame:
     """One row per document: the `keep` columns and score, the probability of label 1.
 
-    Nothing but the text is looked at. Null and empty texts get the score of a text without
-    chunks; equal texts get equal scores up to the order of sums; an empty table gives an empty result.
+    Nothing but the text is looked at, and nothing else goes to Python. Null and empty texts get the score of a text
+    without chunks; equal texts get equal scores up to the order of sums; an empty table gives an empty result.
     """
-    params = docs.sparkSession.sparkContext.broadcast(net.p)
-    packed = docs.select(F.struct(*keep).alias("row"), F.col(text).cast("binary").alias("text"))
-    kind = packed.schema["row"].dataType.simpleString()
-    scored = packed.mapInArrow(_score(params), f"row {kind}, score double")
-    return scored.select(*[F.col("row").getField(k).alias(k) for k in keep], "score")
+    scored = _score(docs.sparkSession.sparkContext.broadcast(net.p))
+    return docs.select(*keep, scored(F.col(text).cast("binary")).alias("score"))
 
 
 def keep_good(docs: DataFrame, net: Net, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows and columns of `docs` whose score is at least `threshold`."""
-    scored = score(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text")), net, text="_text", keep=["_row"])
+    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
+    scored = score(packed, net, text="_text", keep=["_row"])
     return scored.where(F.col("score") >= threshold).select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -85,3 +85,12 @@ def test_a_batch_in_parts_has_the_same_gradients(monkeypatch):
     monkeypatch.setattr(quality_net, "BLOCK", 1_000)
     for k, g in net._batch(texts, labels, rows).items():
         assert np.allclose(g, whole[k], atol=1e-6), k
+
+
+def test_texts_alone_go_to_python(spark):
+    docs, net = frame(spark, documents()[:20]), quality_net.Net()
+    kept = quality_net.keep_good(docs, net)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython" in plan
+    good = {r["doc_id"] for r in quality_net.score(docs, net, keep=["doc_id"]).collect() if r["score"] >= quality_net.THRESHOLD}
+    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in docs.collect() if r["doc_id"] in good)
