@@ -34,6 +34,10 @@ MARGIN = 2.1
 CHUNK = 2_048
 GROUP = 512
 ROUNDS = 10
+#: Share of a block's pairs that must be left for the next columns to be taken as products of whole blocks.
+DENSE = 0.1
+#: Queries whose least distances a task remembers from one list to the next.
+REMEMBERED = 1 << 16
 #: Rounding of a squared distance, as a share of the squared lengths it is computed from.
 ROUNDING = 1e-12
 
@@ -57,53 +61,70 @@ def centroids(sample: np.ndarray, lists: int) -> np.ndarray:
     return chosen
 
 
-def scan(queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def scan(
+    queries: np.ndarray, candidates: np.ndarray, same: np.ndarray, k: int, best: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """(query, candidate) pairs that pass all tests, with k at least for each query where there are as many.
 
-    `queries` and `candidates` are rotated and of equal length; pairs marked in `same` never pass.
+    `queries` and `candidates` are rotated and of equal length; pairs marked in `same` never pass. `best` holds the k
+    least distances that each query has found elsewhere (infinite: none), and in the end those with these candidates.
     """
     dims = candidates.shape[1]
     n = len(candidates)
+    if best is None:
+        best = np.full((len(queries), k), np.inf)
     first = min(n, max(4 * k, 128))
-    left, right = [], []
+    left, right, far = [], [], []
+    own, held = (queries**2).sum(1), (candidates**2).sum(1)
+    # distances are differences of squared lengths: near zero their rounding is larger than any share of them
+    slack = ROUNDING * (own + held.max(initial=0))
+
+    def meet(at: int, near: np.ndarray) -> None:
+        """Note the distances to candidates from `at` on (infinite: abandoned), and tighten the distance to beat."""
+        best[:] = np.partition(np.concatenate([best, near], axis=1), k - 1, axis=1)[:, :k]
+        worst = best.max(1)
+        q, c = np.nonzero((near <= (worst * (1 + 1e-9) + slack)[:, None]) & (near < np.inf))
+        left.append(q)
+        right.append(c + at)
+        far.append(near[q, c])
+
     # the first candidates are measured in full and set the distance to beat
-    near = ((queries[:, None, :] - candidates[None, :first]) ** 2).sum(2) if len(queries) * first * dims < 4_000_000 else (
-        (queries**2).sum(1)[:, None] + (candidates[:first] ** 2).sum(1)[None] - 2 * queries @ candidates[:first].T
-    )
+    near = own[:, None] + held[:first] - 2 * queries @ candidates[:first].T
     near[same[:, :first]] = np.inf
-    worst = np.partition(near, k - 1, axis=1)[:, k - 1] if first >= k else np.full(len(queries), np.inf)
-    # distances are differences of squared lengths: near zero their rounding is larger than any share of them
-    slack = ROUNDING * ((queries**2).sum(1) + (candidates**2).sum(1).max(initial=0))
-    q, c = np.nonzero((near <= worst[:, None] + 1e-9 + slack[:, None]) & ~same[:, :first])
-    left.append(q)
-    right.append(c)
+    meet(0, near)
     for at in range(first, n, 512):
         block = candidates[at:at + 512]
-        d = min(COLUMNS, dims)
-        a, b = queries[:, :d], block[:, :d]
-        partial = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
-        limit = worst * (1 + MARGIN / np.sqrt(d)) ** 2 * d / dims + slack
-        q, c = np.nonzero((partial <= limit[:, None]) & ~same[:, at:at + 512])
-        so_far = partial[q, c]
-        while d < dims and len(q):
+        worst = best.max(1)
+        near = np.zeros((len(queries), len(block)))
+        going = ~same[:, at:at + 512]
+        d, pairs = 0, None
+        while d < dims and (pairs is None or len(pairs[0])):
             e = min(d + COLUMNS, dims)
-            so_far = so_far + ((queries[q, d:e] - block[c, d:e]) ** 2).sum(1)
+            margin = (1 + MARGIN / np.sqrt(e)) ** 2 * e / dims if e < dims else 1 + 1e-9
+            limit = worst * margin + slack
+            a, b = queries[:, d:e], block[:, d:e]
+            if pairs is None:
+                # while many go on, products of whole blocks cost less than picking pairs
+                near += (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
+                going &= near <= limit[:, None]
+                if np.count_nonzero(going) < DENSE * going.size:
+                    pairs = np.nonzero(going)
+                    so_far = near[pairs]
+            else:
+                q, c = pairs
+                so_far = so_far + ((a[q] - b[c]) ** 2).sum(1)
+                go = so_far <= limit[q]
+                pairs, so_far = (q[go], c[go]), so_far[go]
             d = e
-            margin = (1 + MARGIN / np.sqrt(d)) ** 2 * d / dims if d < dims else 1 + 1e-9
-            go = so_far <= worst[q] * margin + slack[q]
-            q, c, so_far = q[go], c[go], so_far[go]
-        left.append(q)
-        right.append(c + at)
-        # tighten the distance to beat where new candidates are nearer
-        if len(q):
-            order = np.lexsort((so_far, q))
-            q, so_far = q[order], so_far[order]
-            begin = np.flatnonzero(np.concatenate(([True], q[1:] != q[:-1])))
-            size = np.diff(np.append(begin, len(q)))
-            full = size >= k
-            kth = so_far[begin[full] + k - 1]
-            worst[q[begin[full]]] = np.minimum(worst[q[begin[full]]], kth)
-    return np.concatenate(left), np.concatenate(right)
+        if pairs is None:
+            near[~going] = np.inf
+        else:
+            near = np.full(going.shape, np.inf)
+            near[pairs] = so_far
+        meet(at, near)
+    q, c, far = (np.concatenate(x) for x in (left, right, far))
+    go = far <= best.max(1)[q] * (1 + 1e-9) + slack[q]
+    return q[go], c[go]
 
 
 def _index(model, probes: tuple[int, np.ndarray, int] | None = None):
@@ -142,6 +163,7 @@ def _search(model, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest, _, dims = model.value
         turn = rotation(dims + 1)
+        known, none = {}, np.full(k, np.inf)
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, queries, other, vectors = (batch.column(i)[row].values for i in range(4))
@@ -150,7 +172,13 @@ def _search(model, k: int):
                 held = np.frombuffer(b"".join(v.as_buffer() for v in vectors)).reshape(-1, dims)
                 # a query has no part in the added dimension; all distances grow by the same
                 point = np.concatenate([asked, np.zeros((len(asked), 1))], axis=1) @ turn
-                q, c = scan(point, _lift(held, longest), ids[:, None] == other[None, :], k)
+                # what a query found in this task's other lists is to be beaten in this one
+                if len(known) > REMEMBERED:
+                    known.clear()
+                keys = [(i, v.as_py()) for i, v in zip(ids.tolist(), queries)]
+                best = np.stack([known.get(key, none) for key in keys])
+                q, c = scan(point, _lift(held, longest), ids[:, None] == other[None, :], k, best)
+                known.update(zip(keys, best))
                 score = np.einsum("ij,ij->i", asked[q], held[c])
                 order = np.lexsort((other[c], -score, q))
                 q, c, score = q[order], c[order], score[order]
@@ -206,7 +234,8 @@ def search(
     model = spark.sparkContext.broadcast((longest, chosen, dims))
     kind = "id long, vec binary, lists array<long>"
     indexed = whole.select("id", "vector").mapInArrow(_index(model), kind)
-    flat = lambda df: df.select("id", "vec", F.explode("lists").alias("list"))
+    # settled, so that a count of the lists doesn't rank them again
+    flat = lambda df: settle(df, "search_ranked").select("id", "vec", F.explode("lists").alias("list"))
     candidates = settle(_chunked(flat(indexed), CHUNK, ("part", "ids", "vecs")), "search_lists")
     # one number per list
     sizes = np.zeros(len(chosen), np.int64)

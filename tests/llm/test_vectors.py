@@ -148,3 +148,22 @@ def test_few_and_no_candidates(spark):
     assert adaptive_search.search(three.limit(0), F.col("vec_id") % 20 == 0).count() == 0
     assert [tuple(r) for r in subspace_join.near_duplicates(none).collect()] == [(2, 0, 2, True)]
     assert subspace_join.near_duplicates(three.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [900, 2_048])
+def test_a_scan_passes_few_more_than_asked_for(n):
+    r = np.random.default_rng(1)
+    given, asked = r.normal(size=(n, 32)), r.normal(size=(60, 32))
+    longest = np.sqrt((given**2).sum(1).max())
+    turn = adaptive_search.rotation(33)
+    point = np.concatenate([asked, np.zeros((60, 1))], axis=1) @ turn
+    lifted, same = adaptive_search._lift(given, longest), np.zeros((60, n), bool)
+    q, c = adaptive_search.scan(point, lifted, same, 20)
+    # before, all that beat the first candidates
+    assert 60 * 20 <= len(q) <= 60 * 22
+    best = np.argsort(-(asked @ given.T), axis=1)[:, :20]
+    found = set(zip(q.tolist(), c.tolist()))
+    assert np.mean([(i, j) in found for i in range(60) for j in best[i].tolist()]) >= 0.97
+    # distances found elsewhere are to be beaten
+    none = np.full((60, 20), 1e-6)
+    assert len(adaptive_search.scan(point, lifted, same, 20, none)[0]) == 0
