@@ -33,8 +33,11 @@ GIANT = 32_768
 CHUNK = 8_192
 #: Neighbouring matrices that one task multiplies.
 FAN = 32
-#: Texts that are encoded in one call.
+#: Texts that are encoded in one call, and chunks that a task turns into Python's objects at once.
 BATCH = 128
+FEW = 16
+#: Pairs of pieces that a worker remembers.
+REMEMBERED = 1 << 18
 SPACE = "▁"
 #: Last piece at a place where no piece goes across, whatever it was.
 ANY = ""
@@ -78,6 +81,8 @@ class Pieces:
             return True
         known = self.pairs.get((left, right))
         if known is None:
+            if len(self.pairs) >= REMEMBERED:
+                self.pairs.clear()
             known = self.pairs[left, right] = self.encode(left + right) == [left, right]
         return known
 
@@ -184,18 +189,31 @@ def trace(pieces: Pieces, text: str, begin: int, end: int, entry: tuple[int, str
     return pieces.numbers(leg(start, calm[0], None)) + body + pieces.numbers(tail)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches of a few rows: what they become in Python is many times as large."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _lists(column: pa.Array) -> list[list[int] | None]:
+    """Lists of numbers, taken from the array as a whole: `to_pylist` makes an object of each number first."""
+    at = column.offsets.to_numpy()
+    begin = int(at[0])
+    numbers = column.values.slice(begin, int(at[-1]) - begin).to_numpy().tolist()
+    return [numbers[a:b] if valid else None for a, b, valid in zip(at[:-1] - begin, at[1:] - begin, column.is_valid().to_pylist())]
+
+
 def _whole(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Pieces(model.value).library
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                texts = part.column(1).to_pylist()
-                ids = library.encode([t or "" for t in texts], num_threads=1)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([None if t is None else i for t, i in zip(texts, ids)], pa.list_(pa.int32()))],
-                    names=["row", "ids"],
-                )
+        for part in _slices(batches, BATCH):
+            texts = part.column(1).to_pylist()
+            ids = library.encode([t or "" for t in texts], num_threads=1)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([None if t is None else i for t, i in zip(texts, ids)], pa.list_(pa.int32()))],
+                names=["row", "ids"],
+            )
     return run
 
 
@@ -231,7 +249,7 @@ def _states(items: list[tuple[int, str]]) -> list[dict]:
 def _matrices(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value).load()
-        for batch in batches:
+        for batch in _slices(batches, FEW):
             out = []
             for row in batch.to_pylist():
                 entries, exits, pairs = matrix(pieces, row["text"], row["begin"], row["end"], row["first"], row["last"])
@@ -332,7 +350,7 @@ def _edges(matrices: DataFrame, last: int, name: str) -> DataFrame:
 def _traces(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(model.value).load()
-        for batch in batches:
+        for batch in _slices(batches, FEW):
             rows = batch.to_pylist()
             ids = [
                 trace(pieces, r["text"], r["begin"], r["end"], (r["over"], r["piece"]), (r["to_over"], r["to_piece"]))
@@ -347,14 +365,12 @@ def _traces(model):
 def _decoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = Pieces(model.value).library
-        for batch in batches:
-            for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                ids = part.column(1).to_pylist()
-                texts = library.decode([i or [] for i in ids])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())], names=["row", "text"]
-                )
+        for part in _slices(batches, BATCH):
+            ids = _lists(part.column(1))
+            texts = library.decode([i or [] for i in ids])
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array([None if i is None else t for i, t in zip(ids, texts)], pa.string())], names=["row", "text"]
+            )
     return run
 
 

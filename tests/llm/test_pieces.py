@@ -79,3 +79,13 @@ def test_a_product_of_products_is_the_product_of_all():
 def test_empty(spark):
     encoded = pieces.encode(empty(spark), keep=["doc_id"])
     assert encoded.count() == 0 and pieces.decode(encoded, keep=["doc_id"]).count() == 0
+
+
+def test_lists_of_a_slice_and_few_rows_at_once():
+    rows = [[1, 2], None, [], [3], [4, 5, 6], None, [7]]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    for begin in range(8):
+        for n in range(8 - begin):
+            assert pieces._lists(column.slice(begin, n)) == rows[begin:begin + n]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40))], names=["x"])
+    assert [p.num_rows for p in pieces._slices([batch, batch.slice(0, 0)], pieces.FEW)] == [16, 16, 8]
