@@ -46,35 +46,53 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-def prefix_sums(data: np.ndarray, table: np.ndarray = BYTE, base: int = BASES[0]) -> np.ndarray:
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(table[data] * powers(len(data), base)[0][:len(data)], out=sums[1:])
+def number_sums(numbers: np.ndarray, base: int = BASES[0]) -> np.ndarray:
+    sums = np.zeros(len(numbers) + 1, np.uint64)
+    np.cumsum(numbers * powers(len(numbers), base)[0][:len(numbers)], out=sums[1:])
     return sums
 
 
+def prefix_sums(data: np.ndarray, table: np.ndarray = BYTE, base: int = BASES[0]) -> np.ndarray:
+    return number_sums(table[data], base)
+
+
 def ranges(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASES[0]) -> np.ndarray:
     """Hash of the bytes from each start to its end, wherever they are."""
     return mix((sums[ends] - sums[starts]) * powers(len(sums), base)[1][starts] + (ends - starts).astype(np.uint64))
 
 
-def shingle_hashes(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of a text's shingles of `n` words in order, repeats included, A-Z in lower case.
+def windows(sums: np.ndarray, size: int, base: int = BASES[0]) -> np.ndarray:
+    """The same hashes as `ranges`, of every string of `size` numbers."""
+    return mix((sums[size:] - sums[:-size]) * powers(len(sums), base)[1][:len(sums) - size] + _U(size))
 
-    A text of fewer words is one shingle; one without words, or null, has none.
-    """
+
+def word_hashes(text: bytes | None, table: np.ndarray = BYTE) -> np.ndarray:
+    """64-bit hashes of a text's words in order; with the table LOWER, of A-Z in lower case."""
     if not text:
         return np.zeros(0, np.uint64)
     data = np.frombuffer(text, np.uint8)
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~SPACE[data]
-    edges = np.diff(inside)
-    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(SPACE[data], out=inside[1:-1])
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    words = ranges(prefix_sums(data, LOWER), starts, ends)
+    words = ranges(prefix_sums(data, table), starts, ends)
     for i in np.flatnonzero(ends - starts > LONG_WORD):
-        digest = hashlib.blake2b(data[starts[i]:ends[i]].tobytes().lower(), digest_size=8).digest()
+        word = data[starts[i]:ends[i]].tobytes()
+        digest = hashlib.blake2b(word.lower() if table is LOWER else word, digest_size=8).digest()
         words[i] = int.from_bytes(digest, "little")
+    return words
+
+
+def shingle_hashes(text: bytes | None, n: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of a text's shingles of `n` words in order, repeats included, A-Z in lower case.
+
+    A text of fewer words is one shingle; one without words, or null, has none.
+    """
+    words = word_hashes(text, LOWER)
+    if not len(words):
+        return words
     k = min(n, len(words))
     total = np.full(len(words) - k + 1, k, np.uint64)
     for i in range(k):

@@ -35,7 +35,7 @@ def _digest(kinds: list[tuple[str, Column]]) -> Column:
 
 
 def q_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"))
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents"), words=suffix_dedup.WORDS)
 
 
 def q_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
