@@ -281,7 +281,8 @@ def classes(
     tops = lists.groupBy("shingle").agg(F.max(F.struct("weight", "head")).alias("top")).select("shingle", F.col("top.head").alias("top"))
     heads_of_parts = lists.select("shingle", "head").distinct().join(tops, "shingle").where("head <> top")
     star = lists.select("grp", "head").unionAll(heads_of_parts.select(F.col("head").alias("grp"), F.col("top").alias("head")))
-    star = star.where("grp <> head").distinct().join(lead, "grp").join(head, "head").where(_sized(percent))
+    # written, as it is read three times: the driver plans each use anew, with all that the use stands on
+    star = settle(star.where("grp <> head").distinct().join(lead, "grp").join(head, "head").where(_sized(percent)), "ngram_star")
     prefixes = grouped.where(F.size("prefix") > 0).select("grp", "prefix")
     prefixes = prefixes.join(
         star.select("grp").unionAll(star.select("head")).distinct(), "grp", "left_semi"

@@ -133,3 +133,18 @@ def test_components_of_long_chains_and_stars(spark):
     df = spark.createDataFrame(links, "a long, b long")
     got = {r["node"]: r["comp"] for r in graph.components(df).collect()}
     assert got == {i: 0 for i in range(201)} | {1000 + i: 1000 for i in range(100)}
+
+
+def test_no_plan_computes_candidates_anew(spark, monkeypatch):
+    # the driver holds each plan with all it stands on, several times over while stages end
+    joins = {}
+
+    def settled(df, name):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        joins[name] = max(joins.get(name, 0), len([line for line in plan.splitlines() if "Join " in line]))
+        return settle(df, name)
+
+    settle = ngram_join.settle
+    monkeypatch.setattr(ngram_join, "settle", settled)
+    assert ngram_join.classes(frame(spark, documents()[:60])).count() == 60
+    assert max(joins.values()) <= 8, joins
