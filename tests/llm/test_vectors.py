@@ -110,6 +110,61 @@ def test_vectors_of_one_hash_are_two(spark, vectors, rows, monkeypatch):
     assert Counter(map(tuple, subspace_join.near_duplicates(vectors).collect())) == want
 
 
+def test_no_pair_of_packs_is_shuffled(vectors, monkeypatch):
+    plans, settle = {}, subspace_join.settle
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return settle(df, name)
+
+    monkeypatch.setattr(subspace_join, "settle", noted)
+    monkeypatch.setattr(subspace_join, "PART_BYTES", 1 << 14, raising=False)
+    subspace_join.near_duplicates(vectors, chunk=50)
+    # before, both chunks of each pair went through two exchanges, so what was on disk grew with the square of the rows
+    assert "Exchange" not in plans["vector_links"] and "CartesianProduct" in plans["vector_links"]
+    # and each vector was written some ten times on its way there; now it is in one exchange and one table
+    assert plans["vector_packs"].count("hashpartitioning") == 0 and plans["vector_packs"].count("rangepartitioning") == 1
+
+
+@pytest.mark.parametrize(("tasks", "held"), [(20_000, 1 << 18), (3, 5)])
+def test_many_packs(vectors, monkeypatch, tasks, held):
+    want = Counter(map(tuple, subspace_join.near_duplicates(vectors).collect()))
+    for name, value in (("PACK_BYTES", 7 * 256), ("PART_BYTES", 20 * 256), ("TASKS", tasks), ("HELD_ROWS", held), ("HELD_BYTES", 4_000)):
+        monkeypatch.setattr(subspace_join, name, value)
+    assert Counter(map(tuple, subspace_join.near_duplicates(vectors, chunk=3).collect())) == want
+
+
+@pytest.mark.parametrize("least", [0.9, 0.35, 0.999])
+def test_groups_far_apart_and_vectors_of_other_lengths(spark, monkeypatch, least):
+    r = np.random.default_rng(4)
+    # long vectors that fix a rotation, in groups that vary in few directions; short and single ones have none of their own
+    centres = r.normal(size=(12, 24)) * np.arange(1, 25) ** -0.7
+    held = [centres[r.integers(12)] + r.normal(size=24) * r.choice([0.01, 0.05, 0.1]) for _ in range(500)]
+    held += [r.normal(size=3) * 10.0 ** r.integers(-200, 200) for _ in range(120)]
+    held += [np.array([x]) for x in (1.0, -2.0, 5e-324, 1e300)] + [held[i] for i in (1, 3, 3, 7, 505)] + [np.ones(9)]
+    monkeypatch.setattr(subspace_join, "PACK_BYTES", 40 * 8 * 24)
+    monkeypatch.setattr(subspace_join, "PART_BYTES", 90 * 8 * 24)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(held)], "vec_id long, embedding array<double>").repartition(4)
+    unit = [v / np.abs(v).max() / np.linalg.norm(v / np.abs(v).max()) for v in held]
+    near = np.array([[len(u) == len(v) and i != j and u @ v >= least for j, v in enumerate(unit)] for i, u in enumerate(unit)])
+    got = {row["vec_id"]: row for row in subspace_join.near_duplicates(df, least=least, chunk=16).collect()}
+    assert [got[i]["n_links"] for i in range(len(held))] == near.sum(1).tolist()
+    label = np.arange(len(held))
+    for _ in range(len(held)):
+        label = np.array([min([label[i], *label[near[i]]]) for i in range(len(held))])
+    assert [got[i]["component_id"] for i in range(len(held))] == label.tolist()
+
+
+def test_equal_vectors_have_one_place_in_any_batch():
+    r = np.random.default_rng(5)
+    given = r.normal(size=(700, 40)).astype(np.float32)
+    for sample in (given[:300], given[:30], given[:0]):
+        lead = subspace_join.Lead(40, sample, 0.9)
+        whole = lead.places(given)
+        assert len(np.unique(whole)) > 500
+        assert all((lead.places(given[a:b]) == whole[a:b]).all() for a, b in ((0, 1), (1, 4), (5, 300), (333, 700)))
+
+
 def test_copies_of_a_query_are_not_lost_to_rounding():
     r = np.random.default_rng(1)
     for queries in (1, 40, 512):
