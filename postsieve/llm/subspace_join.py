@@ -16,6 +16,7 @@ joins its local component. Equal vectors are one before that.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,14 +32,14 @@ from postsieve.llm.vectors import rotation, usable
 
 LEAST_COSINE = 0.9
 CHUNK = 2_048
-#: Vectors of one side that are compared at once.
-STRIP = 256
+#: Vectors of either side that are compared at once.
+STRIP = 512
 #: Vectors that fix the rotation, about twice as many and `SAMPLED` components at most; longer vectors than `WIDEST` keep the fixed one.
 SAMPLE = 1_024
 SAMPLED = 1 << 20
 WIDEST = 256
-#: Pairs of the sample that may be near in the leading dimensions and are not, as a share of all.
-IDLE = 4e-6
+#: Leading dimensions beyond those that tell all pairs of the sample apart that are not near.
+SPARE = 4
 #: Bits of a place, and of one dimension in it.
 BITS = 24
 CELL_BITS = 8
@@ -83,12 +84,12 @@ class Lead:
             upper = np.triu_indices(len(unit), 1)
             near = np.zeros(len(upper[0]), np.float32)
             bound, own = 2 - 2 * least, np.flatnonzero((unit @ unit.T)[upper] < least)
-            for last in range(4, dims, 4):
-                part = turned[:, last - 4:last]
+            for last in range(2, dims, 2):
+                part = turned[:, last - 2:last]
                 square = (part * part).sum(1)
                 near += (square[:, None] + square[None] - 2 * part @ part.T)[upper]
-                if np.count_nonzero(near[own] <= bound) <= IDLE * len(near):
-                    self.count = last
+                if not (near[own] <= bound).any():
+                    self.count = min(dims, last + SPARE)
                     break
         turned = turned[:, : self.count]
         if self.turn is not None:
@@ -303,7 +304,7 @@ def compare(own: Pack, other: Pack, least: float) -> tuple[np.ndarray, np.ndarra
     reach = np.float32(_reach(least, lead))
     shift = 0 if same else n
     links, label = np.zeros(n if same else n + m, np.int64), np.arange(n if same else n + m)
-    room = np.empty(STRIP * max(p.stop - p.start for p in other.parts), np.float32)
+    room = np.empty(STRIP * STRIP, np.float32)
     for i, part in enumerate(own.parts):
         # squared distances less the reach are products: (-2 a, a a - reach, 1) (b, 1, b b)
         left = np.empty((part.stop - part.start, lead + 2), np.float32)
@@ -323,21 +324,21 @@ def compare(own: Pack, other: Pack, least: float) -> tuple[np.ndarray, np.ndarra
             met = other.vectors[across] if len(columns) == len(held) else other.vectors[columns]
             right = np.empty((len(columns), lead + 2), np.float32)
             right[:, :lead], right[:, lead], right[:, lead + 1] = other.lead[columns], 1, other.square[columns]
-            for at in range(0, len(left), STRIP):
-                strip = left[at:at + STRIP]
-                far = np.matmul(strip, right.T, out=room[: len(strip) * len(right)].reshape(len(strip), len(right)))
-                rows = np.flatnonzero(far.min(1) <= 0)
-                if not len(rows):
+            for at, over in itertools.product(range(0, len(left), STRIP), range(0, len(right), STRIP)):
+                a, b = left[at:at + STRIP], right[over:over + STRIP]
+                far = np.matmul(a, b.T, out=room[: len(a) * len(b)].reshape(len(a), len(b)))
+                if far.min() > 0:
                     continue
+                rows = np.flatnonzero(far.min(1) <= 0)
                 one, two = np.nonzero(far[rows] <= 0)
                 one = rows[one]
-                begin = part.start + at
+                begin, facing = part.start + at, columns[over:over + STRIP]
                 if same and i == j:
-                    ahead = begin + one < columns[two]
+                    ahead = begin + one < facing[two]
                     one, two = one[ahead], two[ahead]
-                one, two = _verified(own.vectors[begin:begin + len(far)], met, one, two, least)
+                one, two = _verified(own.vectors[begin:begin + len(a)], met[over:over + STRIP], one, two, least)
                 if len(one):
-                    one, two = one + begin, columns[two]
+                    one, two = one + begin, facing[two]
                     np.add.at(links, one, other.copies[two])
                     np.add.at(links, two + shift, own.copies[one])
                     label = _merged(label, one, two + shift)
