@@ -18,11 +18,12 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
@@ -43,11 +44,13 @@ SPARE = 4
 #: Bits of a place, and of one dimension in it.
 BITS = 24
 CELL_BITS = 8
-#: What tells vectors apart, and bytes of them in a pack and in a file of packs; tasks of the join, and leading dimensions in its condition.
+#: What tells vectors apart, and bytes of them in a pack and in a file of packs; tasks of the join, pairs of packs
+#: that go to Python at once, and leading dimensions in the join's condition.
 KEY = ["h", "back"]
 PACK_BYTES = 4 << 20
 PART_BYTES = 8 << 20
-TASKS = 20_000
+TASKS = 10_000
+AT_ONCE = 2
 BOUNDS = 16
 #: Rows that a task returns are summed up when they are so many, and leading dimensions of so many bytes are kept.
 HELD_ROWS = 1 << 18
@@ -394,6 +397,18 @@ def _hashes(vector: Column) -> tuple[Column, Column]:
     return F.xxhash64(vector), F.xxhash64(F.reverse(vector))
 
 
+@contextmanager
+def _rows_at_once(spark: SparkSession, rows: int):
+    """Plans made meanwhile give Python so many rows at once; a pair of packs is a wide row."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def _meeting(packs: DataFrame, least: float) -> DataFrame:
     """Pairs of packs that may hold links, each once; nothing is shuffled: both sides are read where they meet."""
     columns = ("pack", "copies", "vecs", "dims", "low", "high")
@@ -447,9 +462,10 @@ def near_duplicates(
     more = packs.select("pack", F.posexplode("copies").alias("pos", "copies")).where("copies > 1").select(
         (F.col("pack") + F.col("pos")).alias("node"), (F.col("copies") - 1).alias("copies")
     )
-    found = settle(
-        _meeting(packs, least).mapInArrow(_pairs(known, least, chunk, kind), "node long, links long, root long"), "vector_links"
-    )
+    with _rows_at_once(vectors.sparkSession, AT_ONCE):
+        found = settle(
+            _meeting(packs, least).mapInArrow(_pairs(known, least, chunk, kind), "node long, links long, root long"), "vector_links"
+        )
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     comps = components(found, "node", "root")
     named = ids.where(F.col("node").isNotNull()).join(more, "node", "left").join(counts, "node", "left").join(comps, "node", "left").select(

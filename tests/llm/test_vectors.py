@@ -131,7 +131,10 @@ def test_many_packs(vectors, monkeypatch, tasks, held):
     want = Counter(map(tuple, subspace_join.near_duplicates(vectors).collect()))
     for name, value in (("PACK_BYTES", 7 * 256), ("PART_BYTES", 20 * 256), ("TASKS", tasks), ("HELD_ROWS", held), ("HELD_BYTES", 4_000)):
         monkeypatch.setattr(subspace_join, name, value)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = vectors.sparkSession.conf.get(key)
     assert Counter(map(tuple, subspace_join.near_duplicates(vectors, chunk=3).collect())) == want
+    assert vectors.sparkSession.conf.get(key) == before
 
 
 @pytest.mark.parametrize("least", [0.9, 0.35, 0.999])
