@@ -58,7 +58,7 @@ HELD_BYTES = 24 << 20
 #: Share of a strip's pairs from which on whole columns are verified.
 DENSE = 0.02
 #: Rounding of a squared distance of single floats, and for each dimension.
-_SLACK = (1e-4, 2e-7)
+_SLACK = (1e-4, 3e-7)
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
